@@ -7,10 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import pieces, quality_rules, sharding
+from tidewatch.llm import byte_cnn, licenses, pieces, pii, quality_rules, sharding, site_tree, warc
 from tidewatch.llm.common import table
 
 
+#: The key of the pseudonyms and the date of the made responses in these queries.
+PII_KEY, CRAWL_DATE = "tidewatch-public-test-key", "2024-01-01T00:00:00Z"
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=16)
 
@@ -24,10 +32,31 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "n_pii", "text")
+
+
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.build_derivatives(warc.page_responses(table(spark, sf_dir, "pages"), CRAWL_DATE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
     "op4_quality_rules": op4_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_pii": op8_pii,
+    "op10_warc_derivatives": op10_warc_derivatives,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL}
