@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import byte_cnn, licenses, pieces, pii, quality_rules, sharding, site_tree, warc
+from tidewatch.llm import byte_cnn, decontaminate, licenses, pieces, pii, quality_rules, sharding, site_tree, warc
 from tidewatch.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "n_pii", "text")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.build_derivatives(warc.page_responses(table(spark, sf_dir, "pages"), CRAWL_DATE))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_extraction": op6_html_extraction,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_pii": op8_pii,
+    "op9_decontamination": op9_decontamination,
     "op10_warc_derivatives": op10_warc_derivatives,
 }
 
