@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of every operator: blank and the five ASCII controls from tab to carriage return.
-SPACES = "\t\n\x0b\x0c\r"
+SPACE_RUN, NOT_SPACE = "[ \\t\\n\\x0B\\f\\r]+", "[^ \\t\\n\\x0B\\f\\r]"
 #: Rows that an Arrow batch holds at most; texts are long, so batches stay small.
 BATCH_ROWS = 256
 
@@ -28,8 +28,7 @@ def text_or_empty(col: str | Column = "text") -> Column:
 
 def words_of(text: Column) -> Column:
     """The words of a text: runs of anything but the six separators."""
-    flat = F.translate(text, SPACES, " " * len(SPACES))
-    return F.array_remove(F.split(flat, " "), "")
+    return F.array_remove(F.split(text, SPACE_RUN), "")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,13 +104,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS, _INVERSE
 
 
-def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: ASCII characters that plain words lack.
+_PUNCTUATION = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+
+
+def word_hashes(texts: list[str | None], lower: bool = False, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of a batch of texts: (hash, start byte, end byte, number of words per text).
 
     Starts and ends count bytes of the UTF-8 text. A hash is a polynomial over the word's bytes modulo
     2**64 with random byte values, taken from prefix sums of the whole batch, then mixed with the length.
+    lower: without regard to the case of A-Z. plain: without regard to any case and to ASCII punctuation (starts
+    and ends then count the bytes that remain).
     """
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    if plain:
+        raw = [(t or "").lower().encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION) for t in texts]
+    else:
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     lengths = np.array([len(r) + 1 for r in raw], dtype=np.int64)
     data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
     space = _IS_SPACE[data]

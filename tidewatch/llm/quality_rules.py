@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import text_or_empty, words_of
+from tidewatch.llm.common import NOT_SPACE, SPACE_RUN, text_or_empty, words_of
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -19,8 +19,8 @@ BOILERPLATE = (
     "|privacy policy|sign in|log in|sign up|subscribe now|click here|read more|share this"
     "|skip to content|back to top"
 )
-#: A line with such a phrase fails only if it has at most so many words.
-BOILERPLATE_WORDS = 12
+#: A line with such a phrase fails only if it has at most so many characters.
+BOILERPLATE_CHARS = 120
 #: A line is navigation if it has one separator for so many words, or for fewer.
 NAV_WORDS = 4
 #: A line fails if over this share (per cent) of its characters are symbols.
@@ -32,24 +32,28 @@ LOST_PERCENT = 50
 WINDOW = 5
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def _solid(text: Column) -> Column:
-    return F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+def _symbols(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"[{SYMBOLS}]"))
+
+
+def _has_word(line: Column) -> Column:
+    return line.rlike(NOT_SPACE)
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line breaks a punctuation, navigation or boilerplate rule."""
+    """Whether a line breaks a punctuation, navigation or boilerplate rule; words are counted only where needed."""
     n_words = F.size(words_of(line))
     bars = _count(line, "|")
     loud = _count(line, "!")
     return (
         ((bars > 0) & (bars * NAV_WORDS >= n_words))
-        | (_count(line, SYMBOLS) * 100 > F.length(line) * SYMBOL_PERCENT)
+        | (_symbols(line) * 100 > F.length(line) * SYMBOL_PERCENT)
         | ((loud >= LOUD_LEAST) & (loud * LOUD_WORDS >= n_words))
-        | ((n_words <= BOILERPLATE_WORDS) & F.lower(line).rlike(f"\\b({BOILERPLATE})\\b"))
+        | ((F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike(f"\\b({BOILERPLATE})\\b"))
     )
 
 
@@ -98,19 +102,19 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
     own = docs.drop(*[c for c in added if c != text])
     t = text_or_empty(text)
-    lines = F.filter(F.split(t, "\n"), lambda x: _solid(x) > 0)
+    lines = F.filter(F.split(t, "\n"), _has_word)
     good = F.filter(F.split(t, "\n"), lambda x: ~line_fails(x))
     measured = own.withColumns({"__words": words_of(t), "__lines": lines, "__good": good})
     measured = measured.withColumns({
         "n_words": F.size("__words").cast("long"),
-        "word_chars": _solid(t).cast("long"),
-        "n_symbols": _count(t, SYMBOLS).cast("long"),
+        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+        "n_symbols": _symbols(t).cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": _repeat_words(F.col("__words")).cast("long"),
         "clean_text": F.array_join("__good", "\n"),
     })
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    lost = F.col("word_chars") - _solid(F.col("clean_text"))
+    lost = F.col("word_chars") - F.length(F.regexp_replace("clean_text", SPACE_RUN, ""))
     return measured.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (lost * 100 <= F.col("word_chars") * LOST_PERCENT)
     ).drop("__words", "__lines", "__good")
@@ -141,7 +145,7 @@ agg AS (
          coalesce(sum(solid) FILTER (WHERE
            (bars > 0 AND bars * {NAV_WORDS} >= nw) OR syms * 100 > length(l) * {SYMBOL_PERCENT}
            OR (loud >= {LOUD_LEAST} AND loud * {LOUD_WORDS} >= nw)
-           OR (nw <= {BOILERPLATE_WORDS} AND regexp_matches(lower(l), '\\b({BOILERPLATE})\\b'))), 0) AS lost
+           OR (length(l) <= {BOILERPLATE_CHARS} AND regexp_matches(lower(l), '\\b({BOILERPLATE})\\b'))), 0) AS lost
   FROM ln GROUP BY 1),
 m AS (
   SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(agg.solid AS BIGINT) AS word_chars,
