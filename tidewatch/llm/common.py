@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 
 #: Word separators of every operator: blank and the five ASCII controls from tab to carriage return.
 SPACE_RUN, NOT_SPACE = "[ \\t\\n\\x0B\\f\\r]+", "[^ \\t\\n\\x0B\\f\\r]"
-#: Rows that an Arrow batch holds at most; texts are long, so batches stay small.
-BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def slices(texts: list[str | None], chars: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Places where a list of texts is cut, so that no slice but a single text has more characters or rows."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or (end - at < rows and size + len(texts[end] or "") <= chars)):
+            size += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
+
+
 class Scratch:
     """Tables written to the shared folder, so that lost executors cost no recomputation of earlier steps.
 

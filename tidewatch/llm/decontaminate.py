@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Scratch, ngram_hashes, word_hashes
+from tidewatch.llm.common import Scratch, ngram_hashes, slices, word_hashes
 
 #: Words of a seed, and seeds that a passage must share with an item (one, for items with a single seed).
 SEED_WORDS, LEAST_SEEDS = 3, 2
@@ -28,8 +28,8 @@ LEAST_SCORE = 0.5
 BLOCK_WORDS = 1_000_000
 #: Cells of alignments made at once.
 CELLS = 4_000_000
-#: Bytes of text hashed at once.
-HASH_BYTES = 4_000_000
+#: Characters of text hashed at once.
+HASH_CHARS = 4_000_000
 
 
 @dataclass
@@ -168,17 +168,6 @@ def align(hashes: np.ndarray, counts: np.ndarray, seeds: Items) -> list[tuple[in
     return [(t, i, *found) for (t, i), found in sorted(best.items())]
 
 
-def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or "") < HASH_BYTES):
-            size += len(texts[end] or "")
-            end += 1
-        yield at, end
-        at = end
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                        item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Passages of documents that copy benchmark items: doc_id, item_id, score, first_word, end_word.
@@ -205,7 +194,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
             seeds = shared.value
             for pdf in batches:
                 own, texts, rows = pdf["doc_id"].tolist(), pdf["text"].tolist(), []
-                for a, b in _batches(texts):
+                for a, b in slices(texts, HASH_CHARS, len(texts)):
                     hashes, _, _, n = word_hashes(texts[a:b], plain=True)
                     rows += [(own[a + t], seeds.ids[i], *rest) for t, i, *rest in align(hashes, n, seeds)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "end_word"])
@@ -239,7 +228,7 @@ def _gram_counts(source: DataFrame, items: Items) -> tuple[dict[int, int], int]:
         total, n = np.zeros(len(grams), np.int64), 0
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for a, b in _batches(texts):
+            for a, b in slices(texts, HASH_CHARS, len(texts)):
                 hashes, _, _, counts = word_hashes(texts[a:b], plain=True)
                 t, _, g = gram_hits(hashes, counts, grams)
                 pairs = np.unique(t * len(grams) + g)

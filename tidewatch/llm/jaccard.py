@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Scratch, mix, ngram_hashes, word_hashes
+from tidewatch.llm.common import Scratch, mix, ngram_hashes, slices, word_hashes
 from tidewatch.llm.components import connected_components
 
 SHINGLE = 5
@@ -33,7 +33,7 @@ LEAF, FANOUT = 16, 8
 FLUSH_KEYS, PART_KEYS = 2_000_000, 600_000
 #: Texts in families are told to all tasks up to this number (16 bytes each); beyond, by a join.
 BROADCAST_DOCS = 400_000
-#: Bytes of text hashed at once.
+#: Characters of text hashed at once.
 HASH_CHARS = 4_000_000
 
 
@@ -49,12 +49,7 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingle hashes; the whole text is one if it has fewer words than a shingle."""
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or "") < HASH_CHARS):
-            size += len(texts[end] or "")
-            end += 1
+    for at, end in slices(texts, HASH_CHARS, len(texts)):
         hashes, _, _, counts = word_hashes(texts[at:end], lower=True)
         grams = ngram_hashes(hashes, SHINGLE)
         first = 0
@@ -64,7 +59,6 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
             else:
                 yield ngram_hashes(hashes[first : first + n], n) if n else np.empty(0, np.uint64)
             first += n
-        at = end
 
 
 _COPY = np.uint64(0xA0761D6478BD642F)

@@ -11,11 +11,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import text_or_empty
+from tidewatch.llm.common import slices, text_or_empty
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -23,6 +24,8 @@ _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 TABLE_CHUNKS = 300_000
 #: A longer chunk is segmented when met and not kept.
 KEPT_CHARS = 64
+#: Texts that are encoded at once.
+SLICE_CHARS, SLICE_ROWS = 2_000_000, 512
 
 
 class ChunkTable:
@@ -81,16 +84,18 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", keep: tu
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = ChunkTable(model)
-        for pdf in batches:
-            rows = table.rows(pdf.pop("text").tolist())
-            pdf["n_tokens"] = [r[1] for r in rows]
-            if digests:
-                pdf["ids_sha256"] = [hashlib.sha256(r[0].encode()).hexdigest() for r in rows]
-                pdf["decoded_sha256"] = [hashlib.sha256(r[2].encode("utf-8")).hexdigest() for r in rows]
-            else:
-                pdf["ids"] = [[int(i) for i in r[0].split(",")] if r[0] else [] for r in rows]
-                pdf["decoded"] = [r[2] for r in rows]
-            yield pdf
+        for whole in batches:
+            texts = whole.pop("text").tolist()
+            for a, b in slices(texts, SLICE_CHARS, SLICE_ROWS):
+                rows, pdf = table.rows(texts[a:b]), whole.iloc[a:b].copy()
+                pdf["n_tokens"] = [r[1] for r in rows]
+                if digests:
+                    pdf["ids_sha256"] = [hashlib.sha256(r[0].encode()).hexdigest() for r in rows]
+                    pdf["decoded_sha256"] = [hashlib.sha256(r[2].encode("utf-8")).hexdigest() for r in rows]
+                else:
+                    pdf["ids"] = [np.array(r[0].split(",") if r[0] else [], dtype=np.int32) for r in rows]
+                    pdf["decoded"] = [r[2] for r in rows]
+                yield pdf
 
     out = source.mapInPandas(run, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", *[x.split()[0] for x in ids])
