@@ -305,7 +305,6 @@ def test_pii_of_all_documents(spark, docs, awkward, empty):
         found = [m[0] for m in pattern.finditer(before[r.doc_id])]
         private = [v for v in found if not re.fullmatch(r"\d(?:[ -]?\d){12,18}", v) or luhn(re.sub(r"\D", "", v))]
         assert r.n_pii == len(private) and not any(v in r.text for v in private)
-        assert pattern.split(r.text)[::2] if False else len(r.text) >= 0
         if not private:
             assert r.text == before[r.doc_id]
     out = {(r.doc_id, r.text) for r in pii.pseudonymize(awkward, "secret").collect()}
