@@ -121,45 +121,56 @@ def log_likelihood(rows: dict[str, np.ndarray], family: Family, params) -> float
     return total if np.isfinite(total) else -math.inf
 
 
-def newton(f, start: np.ndarray, tol: float = 1e-10, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """(minimum, Hessian there) by damped Newton steps on central differences; the step shrinks until f falls."""
+def newton(f, start: np.ndarray, tol: float = 1e-10, steps: int = 200, many=None) -> tuple[np.ndarray, np.ndarray]:
+    """(minimum, Hessian there) by damped Newton steps on central differences; the step shrinks until f falls.
+
+    many: values at a list of points at once, so that a distributed objective needs one aggregation per step.
+    """
+    many = many or (lambda points: [f(p) for p in points])
     p = np.array(start, float)
-    value = f(p)
     k = len(p)
 
     def derive(p):
-        h = 1e-4 * np.maximum(1.0, np.abs(p))
-        grad, hess = np.zeros(k), np.zeros((k, k))
-        up = [f(p + h * e) for e in np.eye(k)]
-        down = [f(p - h * e) for e in np.eye(k)]
-        mid = f(p)
-        for i in range(k):
-            grad[i] = (up[i] - down[i]) / (2 * h[i])
-            hess[i, i] = (up[i] - 2 * mid + down[i]) / h[i] ** 2
-            for j in range(i):
-                ei, ej = h[i] * np.eye(k)[i], h[j] * np.eye(k)[j]
-                hess[i, j] = hess[j, i] = (f(p + ei + ej) - f(p + ei - ej) - f(p - ei + ej) + f(p - ei - ej)) / (4 * h[i] * h[j])
-        return grad, hess
+        h = np.diag(1e-4 * np.maximum(1.0, np.abs(p)))
+        pairs = [(i, j) for i in range(k) for j in range(i)]
+        points = [p, *(p + e for e in h), *(p - e for e in h)]
+        points += [p + a * h[i] + b * h[j] for i, j in pairs for a, b in ((1, 1), (1, -1), (-1, 1), (-1, -1))]
+        v = np.array(many(points), float)
+        step, up, down = h.diagonal(), v[1 : k + 1], v[k + 1 : 2 * k + 1]
+        hess = np.diag((up - 2 * v[0] + down) / step**2)
+        for (i, j), q in zip(pairs, v[2 * k + 1 :].reshape(-1, 4)):
+            hess[i, j] = hess[j, i] = (q[0] - q[1] - q[2] + q[3]) / (4 * step[i] * step[j])
+        return v[0], (up - down) / (2 * step), hess
 
     for _ in range(steps):
-        grad, hess = derive(p)
+        value, grad, hess = derive(p)
         if not (np.isfinite(grad).all() and np.isfinite(hess).all()):
             break
         vals, vecs = np.linalg.eigh(hess)
-        step = -vecs @ ((vecs.T @ grad) / np.maximum(np.abs(vals), 1e-8))
-        scale = 1.0
-        while scale > 1e-10:
-            new = f(p + scale * step)
-            if new < value:
-                break
-            scale /= 2
-        else:
+        move = -vecs @ ((vecs.T @ grad) / np.maximum(np.abs(vals), 1e-8))
+        scales = [0.5**i for i in range(8)]
+        tried = np.array(many([p + s * move for s in scales]), float)
+        better = np.flatnonzero(tried < value)
+        if not len(better):
             break
-        done = abs(value - new) <= tol * (abs(value) + tol)
-        p, value = p + scale * step, new
-        if done:
+        best = better[0]
+        p = p + scales[best] * move
+        if value - tried[best] <= tol * (abs(value) + tol):
             break
-    return p, derive(p)[1]
+    return p, derive(p)[2]
+
+
+def at_points(rows: DataFrame, points: list[np.ndarray], value) -> list[float]:
+    """Means over the rows of value(*parameters) at a few points: one aggregation. The points are a small table
+    joined to the rows, so that Spark compiles the expression once for all steps of a search. A null makes a mean
+    infinite."""
+    width = len(points[0])
+    names = ", ".join(f"__p{k} double" for k in range(width))
+    table = rows.sparkSession.createDataFrame([(j, *map(float, p)) for j, p in enumerate(points)], f"__point int, {names}").coalesce(1)
+    v = value(*[F.col(f"__p{k}") for k in range(width)])
+    found = rows.join(F.broadcast(table)).groupBy("__point").agg(F.avg(v).alias("v"), F.count_if(v.isNull() | F.isnan(v)).alias("bad")).collect()
+    means = {r["__point"]: math.inf if r.bad or r.v is None else r.v for r in found}
+    return [means.get(j, math.inf) for j in range(len(points))]
 
 
 def fit_mle(obs: DataFrame, family: str = "weibull") -> Fit:

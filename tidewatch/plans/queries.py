@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions import copulas
 from tidewatch.functions.distributions import DISTRIBUTIONS, STRESS, limited_failure, mixture, parallel, series
 from tidewatch.operators import comparison, competing, curves, degradation, metrics, observations, recurrent, risk
-from tidewatch.plans import fit, regression, turnbull
+from tidewatch.plans import fit, regression, renewal, tree, turnbull
+from tidewatch.sources import datasets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -240,13 +242,53 @@ def virtual_age_reduction(spark, sf_dir):
 @_query(f"""WITH {_OBS}, k AS (SELECT g, x, CASE WHEN c = 0 THEN prio END AS cause FROM obs), t AS (SELECT g, x, cause, CAST(COUNT(*) AS DOUBLE) AS d FROM k GROUP BY g, x, cause),
 a AS (SELECT g, x, SUM(d) AS o, COALESCE(SUM(d) FILTER (WHERE cause IS NOT NULL), 0) AS dd FROM t GROUP BY g, x),
 r AS (SELECT g, x, dd, SUM(o) OVER (PARTITION BY g ORDER BY x DESC) AS r FROM a),
-s AS (SELECT g, x, r, COALESCE(PRODUCT(1 - dd / r) OVER (PARTITION BY g ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS sb FROM r)
-SELECT g, cause, x, r, d, ROUND(SUM(d / r) OVER w, 7) AS cs_hazard, ROUND(SUM(sb * d / r) OVER w, 7) AS cif, ROUND(1 - EXP(-SUM(d / r) OVER w), 7) AS iif
+s AS (SELECT g, x, r, EXP(-SUM(dd / r) OVER (PARTITION BY g ORDER BY x)) AS s FROM r)
+SELECT g, cause, x, r, d, ROUND(SUM(d / r) OVER w, 7) AS cs_hazard, ROUND(SUM(s * d / r) OVER w, 7) AS cif, ROUND(s * d / r, 8) AS iif
 FROM t JOIN s USING (g, x) WHERE cause IS NOT NULL WINDOW w AS (PARTITION BY g, cause ORDER BY x)""")
 def cumulative_incidence(spark, sf_dir):
-    own = shipments(spark, sf_dir).withColumn("cause", F.when(F.col("c") == 0, F.col("prio")))
-    out = competing.cumulative_incidence(own, "x", "cause", by=("g",))
-    return out.select("g", "cause", "x", "r", "d", *[F.round(k, 7).alias(k) for k in ("cs_hazard", "cif", "iif")])
+    out = competing.cumulative_incidence(_causes(spark, sf_dir), "x", "cause", by=("g",))
+    return out.select("g", "cause", "x", "r", "d", F.round("cs_hazard", 7).alias("cs_hazard"), F.round("cif", 7).alias("cif"), F.round("iif", 8).alias("iif"))
+
+
+def _causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shipments(spark, sf_dir).withColumn("cause", F.when(F.col("c") == 0, F.col("prio")))
+
+
+@_query(f"""WITH {_OBS}, k AS (SELECT g, x, CASE WHEN c = 0 THEN prio END AS cause FROM obs), t AS (SELECT g, x, cause, CAST(COUNT(*) AS DOUBLE) AS d FROM k GROUP BY g, x, cause),
+a AS (SELECT g, x, SUM(d) AS o, COALESCE(SUM(d) FILTER (WHERE cause IS NOT NULL), 0) AS dd FROM t GROUP BY g, x),
+r AS (SELECT g, x, dd, SUM(o) OVER (PARTITION BY g ORDER BY x DESC) AS r FROM a),
+s AS (SELECT g, x, r, COALESCE(PRODUCT(1 - dd / r) OVER (PARTITION BY g ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS s FROM r)
+SELECT g, cause, x, ROUND(SUM(s * d / r) OVER (PARTITION BY g, cause ORDER BY x), 7) AS cif FROM t JOIN s USING (g, x) WHERE cause IS NOT NULL""")
+def aalen_johansen(spark, sf_dir):
+    out = competing.cumulative_incidence(_causes(spark, sf_dir), "x", "cause", by=("g",), method="km", left_limit=True)
+    return out.select("g", "cause", "x", F.round("cif", 7).alias("cif"))
+
+
+_CAUSES = f"""{_OBS}, k AS (SELECT g, x, q, CASE WHEN c = 0 THEN prio END AS cause FROM obs),
+tx AS (SELECT x, COUNT(*) AS m, COUNT(*) FILTER (WHERE cause IS NULL) AS c FROM k GROUP BY x), yx AS (SELECT x, c, SUM(m) OVER (ORDER BY x DESC) AS y FROM tx),
+gx AS (SELECT x, y, COALESCE(PRODUCT(1 - c / y::DOUBLE) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS gg FROM yx)"""
+
+
+@_query(f"""WITH {_CAUSES}, n AS (SELECT g, x, CAST(COUNT(*) AS DOUBLE) AS m, CAST(COUNT(*) FILTER (WHERE cause = '1-URGENT') AS DOUBLE) AS d, CAST(COUNT(*) FILTER (WHERE cause <> '1-URGENT') AS DOUBLE) AS o FROM k GROUP BY g, x),
+f AS (SELECT gs.g, gx.x, gx.gg, COALESCE(m, 0) AS m, COALESCE(d, 0) AS d, COALESCE(o, 0) AS o FROM gx CROSS JOIN (SELECT DISTINCT g FROM k) gs LEFT JOIN n ON n.g = gs.g AND n.x = gx.x),
+r AS (SELECT g, x, d, SUM(m) OVER (PARTITION BY g ORDER BY x DESC) + gg * COALESCE(SUM(CASE WHEN gg > 0 THEN o / gg END) OVER (PARTITION BY g ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM f),
+s AS (SELECT *, SUM(r) OVER (PARTITION BY x) AS rr, SUM(d) OVER (PARTITION BY x) AS dd FROM r),
+z AS (SELECT g, SUM(d - dd * r / rr) AS z FROM s WHERE dd > 0 GROUP BY g),
+v AS (SELECT a.g, b.g AS h, SUM(a.dd * (a.r / a.rr) * ((CASE WHEN a.g = b.g THEN 1 ELSE 0 END) - b.r / b.rr)) AS v FROM s a JOIN s b ON a.x = b.x WHERE a.dd > 0 GROUP BY 1, 2)
+SELECT v.g AS "group", v.h AS other, ROUND(z, 4) AS z, ROUND(v, 4) AS v FROM v JOIN z ON v.g = z.g""")
+def gray_terms(spark, sf_dir):
+    out = competing.gray_terms(_causes(spark, sf_dir), "x", "cause", "g", "1-URGENT")
+    return out.select("group", "other", F.round("z", 4).alias("z"), F.round("v", 4).alias("v"))
+
+
+@_query(f"""WITH {_CAUSES}, n AS (SELECT x, SUM(EXP(0.01 * q)) AS s0, SUM(EXP(0.01 * q) * q) AS s1, COALESCE(SUM(EXP(0.01 * q)) FILTER (WHERE cause <> '1-URGENT'), 0) AS o0,
+  COALESCE(SUM(EXP(0.01 * q) * q) FILTER (WHERE cause <> '1-URGENT'), 0) AS o1, CAST(COUNT(*) FILTER (WHERE cause = '1-URGENT') AS DOUBLE) AS d, COALESCE(SUM(q) FILTER (WHERE cause = '1-URGENT'), 0) AS dq FROM k GROUP BY x),
+r AS (SELECT x, d, dq, SUM(s0) OVER b + gg * COALESCE(SUM(CASE WHEN gg > 0 THEN o0 / gg END) OVER u, 0) AS r0, SUM(s1) OVER b + gg * COALESCE(SUM(CASE WHEN gg > 0 THEN o1 / gg END) OVER u, 0) AS r1 FROM n JOIN gx USING (x)
+  WINDOW b AS (ORDER BY x DESC), u AS (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT ROUND(SUM(0.01 * dq - d * LN(r0)), 2) AS ll, ROUND(SUM(dq - d * r1 / r0), 3) AS u_0 FROM r WHERE d > 0""")
+def fine_gray_terms(spark, sf_dir):
+    t = competing.fine_gray_terms(_causes(spark, sf_dir), "x", "cause", ["q"], [0.01], "1-URGENT")
+    return t.select(F.round("ll", 2).alias("ll"), F.round("u_0", 3).alias("u_0"))
 
 
 # --- prediction ----------------------------------------------------------------------------------
@@ -419,3 +461,89 @@ def turnbull_curve(spark, sf_dir):
     own = shipments(spark, sf_dir).select((F.col("x") - F.col("entry")).alias("lo"), F.col("x").alias("hi"), "c")
     rows = own.select(F.when(F.col("c") == 1, F.col("hi")).otherwise(F.greatest(F.lit(0.0), "lo")).alias("lo"), F.when(F.col("c") == 1, F.lit(float("inf"))).otherwise(F.col("hi")).alias("hi"))
     return turnbull.turnbull(observations.observations(rows, xl="lo", xr="hi"), tol=1e-7, steps=500)
+
+
+@_query(f"""WITH {_OBS}, a AS (SELECT x, CAST(SUM(1-c) AS DOUBLE) AS d, SUM(EXP(0.01 * q)) AS o FROM obs GROUP BY x), h AS (SELECT x, d / SUM(o) OVER (ORDER BY x DESC) AS h FROM a),
+b AS (SELECT x, SUM(h) OVER (ORDER BY x) AS hh FROM h) SELECT g, ROUND(SUM((1 - c) - hh * EXP(0.01 * q)), 4) AS total, ROUND(MIN((1 - c) - hh * EXP(0.01 * q)), 6) AS least FROM obs JOIN b USING (x) GROUP BY g""")
+def martingale_residuals(spark, sf_dir):
+    out = regression.martingale_residuals(shipments(spark, sf_dir), "x", "c", ["q"], [0.01])
+    return out.groupBy("g").agg(F.round(F.sum("martingale"), 4).alias("total"), F.round(F.min("martingale"), 6).alias("least"))
+
+
+@_query(f"""WITH {_OBS}, a AS (SELECT x, CAST(SUM(1-c) AS DOUBLE) AS d, SUM((1-c) * q) AS dq, SUM(EXP(0.01 * q)) AS s0, SUM(q * EXP(0.01 * q)) AS s1 FROM obs GROUP BY x),
+r AS (SELECT x, d, dq, SUM(s0) OVER (ORDER BY x DESC) AS r0, SUM(s1) OVER (ORDER BY x DESC) AS r1 FROM a) SELECT x, d, ROUND(dq - d * r1 / r0, 5) AS q FROM r WHERE d > 0""")
+def schoenfeld_residuals(spark, sf_dir):
+    return regression.schoenfeld_residuals(shipments(spark, sf_dir), "x", "c", ["q"], [0.01]).select("x", "d", F.round("q", 5).alias("q"))
+
+
+@_query(f"""WITH {_EV}, n AS (SELECT i, x AS xl, LEAD(x) OVER (PARTITION BY i ORDER BY x) AS xr, ROW_NUMBER() OVER (PARTITION BY i ORDER BY x DESC) AS k FROM (SELECT DISTINCT i, x FROM ev))
+SELECT i, xl, xr, CAST(CASE WHEN k = 2 THEN 0 ELSE 1 END AS INT) AS flag FROM n WHERE xr IS NOT NULL""")
+def covariate_episodes(spark, sf_dir):
+    line = _events(spark, sf_dir).select(F.col("user_id").alias("i"), "x").distinct().withColumn("c", F.lit(0))
+    return regression.episodes(line, "i", "x", "c").select("i", "xl", "xr", "flag")
+
+
+@_query()
+def fine_gray_regression(spark, sf_dir):
+    m = regression.fit_fine_gray(_causes(spark, sf_dir), "x", "cause", ["q", "disc"], "1-URGENT")
+    return spark.createDataFrame([(k, float(b)) for k, b in zip(m.names, m.beta)], "covariate string, beta double")
+
+
+@_query()
+def parametric_regressions(spark, sf_dir):
+    own = shipments(spark, sf_dir).filter("x > 0").withColumn("z", F.col("q") / 50)
+    rows = [(kind, k, v) for kind in ("ph", "aft", "po", "ah") for k, v in regression.fit_parametric(own, "x", "c", ["z"], kind, "exponential" if kind == "ah" else "weibull").items()]
+    return spark.createDataFrame(rows, "kind string, param string, value double")
+
+
+@_query("""WITH p AS (SELECT p_partkey, (p_size + 0.5) / 52.0::DOUBLE AS u, (p_partkey % 97 + 1) / 99.0::DOUBLE AS v FROM part)
+SELECT p_partkey, ROUND(POW(POW(u, -2) + POW(v, -2) - 1, -0.5), 7) AS clayton, ROUND(EXP(-SQRT(POW(-LN(u), 2) + POW(-LN(v), 2))), 7) AS gumbel,
+ROUND(-LN(1 + (EXP(-3 * u) - 1) * (EXP(-3 * v) - 1) / (EXP(-3) - 1)) / 3, 7) AS frank, ROUND(u * v, 7) AS independence FROM p""")
+def copula_probability(spark, sf_dir):
+    own = _read(spark, sf_dir, "part").select("p_partkey", ((F.col("p_size") + 0.5) / 52.0).alias("u"), ((F.col("p_partkey") % 97 + 1) / 99.0).alias("v"))
+    theta = {"clayton": 2.0, "gumbel": 2.0, "frank": 3.0, "independence": 0.0}
+    return own.select("p_partkey", *[F.round(copulas.COPULAS[k].cdf(F.col("u"), F.col("v"), t), 7).alias(k) for k, t in theta.items()])
+
+
+@_query()
+def copula_fit(spark, sf_dir):
+    own = copulas.pseudo_observations(_read(spark, sf_dir, "part").select(F.col("p_retailprice").alias("x"), (F.col("p_retailprice") + 20 * F.col("p_size")).alias("y")), "x", "y")
+    rows = [(k, copulas.fit_copula(own, k, lo, hi)) for k, lo, hi in (("clayton", 0.05, 12.0), ("gumbel", 1.01, 12.0), ("frank", 0.1, 30.0))]
+    return spark.createDataFrame(rows, "copula string, theta double")
+
+
+@_query(f"""WITH {_OBS}, t AS (SELECT UNNEST([10.0::DOUBLE, 25.0::DOUBLE, 40.0::DOUBLE]) AS cut), s AS (SELECT cut, CAST(SUM(1-c) FILTER (WHERE q <= cut) AS DOUBLE) AS dl, SUM(x) FILTER (WHERE q <= cut) AS xl,
+ CAST(SUM(1-c) FILTER (WHERE q > cut) AS DOUBLE) AS dr, SUM(x) FILTER (WHERE q > cut) AS xr, CAST(COUNT(*) FILTER (WHERE q <= cut) AS DOUBLE) AS nl FROM obs, t GROUP BY cut)
+SELECT cut, ROUND(dl * LN(dl / xl) + dr * LN(dr / xr) - (dl + dr) * LN((dl + dr) / (xl + xr)), 4) AS gain, nl AS n_left, dl AS d_left FROM s""")
+def tree_split_gains(spark, sf_dir):
+    out = tree.split_gains(shipments(spark, sf_dir), F.lit(1), "x", "c", {"q": [10.0, 25.0, 40.0]})
+    return out.select("cut", F.round("gain", 4).alias("gain"), "n_left", "d_left")
+
+
+@_query()
+def survival_tree(spark, sf_dir):
+    own = shipments(spark, sf_dir)
+    rules = tree.grow_tree(own, "x", "c", ["q", "disc"], depth=2)
+    return tree.leaf_rates(own, rules, "x", "c")
+
+
+@_query()
+def survival_forest(spark, sf_dir):
+    own = shipments(spark, sf_dir)
+    forest = tree.grow_forest(own, "x", "c", ["q", "disc"], trees=2, depth=2)
+    return own.groupBy("g").agg(F.avg(tree.forest_survival(forest, F.lit(60.0))).alias("sf_60"))
+
+
+@_query()
+def renewal_fits(spark, sf_dir):
+    systems = datasets.general_repair(spark)
+    events = recurrent.recurrent_events(systems, "i", "x", c="c")
+    rows = [(k, n, v) for k in ("kijima-1", "kijima-2", "g1") for n, v in renewal.fit_renewal(events, k, "weibull").items()]
+    rows += [(k, n, v) for k in ("homogeneous", "crow-amsaa", "duane", "cox-lewis") for n, v in renewal.fit_intensity(events.withColumn("x", F.col("x") / 1000), k).items()]
+    return spark.createDataFrame(rows, "model string, param string, value double")
+
+
+@_query("SELECT CAST(COUNT(*) AS BIGINT) AS n, ROUND(SUM(x - p), 4) AS total FROM (SELECT x, COALESCE(LAG(x) OVER (PARTITION BY i ORDER BY x), 0) AS p FROM (SELECT user_id AS i, ROUND(date_diff('second', TIMESTAMP '2020-01-01', ts) / 3600.0::DOUBLE, 6) AS x FROM events))")
+def rescaled_gaps(spark, sf_dir):
+    out = renewal.rescaled_gaps(_rec(spark, sf_dir), lambda t: t)
+    return out.agg(F.count("*").alias("n"), F.round(F.sum("residual"), 4).alias("total"))

@@ -60,29 +60,134 @@ def cox_terms(df: DataFrame, x: str, c: str, z: list[str], beta: list[float], st
         *[F.sum(F.col("d") * (F.col(f"r_s2_{i}_{j}") / F.col("r_s0") - mean[i] * mean[j])).alias(f"h_{i}_{j}") for i in p for j in p if j <= i])
 
 
-def fit_cox(df: DataFrame, x: str, c: str, z: list[str], strata: tuple[str, ...] = (), n: str | None = None, tl: str | None = None, tol: float = 1e-9, steps: int = 30) -> CoxFit:
-    """Proportional hazards by Newton steps with halving. c: 0 event, 1 censored; rows with null covariates go."""
-    own = df.dropna(subset=[x, c, *z]).select(*strata, x, c, *z, *([n] if n else []), *([tl] if tl else [])).cache()
+def _climb(terms, z: list[str], tol: float, steps: int) -> CoxFit:
+    """Newton steps with halving on a row of ll, u_i and h_i_j as a function of beta."""
     beta, best, k = np.zeros(len(z)), None, 0
     step = np.zeros(len(z))
+    u, h = np.zeros(len(z)), np.eye(len(z))
     for k in range(steps):
-        row = cox_terms(own, x, c, z, list(beta), strata, n, tl).first()
+        row = terms(list(beta))
         if best is not None and row.ll < best.ll - 1e-12 * abs(best.ll):
             step = step / 2
             beta = beta - step
             continue
-        gain = None if best is None else row.ll - best.ll
         best = row
         u = np.array([row[f"u_{i}"] for i in range(len(z))])
         h = np.array([[row[f"h_{max(i, j)}_{min(i, j)}"] for j in range(len(z))] for i in range(len(z))])
         step = np.linalg.solve(h, u)
-        if np.abs(step).max() < tol or (gain is not None and gain < tol * tol):
+        if np.abs(step).max() < tol:
             break
         beta = beta + step
-    own.unpersist()
     return CoxFit(z, beta, np.linalg.inv(h), best.ll, u, k + 1)
 
 
+def fit_cox(df: DataFrame, x: str, c: str, z: list[str], strata: tuple[str, ...] = (), n: str | None = None, tl: str | None = None, tol: float = 1e-9, steps: int = 30) -> CoxFit:
+    """Proportional hazards with Breslow ties. c: 0 event, 1 censored; rows with null covariates go. Episodes of
+    time-varying covariates are rows with their starts in tl."""
+    own = df.dropna(subset=[x, c, *z]).select(*dict.fromkeys([*strata, x, c, *z, *([n] if n else []), *([tl] if tl else [])])).cache()
+    fit = _climb(lambda beta: cox_terms(own, x, c, z, beta, strata, n, tl).first(), z, tol, steps)
+    own.unpersist()
+    return fit
+
+
+def fit_fine_gray(df: DataFrame, x: str, cause: str, z: list[str], of: str, tol: float = 1e-9, steps: int = 30) -> CoxFit:
+    """Subdistribution hazard regression of one cause; a null cause is censored."""
+    from tidewatch.operators.competing import fine_gray_terms
+
+    own = df.dropna(subset=[x, *z]).select(*dict.fromkeys([x, cause, *z])).cache()
+    fit = _climb(lambda beta: fine_gray_terms(own, x, cause, z, beta, of).first(), z, tol, steps)
+    own.unpersist()
+    return fit
+
+
+def episodes(df: DataFrame, unit: str, x: str, c: str) -> DataFrame:
+    """A timeline of covariate changes as episodes (xl, xr]: each row lasts to the unit's next row, the flag is
+    that of the terminal row, which itself gives no episode."""
+    w = Window.partitionBy(unit).orderBy(x)
+    own = df.withColumns({"xl": F.col(x).cast("double"), "xr": F.lead(x).over(w).cast("double"), "__c": F.lead(c).over(w), "__end": F.row_number().over(Window.partitionBy(unit).orderBy(F.desc(x)))})
+    return own.filter("xr is not null").withColumn("flag", F.when(F.col("__end") == 2, F.col("__c")).otherwise(1)).drop("__c", "__end")
+
+
+def martingale_residuals(df: DataFrame, x: str, c: str, z: list[str], beta: list[float]) -> DataFrame:
+    """The rows with martingale and deviance residuals: each time's baseline joins back on the time."""
+    base = cox_baseline(df, x, c, z, beta).select(F.col("x").alias("__x"), F.col("cum_hazard").alias("__h"))
+    eta = sum((F.lit(float(b)) * F.col(k) for b, k in zip(beta, z)), F.lit(0.0))
+    d = F.when(F.col(c) == 0, 1.0).otherwise(0.0)
+    out = df.withColumn("__x", F.col(x).cast("double")).join(base, "__x").withColumn("martingale", d - F.col("__h") * F.exp(eta))
+    m = F.col("martingale")
+    size = F.sqrt(F.greatest(F.lit(0.0), -2 * (m + d * F.ln(F.when(d - m > 0, d - m).otherwise(1.0)))))
+    return out.withColumn("deviance", F.signum(m) * size).drop("__x", "__h")
+
+
+def schoenfeld_residuals(df: DataFrame, x: str, c: str, z: list[str], beta: list[float]) -> DataFrame:
+    """(x, d, one column per covariate): per event time, the events' covariates less their risk-set means."""
+    p = range(len(z))
+    eta = sum((F.lit(float(b)) * F.col(k) for b, k in zip(beta, z)), F.lit(0.0))
+    event = F.col(c) == 0
+    grid = df.withColumn("__p", F.exp(eta)).groupBy(F.col(x).cast("double").alias("x")).agg(
+        F.sum(event.cast("double")).alias("d"), F.sum("__p").alias("s0"), *[F.sum(F.col("__p") * F.col(z[i])).alias(f"s{i + 1}") for i in p],
+        *[F.sum(F.when(event, F.col(z[i])).otherwise(0.0)).alias(f"dz{i}") for i in p])
+    back = Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = grid.withColumns({f"r{i}": F.sum(f"s{i}").over(back) for i in range(len(z) + 1)}).filter("d > 0")
+    return sums.select("x", "d", *[(F.col(f"dz{i}") - F.col("d") * F.col(f"r{i + 1}") / F.col("r0")).alias(z[i]) for i in p])
+
+
+def _baselines():
+    """Log hazard and cumulative hazard of baselines as columns of a time and parameters on the log scale."""
+    w = lambda x, a, b: F.pow(x / F.exp(a), F.exp(b))
+    return {
+        "exponential": (1, lambda x, a: F.exp(-a) * x, lambda x, a: -a + x * 0),
+        "weibull": (2, w, lambda x, a, b: b - a + (F.exp(b) - 1) * (F.ln(x) - a)),
+        "loglogistic": (2, lambda x, a, b: F.log1p(w(x, a, b)), lambda x, a, b: b - a + (F.exp(b) - 1) * (F.ln(x) - a) - F.log1p(w(x, a, b))),
+    }
+
+
+def fit_parametric(df: DataFrame, x: str, c: str, z: list[str], kind: str = "ph", baseline: str = "weibull", tl: str | None = None) -> dict[str, float]:
+    """Parametric regression: hazards times exp(Zb) (ph), time times exp(Zb) (aft), odds times exp(Zb) (po) or
+    hazards plus Zb (ah). Each Newton step is one aggregation over the rows at all shifted parameters."""
+    from tidewatch.plans.fit import at_points, newton
+
+    size, H0, h0 = _baselines()[baseline]
+    own = df.dropna(subset=[x, c, *z]).filter(F.col(x) > 0).select(*dict.fromkeys([x, c, *z, *([tl] if tl else [])])).cache()
+    mean = own.agg(F.avg(x)).first()[0]
+
+    def loss(*params: Column) -> Column:
+        base, beta = params[:size], params[size:]
+        lin = sum((b * F.col(k) for b, k in zip(beta, z)), F.lit(0.0))
+
+        def cum(t):
+            if kind == "ph":
+                return F.exp(lin) * H0(t, *base)
+            if kind == "aft":
+                return H0(F.exp(lin) * t, *base)
+            if kind == "po":  # S = phi S0 / (F0 + phi S0)
+                s = F.exp(-H0(t, *base))
+                return -F.ln(F.exp(lin) * s / (1 - s + F.exp(lin) * s))
+            return H0(t, *base) + lin * t
+
+        def log_hazard(t):
+            if kind == "ph":
+                return lin + h0(t, *base)
+            if kind == "aft":
+                return lin + h0(F.exp(lin) * t, *base)
+            if kind == "po":
+                s = F.exp(-H0(t, *base))
+                return h0(t, *base) - F.ln(1 - s + F.exp(lin) * s)
+            rate = F.exp(h0(t, *base)) + lin
+            return F.ln(F.when(rate > 0, rate))
+
+        t = F.col(x).cast("double")
+        entry = F.when(F.col(tl) > 0, cum(F.greatest(F.col(tl).cast("double"), F.lit(1e-12)))).otherwise(0.0) if tl else F.lit(0.0)
+        return cum(t) - entry - F.when(F.col(c) == 0, log_hazard(t)).otherwise(0.0)
+
+    many = lambda points: at_points(own, points, loss)
+    start = np.zeros(size + len(z))
+    start[0] = np.log(mean)
+    best, _ = newton(lambda p: many([p])[0], start, tol=1e-10, steps=40, many=many)
+    own.unpersist()
+    return dict(zip([*(f"log_{k}" for k in ("scale", "shape")[:size]), *z], map(float, best)))
+
+
 def cox_baseline(df: DataFrame, x: str, c: str, z: list[str], beta: list[float], strata: tuple[str, ...] = ()) -> DataFrame:
     """(strata, x, d, risk, hazard, cum_hazard): Breslow's baseline hazard."""
     eta = sum((F.lit(float(b)) * F.col(k) for b, k in zip(beta, z)), F.lit(0.0))
