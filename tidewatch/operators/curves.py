@@ -137,3 +137,60 @@ def plotting_positions(obs: DataFrame, heuristic: str = "Blom", by: tuple[str, .
 def success_run(n: Column, alpha: float = 0.05) -> Column:
     """The reliability that n successes in a row show."""
     return F.pow(F.lit(alpha), 1 / n)
+
+
+def restricted_mean_difference(curve: DataFrame, group: str, tau: float, alpha: float = 0.05, sf: str = "km") -> DataFrame:
+    """(a, b, difference, se, lower, upper, ratio, z): restricted means of each pair of groups, the first less the second."""
+    own = restricted_mean(curve, tau, sf, (group,))
+    a = own.select(F.col(group).alias("a"), F.col("rmst").alias("ra"), F.col("variance").alias("va"), F.lit(0).alias("k"))
+    b = own.select(F.col(group).alias("b"), F.col("rmst").alias("rb"), F.col("variance").alias("vb"), F.lit(0).alias("k"))
+    z = NormalDist().inv_cdf(1 - alpha / 2)
+    both = a.join(b, "k").filter("a < b").withColumns({"difference": F.col("ra") - F.col("rb"), "se": F.sqrt(F.col("va") + F.col("vb"))})
+    return both.select("a", "b", "difference", "se", (F.col("difference") - z * F.col("se")).alias("lower"), (F.col("difference") + z * F.col("se")).alias("upper"),
+                       F.try_divide("ra", "rb").alias("ratio"), F.try_divide("difference", "se").alias("z"))
+
+
+def quantile_limits(limits: DataFrame, p: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, lower, upper): limits of a quantile, by inverting the curve's limits (rows with lower and upper)."""
+    return limits.groupBy(*by).agg(F.min(F.when(F.col("lower") <= 1 - p, F.col("x"))).alias("lower"), F.min(F.when(F.col("upper") < 1 - p, F.col("x"))).alias("upper"))
+
+
+def bootstrap_limits(obs: DataFrame, times: list[float], replicates: int = 200, alpha: float = 0.05, seed: int = 1) -> DataFrame:
+    """(t, lower, upper): percentile limits of Kaplan-Meier from Poisson-weighted replicates.
+
+    Rows are compressed first; each distinct row then meets each replicate once, with a Poisson count that stands
+    for its n rows (a normal approximation above 30), and all replicates' curves are made in one job.
+    """
+    from tidewatch.operators.observations import compress
+    from tidewatch.operators.risk import simple_risk_table
+
+    packed = compress(obs).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    u = F.rand(seed)
+    small = F.aggregate(F.sequence(F.lit(0), F.lit(80)), F.struct(F.lit(0.0).alias("k"), F.exp(-F.least("n", F.lit(30.0))).alias("p"), F.lit(0.0).alias("c"), F.col("u").alias("u")), lambda a, i: F.struct(
+        F.when(a["c"] + a["p"] < a["u"], a["k"] + 1).otherwise(a["k"]).alias("k"), (a["p"] * F.least("n", F.lit(30.0)) / (i + 1)).alias("p"), (a["c"] + a["p"]).alias("c"), a["u"].alias("u")), lambda a: a["k"])
+    drawn = F.when(F.col("n") <= 30, small).otherwise(F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * F.col("g"))))
+    weighted = packed.withColumns({"u": u, "g": F.randn(seed + 1)}).withColumn("n", drawn).filter("n > 0").select("rep", "x", "x_hi", "c", "n", "tl", "tr")
+    curve = survival_curves(simple_risk_table(weighted, ("rep",)), ("rep",))
+    probes = curve.select("rep").distinct().withColumn("t", F.explode(F.array(*[F.lit(float(t)) for t in times])))
+    found = at(curve, probes, {"km": 1.0}, ("rep",))
+    return found.groupBy("t").agg(F.percentile("km", F.lit(alpha / 2)).alias("lower"), F.percentile("km", F.lit(1 - alpha / 2)).alias("upper"))
+
+
+def simultaneous_band(curve: DataFrame, n: float, alpha: float = 0.05, paths: int = 4000, steps: int = 500, seed: int = 1) -> DataFrame:
+    """The curve's rows with lower and upper of the Hall-Wellner band; the critical value is the quantile of the
+    supremum of simulated Brownian bridges over the curve's range."""
+    import numpy as np
+
+    k = F.col("greenwood") * n / (1 + n * F.col("greenwood"))
+    own = curve.withColumn("__k", k)
+    top = own.filter("d > 0").agg(F.min("__k"), F.max("__k")).first()
+    rng = np.random.default_rng(seed)
+    moves = rng.normal(0, (1 / steps) ** 0.5, (paths, steps)).cumsum(axis=1)
+    grid = np.arange(1, steps + 1) / steps
+    bridge = np.abs(moves - grid * moves[:, -1:])
+    inside = (grid >= (top[0] or 0.0)) & (grid <= (top[1] or 1.0))
+    c = float(np.quantile(bridge[:, inside].max(axis=1), 1 - alpha)) if inside.any() else float("nan")
+    half = c / n**0.5 * (1 + n * F.col("greenwood"))
+    s, log_s = F.col("km"), F.ln(F.when((F.col("km") > 0) & (F.col("km") < 1), F.col("km")))
+    grow = F.exp(half / log_s)
+    return own.withColumns({"lower": F.coalesce(F.pow(s, 1 / grow), F.when(s == 1, 1.0), F.lit(0.0)), "upper": F.coalesce(F.pow(s, grow), F.when(s == 1, 1.0))}).drop("__k")

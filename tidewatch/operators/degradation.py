@@ -40,3 +40,55 @@ def wiener_fit(steps: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     drift = own.groupBy(*by).agg(F.count("*").alias("m"), (F.sum("dy") / F.sum("dt")).alias("drift"), F.sum(F.col("dy") * F.col("dy") / F.col("dt")).alias("s2"),
                                  F.sum("dy").alias("sy"), F.sum("dt").alias("st"))
     return drift.select(*by, "m", "drift", F.sqrt((F.col("s2") - F.col("sy") * F.col("sy") / F.col("st")) / F.col("m")).alias("sigma"))
+
+
+def quadratic_paths(df: DataFrame, unit: str, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, unit, m, a, b, c): y = a + b x + c x^2 by least squares; the 3 by 3 system is solved by Cramer's rule
+    on centred times, one aggregation for all units."""
+    from pyspark.sql import Window as W
+
+    centre = F.avg(x).over(W.partitionBy(*by, unit))
+    own = df.select(*by, F.col(unit).alias("unit"), centre.alias("o"), (F.col(x).cast("double") - centre).alias("z"), F.col(y).cast("double").alias("v"))
+    z, v = F.col("z"), F.col("v")
+    s = own.groupBy(*by, "unit").agg(F.max("o").alias("o"), F.count("*").cast("double").alias("m"), F.sum(z * z).alias("s2"), F.sum(z * z * z).alias("s3"), F.sum(z * z * z * z).alias("s4"),
+                                     F.sum(v).alias("t0"), F.sum(z * v).alias("t1"), F.sum(z * z * v).alias("t2"))
+    m, s2, s3, s4, t0, t1, t2 = (F.col(k) for k in ("m", "s2", "s3", "s4", "t0", "t1", "t2"))
+    det = m * (s2 * s4 - s3 * s3) - s2 * s2 * s2
+    c = F.try_divide(m * (s2 * t2 - s3 * t1) - s2 * s2 * t0, det)
+    b = F.try_divide(t1 - c * s3, s2)
+    a = (t0 - c * s2) / m
+    o = F.col("o")
+    return s.select(*by, "unit", m.cast("long").alias("m"), (a - b * o + c * o * o).alias("a"), (b - 2 * c * o).alias("b"), c.alias("c"))
+
+
+def gamma_process_terms(steps: DataFrame, shape: float) -> DataFrame:
+    """One row of the sums that the likelihood of a gamma process needs at a shape rate: m, s_dt, s_dy, s_log, s_shape_log."""
+    own = steps.filter("dt > 0 and dy > 0")
+    return own.agg(F.count("*").alias("m"), F.sum("dt").alias("s_dt"), F.sum("dy").alias("s_dy"), F.sum(F.ln("dy")).alias("s_log"), F.sum((shape * F.col("dt") - 1) * F.ln("dy")).alias("s_shape_log"))
+
+
+def gamma_process_fit(steps: DataFrame) -> tuple[float, float]:
+    """(shape rate, scale) of increments Gamma(shape dt, scale): steps are counted per distinct dt, and the profile
+    likelihood in the shape runs over those."""
+    import math
+
+    import numpy as np
+
+    from tidewatch.functions.special import lgamma
+
+    rows = steps.filter("dt > 0 and dy > 0").groupBy("dt").agg(F.count("*").alias("m"), F.sum("dy").alias("y"), F.sum(F.ln("dy")).alias("l")).toPandas()
+    dt, m, y, log_y = (rows[k].to_numpy(float) for k in ("dt", "m", "y", "l"))
+
+    def loss(q):
+        a = math.exp(q)
+        scale = y.sum() / (a * (m * dt).sum())
+        return -float(((a * dt - 1) * log_y - m * lgamma(a * dt) - m * a * dt * math.log(scale)).sum() - y.sum() / scale)
+
+    grid = np.linspace(-12, 12, 49)
+    k = int(np.argmin([loss(q) for q in grid]))
+    lo, hi = grid[max(0, k - 1)], grid[min(48, k + 1)]
+    for _ in range(100):  # golden section
+        a, b = hi - (hi - lo) * 0.618, lo + (hi - lo) * 0.618
+        lo, hi = (lo, b) if loss(a) < loss(b) else (a, hi)
+    shape = math.exp((lo + hi) / 2)
+    return shape, float(y.sum() / (shape * (m * dt).sum()))

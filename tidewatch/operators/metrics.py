@@ -74,3 +74,10 @@ def roc_at(df: DataFrame, x: str, c: str, risk: str, t: float) -> DataFrame:
     below = F.coalesce(F.sum("control").over(w), F.lit(0.0))
     return cells.withColumn("win", F.col("case") * (below + F.col("control") / 2)).agg(
         F.try_divide(F.sum("win"), F.sum("case") * F.sum("control")).alias("auc"))
+
+
+def integrated_brier_score(scores: DataFrame) -> DataFrame:
+    """(ibs): the trapezoid mean of (t, brier) over their range of times."""
+    w = Window.orderBy("t")  # a row per horizon
+    own = scores.withColumns({"__dt": F.col("t") - F.lag("t").over(w), "__m": (F.col("brier") + F.lag("brier").over(w)) / 2})
+    return own.agg(F.try_divide(F.sum(F.col("__dt") * F.col("__m")), F.max("t") - F.min("t")).alias("ibs"))

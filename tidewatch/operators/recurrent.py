@@ -94,3 +94,30 @@ def arithmetic_reduction_age(events: DataFrame, rho: float, m: int, by: tuple[st
     last = F.reverse(F.collect_list("x").over(_item(by).rowsBetween(-m, -1)))
     cut = F.aggregate(F.transform(last, lambda t, j: F.lit(rho) * F.pow(F.lit(1 - rho), j) * t), F.lit(0.0), lambda a, v: a + v)
     return own.withColumn("virtual_age", F.coalesce(F.get(last, 0) - cut, F.lit(0.0)))
+
+
+def in_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """Events with the entry `tl` and end `close` of the observation window they fall into: an equi-join by item and
+    a range test; of touching windows the first counts. Events outside all windows of their item are dropped: see
+    `outside_windows`."""
+    own = events.drop("tl").join(windows.select("i", F.col("start").cast("double").alias("tl"), F.col("end").cast("double").alias("close")), "i").filter("x >= tl and x <= close")
+    first = Window.partitionBy("i", "x", "c").orderBy("tl")
+    return own.withColumn("__k", F.dense_rank().over(first)).filter("__k = 1").drop("__k")
+
+
+def outside_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """Events that no window of their item holds."""
+    own = windows.select(F.col("i").alias("__i"), "start", "end")
+    return events.join(own, (events["i"] == own["__i"]) & (events["x"] >= own["start"]) & (events["x"] <= own["end"]), "left_anti")
+
+
+def mcf_limits(mcf: DataFrame, alpha: float = 0.05, kind: str = "exp") -> DataFrame:
+    """lower and upper of a mean cumulative function: on the log scale (exp) or plain (normal)."""
+    from statistics import NormalDist
+
+    z = NormalDist().inv_cdf(1 - alpha / 2)
+    m, se = F.col("mcf"), F.sqrt("variance")
+    if kind == "normal":
+        return mcf.withColumns({"lower": m - z * se, "upper": m + z * se})
+    w = F.exp(z * F.try_divide(se, m))
+    return mcf.withColumns({"lower": m / w, "upper": m * w})

@@ -251,3 +251,107 @@ def fit_closed(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def moments(obs: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, m1 .. mk): weighted raw moments."""
     return obs.groupBy(*by).agg(*[(F.sum(F.col("n") * F.pow("x", F.lit(float(j)))) / F.sum("n")).alias(f"m{j}") for j in range(1, k + 1)])
+
+
+def fit_defective(obs: DataFrame, family: str = "weibull") -> Fit:
+    """A family where only a share p ever fails (rows with flags 0 and 1): survival 1 - p + p S."""
+    spec = FAMILIES[family]
+    pdf = compress(obs).toPandas()
+    x, c, n = (pdf[k].to_numpy(float) for k in ("x", "c", "n"))
+    dead = c == 0
+
+    def loss(q):
+        p = 1 / (1 + math.exp(-q[-1])) if abs(q[-1]) < 700 else float(q[-1] > 0)
+        params = [math.exp(min(v, 700)) if pos else v for v, pos in zip(q[:-1], spec.positive)]
+        with np.errstate(all="ignore"):
+            out = np.where(dead, math.log(max(p, 1e-300)) + spec.log_df(x, *params), np.log(1 - p + p * np.exp(spec.log_sf(x, *params))))
+        total = float(np.sum(n * out))
+        return -total / n.sum() if np.isfinite(total) else math.inf
+
+    share = float(n[dead].sum() / n.sum())
+    start = [math.log(v) if pos else v for v, pos in zip(spec.start(x[dead], n[dead]), spec.positive)] + [math.log(share / max(1 - share, 1e-6)) + 0.5]
+    best, hess = newton(loss, np.array(start))
+    params = {k: (math.exp(v) if pos else float(v)) for k, v, pos in zip(spec.params, best, spec.positive)}
+    return Fit(family, params, np.linalg.pinv(hess * n.sum()), loss(best) * n.sum(), float(n.sum()), float(n[dead].sum()), {"p": 1 / (1 + math.exp(-best[-1]))})
+
+
+def fit_mixture(obs: DataFrame, components: int = 2, steps: int = 200, tol: float = 1e-9) -> list[tuple[float, float, float]]:
+    """(weight, alpha, beta) of a mixture of Weibulls by EM on compressed rows with flags 0 and 1.
+
+    Each M-step solves the weighted shape equation of every component by Newton's method.
+    """
+    pdf = compress(obs).toPandas().sort_values("x")
+    x, c, n = (pdf[k].to_numpy(float) for k in ("x", "c", "n"))
+    dead, spec = c == 0, FAMILIES["weibull"]
+    part = np.minimum((np.cumsum(n) / n.sum() * components).astype(int), components - 1)
+    resp = np.where(np.arange(components)[:, None] == part, 0.8, 0.2 / max(1, components - 1))
+    old = -math.inf
+    out = []
+    for _ in range(steps):
+        out = []
+        for k in range(components):
+            w = resp[k] * n
+            b, d = 1.0, float(w[dead].sum())
+            for _ in range(60):
+                xb = x**b
+                s0, s1, s2 = (w * xb).sum(), (w * xb * np.log(x)).sum(), (w * xb * np.log(x) ** 2).sum()
+                f = 1 / b + (w[dead] * np.log(x[dead])).sum() / d - s1 / s0
+                step = f / (-1 / b**2 - (s2 / s0 - (s1 / s0) ** 2))
+                b = max(b - step, b / 3)
+                if abs(step) < 1e-12:
+                    break
+            out.append((float(w.sum() / n.sum()), float(((w * x**b).sum() / d) ** (1 / b)), float(b)))
+        like = np.array([m * np.exp(np.where(dead, spec.log_df(x, a, b), spec.log_sf(x, a, b))) for m, a, b in out])
+        total = like.sum(axis=0)
+        resp = like / total
+        now = float((n * np.log(total)).sum())
+        if abs(now - old) < tol * abs(now):
+            break
+        old = now
+    return sorted(out, key=lambda t: t[1])
+
+
+def fit_spacings(obs: DataFrame, family: str = "weibull") -> dict[str, float]:
+    """Maximum product of spacings for complete rows; ties count by density."""
+    spec = FAMILIES[family]
+    pdf = compress(obs.filter("c = 0")).toPandas().groupby("x", as_index=False)["n"].sum().sort_values("x")
+    x, n = pdf["x"].to_numpy(float), pdf["n"].to_numpy(float)
+    pos = np.array(spec.positive)
+
+    def loss(q):
+        params = np.where(pos, np.exp(np.clip(q, -700, 700)), q)
+        with np.errstate(all="ignore"):
+            sf = np.concatenate(([1.0], np.exp(spec.log_sf(x, *params)), [0.0]))
+            out = np.log(np.maximum(sf[:-1] - sf[1:], 1e-300)).sum() + ((n - 1) * spec.log_df(x, *params)).sum()
+        return -float(out) / n.sum() if np.isfinite(out) else math.inf
+
+    start = spec.start(x, n)
+    best, _ = newton(loss, np.where(pos, np.log(np.where(pos, start, 1.0)), start))
+    return dict(zip(spec.params, map(float, np.where(pos, np.exp(best), best))))
+
+
+def fit_curve(curve: DataFrame, family: str = "weibull", sf: str = "fh") -> dict[str, float]:
+    """Least squares of a family's failure probability against an estimated curve."""
+    spec = FAMILIES[family]
+    pdf = curve.filter("d > 0").select("x", sf).toPandas()
+    x, s = pdf["x"].to_numpy(float), pdf[sf].to_numpy(float)
+    pos = np.array(spec.positive)
+
+    def loss(q):
+        with np.errstate(all="ignore"):
+            out = float(((np.exp(spec.log_sf(x, *np.where(pos, np.exp(np.clip(q, -700, 700)), q))) - s) ** 2).sum())
+        return out if np.isfinite(out) else math.inf
+
+    start = spec.start(x, np.ones(len(x)))
+    best, _ = newton(loss, np.where(pos, np.log(np.where(pos, start, 1.0)), start))
+    return dict(zip(spec.params, map(float, np.where(pos, np.exp(best), best))))
+
+
+def fit_moments(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, parameters) by the method of moments for complete rows: normal, exponential, gamma, gumbel and uniform, in one aggregation."""
+    m = moments(obs, 2, by)
+    var = F.col("m2") - F.col("m1") * F.col("m1")
+    sd = F.sqrt(var)
+    return m.select(*by, F.col("m1").alias("normal_mu"), sd.alias("normal_sigma"), (1 / F.col("m1")).alias("exponential_rate"), F.try_divide(F.col("m1") * F.col("m1"), var).alias("gamma_alpha"),
+                    F.try_divide(F.col("m1"), var).alias("gamma_beta"), (sd * math.sqrt(6) / math.pi).alias("gumbel_sigma"), (F.col("m1") + 0.5772156649015329 * sd * math.sqrt(6) / math.pi).alias("gumbel_mu"),
+                    (F.col("m1") - math.sqrt(3) * sd).alias("uniform_a"), (F.col("m1") + math.sqrt(3) * sd).alias("uniform_b"))

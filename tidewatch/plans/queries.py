@@ -547,3 +547,86 @@ def renewal_fits(spark, sf_dir):
 def rescaled_gaps(spark, sf_dir):
     out = renewal.rescaled_gaps(_rec(spark, sf_dir), lambda t: t)
     return out.agg(F.count("*").alias("n"), F.round(F.sum("residual"), 4).alias("total"))
+
+
+@_query(f"""WITH {_CURVE}, s AS (SELECT g, x, r, d, km * GREATEST(0, LEAST(60.0::DOUBLE, LEAD(x, 1, 60.0::DOUBLE) OVER (PARTITION BY g ORDER BY x)) - x) AS a,
+  CASE WHEN ROW_NUMBER() OVER (PARTITION BY g ORDER BY x) = 1 THEN LEAST(60.0::DOUBLE, x) ELSE 0 END AS f FROM curve), m AS (SELECT g, SUM(a + f) AS m FROM s GROUP BY g)
+SELECT p.g AS a, q.g AS b, ROUND(p.m - q.m, 5) AS difference, ROUND(p.m / q.m, 6) AS ratio FROM m p JOIN m q ON p.g < q.g""")
+def restricted_mean_difference(spark, sf_dir):
+    out = curves.restricted_mean_difference(_curve(spark, sf_dir), "g", 60.0)
+    return out.select("a", "b", F.round("difference", 5).alias("difference"), F.round("ratio", 6).alias("ratio"))
+
+
+@_query(f"""WITH {_CURVE}, l AS (SELECT g, x, km, CASE WHEN km = 1 THEN 1 WHEN km > 0 AND greenwood IS NOT NULL THEN EXP(-EXP(LN(-LN(km)) - 1.959963984540054 * SQRT(greenwood) / LN(km))) END AS lo,
+ CASE WHEN km = 1 THEN 1 WHEN km > 0 AND greenwood IS NOT NULL THEN EXP(-EXP(LN(-LN(km)) + 1.959963984540054 * SQRT(greenwood) / LN(km))) END AS hi FROM curve),
+b AS (SELECT g, x, COALESCE(lo, 0) AS lo, COALESCE(hi, MIN(hi) OVER (PARTITION BY g)) AS hi FROM l)
+SELECT g, MIN(CASE WHEN lo <= 0.5 THEN x END) AS lower, MIN(CASE WHEN hi < 0.5 THEN x END) AS upper FROM b GROUP BY g""")
+def median_limits(spark, sf_dir):
+    return curves.quantile_limits(curves.confidence_limits(_curve(spark, sf_dir), by=("g",)), 0.5, ("g",))
+
+
+@_query()
+def bootstrap_limits(spark, sf_dir):
+    return curves.bootstrap_limits(observations.observations(shipments(spark, sf_dir), x="x", c="c"), [10.0, 45.0], replicates=20)
+
+
+@_query()
+def simultaneous_band(spark, sf_dir):
+    table = risk.simple_risk_table(observations.observations(shipments(spark, sf_dir), x="x", c="c"))
+    n = table.agg(F.max("r")).first()[0]
+    return curves.simultaneous_band(curves.survival_curves(table), n).select("x", "km", "lower", "upper")
+
+
+@_query(f"""WITH {_OBS}, m AS (SELECT g, AVG(x) AS a, AVG(x * x) - AVG(x) * AVG(x) AS v FROM obs GROUP BY g)
+SELECT g, ROUND(a, 6) AS normal_mu, ROUND(SQRT(v), 6) AS normal_sigma, ROUND(a * a / v, 6) AS gamma_alpha, ROUND(a / v, 8) AS gamma_beta, ROUND(a - SQRT(3) * SQRT(v), 5) AS uniform_a FROM m""")
+def moment_fits(spark, sf_dir):
+    m = fit.fit_moments(_obs(spark, sf_dir), ("g",))
+    digits = {"normal_mu": 6, "normal_sigma": 6, "gamma_alpha": 6, "gamma_beta": 8, "uniform_a": 5}
+    return m.select("g", *[F.round(k, d).alias(k) for k, d in digits.items()])
+
+
+@_query()
+def other_fits(spark, sf_dir):
+    own = observations.observations(shipments(spark, sf_dir).filter("x > 0"), x="x", c="c")
+    complete = observations.observations(datasets.bearings(spark), x="x")
+    rows = [("spacings", k, v) for k, v in fit.fit_spacings(complete).items()]
+    rows += [("curve", k, v) for k, v in fit.fit_curve(curves.survival_curves(risk.simple_risk_table(own))).items()]
+    cure = fit.fit_defective(observations.observations(datasets.circuits(spark), x="x", c="c", n="n"))
+    rows += [("defective", k, v) for k, v in [*cure.params.items(), *cure.extra.items()]]
+    rows += [("mixture", f"{n}_{j}", v) for j, t in enumerate(fit.fit_mixture(complete)) for n, v in zip(("weight", "alpha", "beta"), t)]
+    return spark.createDataFrame(rows, "method string, param string, value double")
+
+
+@_query(f"""WITH {_DEG}, c AS (SELECT i, x - AVG(x) OVER (PARTITION BY i) AS z, AVG(x) OVER (PARTITION BY i) AS o, y FROM y),
+s AS (SELECT i AS unit, CAST(COUNT(*) AS DOUBLE) AS m, SUM(z*z) AS s2, SUM(z*z*z) AS s3, SUM(z*z*z*z) AS s4, SUM(y) AS t0, SUM(z*y) AS t1, SUM(z*z*y) AS t2 FROM c GROUP BY i HAVING COUNT(*) > 4)
+SELECT unit, ROUND((m * (s2 * t2 - s3 * t1) - s2 * s2 * t0) / (m * (s2 * s4 - s3 * s3) - s2 * s2 * s2), 6) AS c FROM s""")
+def quadratic_paths(spark, sf_dir):
+    return degradation.quadratic_paths(_paths(spark, sf_dir), "user_id", "x", "y").filter("m > 4").select("unit", F.round("c", 6).alias("c"))
+
+
+@_query()
+def gamma_process(spark, sf_dir):
+    shape, scale = degradation.gamma_process_fit(degradation.increments(_paths(spark, sf_dir), "user_id", "x", "y"))
+    return spark.createDataFrame([(shape, scale)], "shape double, scale double")
+
+
+@_query(f"""WITH {_EV}, w AS (SELECT i, x FROM ev WHERE (x >= 0 AND x <= 200) OR (x >= 300 AND x <= 100000)) SELECT i, COUNT(*) AS n, ROUND(SUM(CASE WHEN x <= 200 THEN 0 ELSE 300 END), 3) AS entries FROM w GROUP BY i""")
+def observation_windows(spark, sf_dir):
+    ev = _rec(spark, sf_dir)
+    items = ev.select("i").distinct()
+    spans = F.explode(F.array(F.struct(F.lit(0.0).alias("start"), F.lit(200.0).alias("end")), F.struct(F.lit(300.0).alias("start"), F.lit(100000.0).alias("end"))))
+    windows = items.select("i", spans.alias("s")).select("i", "s.start", "s.end")
+    return recurrent.in_windows(ev, windows).groupBy("i").agg(F.count("*").alias("n"), F.round(F.sum("tl"), 3).alias("entries"))
+
+
+@_query(f"""WITH {_RR}, m AS (SELECT x, SUM(d / r) OVER (ORDER BY x) AS m, SUM((d * (1 - 1 / r) * (1 - 1 / r) + (r - d) / (r * r)) / (r * r)) OVER (ORDER BY x) AS v FROM rr)
+SELECT x, ROUND(m / EXP(1.959963984540054 * SQRT(v) / m), 6) AS lower, ROUND(m * EXP(1.959963984540054 * SQRT(v) / m), 6) AS upper FROM m""")
+def mcf_limits(spark, sf_dir):
+    out = recurrent.mcf_limits(recurrent.mean_cumulative(risk.recurrent_risk_table(_rec(spark, sf_dir))))
+    return out.select("x", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
+
+
+@_query(ORACLE_SQL["brier_score"].replace("SELECT t, ROUND(AVG(", "SELECT t, (AVG(").replace(", 8) AS brier", ") AS brier").join(["SELECT ROUND(SUM(dt * m) / (MAX(t) - MIN(t)), 7) AS ibs FROM (SELECT t, t - LAG(t) OVER (ORDER BY t) AS dt, (brier + LAG(brier) OVER (ORDER BY t)) / 2 AS m FROM (", "))"]))
+def integrated_brier_score(spark, sf_dir):
+    own = shipments(spark, sf_dir).withColumns({f"s{t}": F.exp(F.lit(-t / 60.0)) for t in (30, 60, 90)})
+    return metrics.integrated_brier_score(metrics.brier_score(own, "x", "c", {30.0: "s30", 60.0: "s60", 90.0: "s90"})).select(F.round("ibs", 7).alias("ibs"))

@@ -183,7 +183,7 @@ def fit_parametric(df: DataFrame, x: str, c: str, z: list[str], kind: str = "ph"
     many = lambda points: at_points(own, points, loss)
     start = np.zeros(size + len(z))
     start[0] = np.log(mean)
-    best, _ = newton(lambda p: many([p])[0], start, tol=1e-10, steps=40, many=many)
+    best, _ = newton(lambda p: many([p])[0], start, tol=1e-8, steps=25, many=many)
     own.unpersist()
     return dict(zip([*(f"log_{k}" for k in ("scale", "shape")[:size]), *z], map(float, best)))
 

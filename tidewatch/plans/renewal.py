@@ -31,7 +31,7 @@ def _minimise(rows: DataFrame, nll, start: list[float]) -> tuple[np.ndarray, flo
     own = rows.cache()
     n = own.count()
     many = lambda points: at_points(own, points, nll)
-    best, _ = newton(lambda p: many([p])[0], np.array(start), tol=1e-10, steps=40, many=many)
+    best, _ = newton(lambda p: many([p])[0], np.array(start), tol=1e-8, steps=25, many=many)
     value = many([best])[0] * n
     own.unpersist()
     return best, value
