@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from tidewatch.llm import byte_cnn, decontaminate, dom, jaccard, licenses, pieces, pii, quality_rules, sharding, site_tree, warc
+from tidewatch.llm import byte_cnn, components, decontaminate, dom, jaccard, licenses, pieces, pii, quality_rules, sharding, site_tree, warc
 from tidewatch.llm.common import Scratch
 from tidewatch.llm.components import connected_components
 
@@ -180,7 +180,9 @@ def test_bound_never_loses_a_link():
                     assert root[a] == root[b]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "TASK_LINKS", most)
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1040)]
     root = {}

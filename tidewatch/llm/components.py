@@ -2,22 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import Scratch
 
 
+#: Links that one executor's task joins at once (16 bytes each); more go through rounds of stars.
+TASK_LINKS = 2_000_000
+
+
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, root of each): roots hook to smaller ones across links, and paths are halved, until nothing moves."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            return nodes, nodes[root]
+        root = new
+
+
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A partition's links as links of each node to its root within the partition."""
+    held = list(batches)
+    if held:
+        whole = pd.concat(held)
+        node, root = roots(whole["u"].to_numpy(), whole["v"].to_numpy())
+        yield pd.DataFrame({"u": node, "v": root})
+
+
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the smallest node that each node of a link can reach. links: two columns u, v of longs.
 
-    Large stars and small stars in turn: every node links its larger neighbours, then itself and its smaller
-    ones, to the smallest it knows. Rounds grow with the logarithm of the nodes. Minima are aggregated before
-    they are joined back, so a node with any number of links is no single task's work. An empty table gives an
-    empty result; self-links give their node.
+    Every partition first reduces its links to a forest. What remains goes through one executor's task while it
+    is at most TASK_LINKS links. Beyond, large stars and small stars take turns: every node links its larger
+    neighbours, then itself and its smaller ones, to the smallest it knows; rounds grow with the logarithm of
+    the nodes, and minima are aggregated before they are joined back, so a node with any number of links is no
+    single task's work. An empty table gives an empty result; self-links give their node.
     """
-    nodes = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = scratch.keep(nodes, "links")
+    edges = scratch.keep(links.select("u", "v").mapInPandas(_forest, "u long, v long"), "links")
+    if edges.count() <= TASK_LINKS:
+        return edges.coalesce(1).mapInPandas(_forest, "u long, v long").toDF("node", "root")
     state = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
