@@ -39,7 +39,7 @@ HASH_CHARS = 4_000_000
 
 def spare(n: np.ndarray) -> np.ndarray:
     """Keys beyond the necessary prefix, as a function of the set size; linked sets share as many, by the smaller."""
-    return np.maximum(1, -(-n * 6 // 100))
+    return np.maximum(1, -(-n // 5))
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -64,14 +64,24 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
 _COPY = np.uint64(0xA0761D6478BD642F)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second ones: equal high bytes then compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _from_planes(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for s in shingle_sets(pdf["text"].tolist()):
             n = len(s)
             one, two = mix(s + _COPY).sum(dtype=np.uint64), mix(s ^ _COPY).sum(dtype=np.uint64)
-            rows.append((n, one.view(np.int64), two.view(np.int64), s[: int(prefix_length(np.int64(n)))].tobytes()))
-        out = pd.DataFrame(rows, columns=["n", "c1", "c2", "keys"])
+            rows.append((n, one.view(np.int64), two.view(np.int64)))
+        out = pd.DataFrame(rows, columns=["n", "c1", "c2"])
         out.insert(0, "doc_id", pdf["doc_id"].array)
         yield out
 
@@ -82,12 +92,13 @@ def _deal(parts: int):
         held: list[tuple[int, int, np.ndarray]] = []
         size = 0
         for pdf in batches:
-            for d, n, k in zip(pdf["doc_id"], pdf["n"], pdf["keys"]):
-                held.append((d, n, np.frombuffer(k, np.uint64)))
-                size += len(held[-1][2])
-            if size >= FLUSH_KEYS:
-                yield _flush(held, parts)
-                held, size = [], 0
+            for d, s in zip(pdf["doc_id"], shingle_sets(pdf["text"].tolist())):
+                if len(s):
+                    held.append((d, len(s), s[: int(prefix_length(np.int64(len(s))))].copy()))
+                    size += len(held[-1][2])
+                if size >= FLUSH_KEYS:
+                    yield _flush(held, parts)
+                    held, size = [], 0
         if held:
             yield _flush(held, parts)
 
@@ -113,9 +124,10 @@ def _flush(held: list[tuple[int, int, np.ndarray]], parts: int) -> pd.DataFrame:
     for p in range(parts):
         a, b, c, d = cut[p], cut[p + 1], cut_marks[p], cut_marks[p + 1]
         if b > a or d > c:
-            rows.append((p, rest[a:b].tobytes(), rest_docs[a:b].tobytes(), rest_sizes[a:b].tobytes(), marks[c:d].tobytes()))
-    for a in range(0, int(common.sum()), 50_000):
-        rows.append((-1, keys[common][a : a + 50_000].tobytes(), docs[common][a : a + 50_000].tobytes(), b"", b""))
+            rows.append((p, _planes(rest[a:b]), _planes(rest_docs[a:b]), _planes(rest_sizes[a:b]), marks[c:d].tobytes()))
+    spread, spread_docs = keys[common], docs[common]
+    for a in range(0, len(spread), 50_000):  # known to be common: these needn't meet in a partition
+        rows.append((-1, spread[a : a + 50_000].tobytes(), spread_docs[a : a + 50_000].tobytes(), b"", b""))
     return pd.DataFrame(rows, columns=["part", "keys", "docs", "sizes", "marks"])
 
 
@@ -131,8 +143,9 @@ def _unpack_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _pair_up(pdf: pd.DataFrame) -> pd.DataFrame:
     """A partition's keys: pairs of texts (with the number of shared light keys), and memberships of common keys."""
-    join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), kind)
-    keys, docs, sizes, marks = join("keys", np.uint64), join("docs", np.int64), join("sizes", np.int32), join("marks", np.uint64)
+    join = lambda c, kind: np.concatenate([_from_planes(x, kind) for x in pdf[c]])
+    keys, docs, sizes = join("keys", np.uint64), join("docs", np.int64), join("sizes", np.int32)
+    marks = np.frombuffer(b"".join(pdf["marks"]), np.uint64)
     order = np.argsort(keys, kind="stable")
     keys, docs, sizes = keys[order], docs[order], sizes[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, int)
@@ -309,7 +322,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketch = scratch.keep(source.mapInPandas(_sketches, "doc_id long, n long, c1 long, c2 long, keys binary"), "sketch")
+    sketch = scratch.keep(source.mapInPandas(_sketches, "doc_id long, n long, c1 long, c2 long"), "sketch")
     classes = scratch.keep(sketch.filter("n > 0 and doc_id is not null").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("class_id")), "classes")
     source = source.filter("doc_id is not null and text is not null")
     links = _links(source, sketch, classes, scratch)
@@ -326,16 +339,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def _links(source: DataFrame, sketch: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Verified links between class representatives that join each component."""
-    reps = sketch.join(classes.select(F.col("class_id").alias("doc_id"), "n", "c1", "c2"), ["doc_id", "n", "c1", "c2"], "left_semi").select("doc_id", "n", "keys").dropDuplicates(["doc_id", "n"])
-    n_keys = sketch.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    parts = max(12, n_keys // 8 // PART_KEYS)
+    copies = sketch.filter("n > 0").join(classes, ["n", "c1", "c2"]).filter("doc_id <> class_id").select("doc_id").distinct()
+    copies = scratch.keep(copies.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_anti"), "copies")
+    reps = source.join(F.broadcast(copies) if copies.count() <= BROADCAST_DOCS else copies, "doc_id", "left_anti")
+    n_keys = int(prefix_length(np.int64(classes.agg(F.sum("n")).first()[0] or 0)))
+    parts = max(12, n_keys // PART_KEYS)
     chunks = reps.mapInPandas(_deal(parts), "part int, keys binary, docs binary, sizes binary, marks binary")
-    dealt = scratch.keep(chunks, "chunks")
-    found = dealt.filter("part >= 0").groupBy("part").applyInPandas(_pair_up, "common boolean, a long, b long, n long")
-    found = found.union(dealt.filter("part < 0").select("keys", "docs").mapInPandas(_unpack_members, "common boolean, a long, b long, n long"))
+    found = chunks.filter("part >= 0").groupBy("part").applyInPandas(_pair_up, "common boolean, a long, b long, n long")
+    found = found.union(chunks.filter("part < 0").select("keys", "docs").mapInPandas(_unpack_members, "common boolean, a long, b long, n long"))
     found = scratch.keep(found, "found")
-    scratch.drop(dealt)
-    least = lambda n: F.greatest(F.lit(1), F.ceil(n * 6 / 100))  # noqa: E731  as spare()
+    scratch.drop(copies)
+    least = lambda n: F.greatest(F.lit(1), F.ceil(n / 5))  # noqa: E731  as spare()
     common = found.filter("common").groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("h"))
     facts = scratch.keep(classes.select(F.col("class_id").alias("doc_id"), "n").join(common, "doc_id", "left").select(
         "doc_id", "n", F.coalesce("h", F.lit(0)).alias("h"), least(F.col("n")).alias("t"), least(F.ceil(F.col("n") * 3 / 4)).alias("t_least")), "facts")
