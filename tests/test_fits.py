@@ -31,15 +31,11 @@ def test_interval_censored(spark, family, want):
 def test_distributed_objective_gives_the_same(spark, monkeypatch):
     local = fit.fit_mle(counted(spark), "weibull").params
     monkeypatch.setattr(fit, "LOCAL_ROWS", 0)
-    monkeypatch.setattr(fit, "newton", lambda f, start, **k: _few(f, start))
+    full = fit.newton
+    monkeypatch.setattr(fit, "newton", lambda f, start: full(f, start, steps=6))
     assert fit.fit_mle(counted(spark), "weibull").params["beta"] == pytest.approx(local["beta"], rel=0.05)
 
 
-def _few(f, start):
-    from tidewatch.plans.fit import newton as full
-    return full(f, start, steps=6)
-
-
 def test_fit_best(spark):
     assert fit.fit_best(counted(spark), ["exponential", "normal", "weibull"]).family == "normal"
 
