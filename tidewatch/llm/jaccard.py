@@ -30,11 +30,11 @@ LIGHT = 10
 TILE, ANCHORS = 1024, 32
 LEAF, FANOUT = 16, 8
 #: Keys that are dealt at once, and keys of a partition.
-FLUSH_KEYS, PART_KEYS = 2_000_000, 600_000
+FLUSH_KEYS, PART_KEYS = 800_000, 400_000
 #: Texts in families are told to all tasks up to this number (16 bytes each); beyond, by a join.
 BROADCAST_DOCS = 400_000
 #: Characters of text hashed at once.
-HASH_CHARS = 4_000_000
+HASH_CHARS = 1_000_000
 
 
 def spare(n: np.ndarray) -> np.ndarray:
@@ -77,7 +77,7 @@ def _from_planes(data: bytes, kind) -> np.ndarray:
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for s in shingle_sets(pdf["text"].tolist()):
+        for s in shingle_sets(pdf.pop("text").tolist()):
             n = len(s)
             one, two = mix(s + _COPY).sum(dtype=np.uint64), mix(s ^ _COPY).sum(dtype=np.uint64)
             rows.append((n, one.view(np.int64), two.view(np.int64)))
@@ -92,7 +92,7 @@ def _deal(parts: int):
         held: list[tuple[int, int, np.ndarray]] = []
         size = 0
         for pdf in batches:
-            for d, s in zip(pdf["doc_id"], shingle_sets(pdf["text"].tolist())):
+            for d, s in zip(pdf["doc_id"].tolist(), shingle_sets(pdf.pop("text").tolist())):
                 if len(s):
                     held.append((d, len(s), s[: int(prefix_length(np.int64(len(s))))].copy()))
                     size += len(held[-1][2])
