@@ -86,3 +86,23 @@ def test_mixture_and_defective_fits(spark):
     assert [round(w, 1) for w, _, _ in found] == [0.3, 0.7] and found[1][1] == pytest.approx(20, rel=0.05)
     cure = fit.fit_defective(observations.observations(datasets.circuits(spark), x="x", c="c", n="n"))
     assert cure.extra["p"] == pytest.approx(28 / 4156, rel=0.1)
+
+
+def test_count_distributions_against_sums(spark):
+    import math
+
+    from tidewatch.functions.distributions import DISTRIBUTIONS as D
+
+    df = spark.createDataFrame([(float(k), (k + 0.5) / 12) for k in range(1, 12)], "k double, u double")
+    args = {"poisson": (4.0,), "binomial": (15.0, 0.3), "negative_binomial": (3.0, 0.4), "beta_geometric": (2.0, 3.0)}
+    mass = {
+        "poisson": lambda k: 4.0**k * math.exp(-4) / math.factorial(k), "binomial": lambda k: math.comb(15, k) * 0.3**k * 0.7 ** (15 - k),
+        "negative_binomial": lambda k: math.comb(k + 1, k - 1) * 0.4**3 * 0.6 ** (k - 1) if k else 0.0,
+        "beta_geometric": lambda k: math.gamma(3) * math.gamma(2 + k) / math.gamma(5 + k) * math.gamma(5) / (math.gamma(2) * math.gamma(3)) if k else 0.0,
+    }
+    rows = df.select("k", "u", *[D[n].sf(F.col("k"), *a).alias(n) for n, a in args.items()], *[D[n].qf(F.col("u"), *a).alias(f"q_{n}") for n, a in args.items()]).collect()
+    for n, f in mass.items():
+        cdf = {k: sum(f(j) for j in range(k + 1)) for k in range(60)}
+        for r in rows:
+            assert 1 - r[n] == pytest.approx(cdf[int(r.k)], abs=1e-9)
+            assert r[f"q_{n}"] == min(k for k in cdf if cdf[k] >= r.u)

@@ -60,6 +60,26 @@ _gamma_sf = _kernel(_each(lambda t, a, b: 1 - special.gammainc(a, b * t)))
 _gamma_qf = _kernel(_each(lambda q, a, b: special.invert(lambda t: special.gammainc(a, b * t), q, 0.0, (a + 40 * math.sqrt(a) + 40) / b)))
 _beta_sf = _kernel(_each(lambda t, a, b: 1 - special.betainc(a, b, t)))
 _beta_qf = _kernel(_each(lambda q, a, b: special.invert(lambda t: special.betainc(a, b, t), q, 0.0, 1.0)))
+_poisson_sf = _kernel(_each(lambda k, m: special.gammainc(math.floor(k) + 1, m)))
+_binomial_sf = _kernel(_each(lambda k, n, p: 1.0 if k < 0 else special.betainc(math.floor(k) + 1, n - math.floor(k), p) if k < n else 0.0))
+_negative_binomial_sf = _kernel(_each(lambda k, r, p: 1.0 if k < 1 else special.betainc(math.floor(k), r, 1 - p)))
+_beta_geometric_sf = _kernel(_each(lambda k, a, b: math.exp(math.lgamma(b + k) - math.lgamma(a + b + k) - math.lgamma(b) + math.lgamma(a + b))))
+
+
+def _count_qf(sf: Callable[..., float], first: int) -> Callable:
+    """The least count at which 1 - survival reaches p: doubling, then bisection."""
+    def find(p: float, *args: float) -> float:
+        low, high = first - 1, first
+        while 1 - sf(high, *args) < p and high < 2**40:
+            low, high = high, 2 * high + 1
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (low, mid) if 1 - sf(mid, *args) >= p else (mid, high)
+        return float(high)
+    return _kernel(_each(find))
+
+
+_log_choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 _EULER = 0.5772156649015329  # fixed value
 
 
@@ -100,9 +120,47 @@ DISTRIBUTIONS: dict[str, Distribution] = {d.name: d for d in (
     Distribution("discrete_weibull", ("q", "beta"), lambda x, q, b: F.pow(F.lit(q), F.pow(x, F.lit(b))),
                  lambda x, q, b: F.ln(F.pow(F.lit(q), F.pow(x - 1, F.lit(b))) - F.pow(F.lit(q), F.pow(x, F.lit(b)))),
                  lambda u, q, b: F.ceil(F.pow(F.log1p(-u) / math.log(q), F.lit(1 / b))).cast("double"), lambda q, b: math.nan),
+    Distribution("beta4", ("alpha", "beta", "a", "b"), lambda x, p, q, a, b: _beta_sf((x - a) / (b - a), p, q),
+                 lambda x, p, q, a, b: (p - 1) * F.ln((x - a) / (b - a)) + (q - 1) * F.ln((b - x) / (b - a)) + math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) - math.log(b - a),
+                 lambda u, p, q, a, b: a + (b - a) * _beta_qf(u, p, q), lambda p, q, a, b: a + (b - a) * p / (p + q)),
+    Distribution("poisson", ("mu",), _poisson_sf, _kernel(_each(lambda k, m: k * math.log(m) - m - math.lgamma(k + 1))), _count_qf(lambda k, m: special.gammainc(k + 1, m), 0), lambda m: m),
+    Distribution("binomial", ("n", "p"), _binomial_sf, _kernel(_each(lambda k, n, p: _log_choose(n, k) + k * math.log(p) + (n - k) * math.log1p(-p))),
+                 _count_qf(lambda k, n, p: special.betainc(k + 1, n - k, p) if k < n else 0.0, 0), lambda n, p: n * p),
+    Distribution("negative_binomial", ("r", "p"), _negative_binomial_sf,
+                 _kernel(_each(lambda k, r, p: math.lgamma(k - 1 + r) - math.lgamma(r) - math.lgamma(k) + r * math.log(p) + (k - 1) * math.log1p(-p))),
+                 _count_qf(lambda k, r, p: special.betainc(k, r, 1 - p), 1), lambda r, p: 1 + r * (1 - p) / p),
+    Distribution("beta_geometric", ("a", "b"), _beta_geometric_sf,
+                 _kernel(_each(lambda k, a, b: math.lgamma(a + 1) + math.lgamma(b + k - 1) - math.lgamma(a + b + k) - math.lgamma(a) - math.lgamma(b) + math.lgamma(a + b))),
+                 _count_qf(lambda k, a, b: math.exp(math.lgamma(b + k) - math.lgamma(a + b + k) - math.lgamma(b) + math.lgamma(a + b)), 1), lambda a, b: (a + b - 1) / (a - 1) if a > 1 else math.inf),
+    Distribution("exact", ("t",), lambda x, t: F.when(x < t, 1.0).otherwise(0.0), lambda x, t: F.when(x == t, 0.0).otherwise(-math.inf), lambda p, t: p * 0 + t, lambda t: t),
+    Distribution("never", (), lambda x: x * 0 + 1.0, lambda x: x * 0 - math.inf, lambda p: p * 0 + math.inf, lambda: math.inf),
+    Distribution("at_once", (), lambda x: x * 0, lambda x: x * 0 - math.inf, lambda p: p * 0, lambda: 0.0),
 )}
 
 
+def custom(name: str, params: tuple[str, ...], cumulative_hazard: Callable[..., Column], hazard: Callable[..., Column] | None = None) -> Distribution:
+    """A family given by its cumulative hazard as a column; the hazard is a central difference unless given."""
+    h = hazard or (lambda x, *p: (cumulative_hazard(x + 1e-5, *p) - cumulative_hazard(x - 1e-5, *p)) / 2e-5)
+    missing = lambda *_: F.lit(None).cast("double")
+    return Distribution(name, params, lambda x, *p: F.exp(-cumulative_hazard(x, *p)), lambda x, *p: F.ln(h(x, *p)) - cumulative_hazard(x, *p), missing, lambda *p: math.nan)
+
+
+def discretized(d: Distribution) -> Distribution:
+    """Counts whose survival at k is that of d."""
+    return Distribution(f"discrete_{d.name}", d.params, d.sf, lambda k, *p: F.ln(d.sf(k - 1, *p) - d.sf(k, *p)), lambda u, *p: F.ceil(d.qf(u, *p)).cast("double"), lambda *p: math.nan)
+
+
+def sample(spark, d: Distribution, size: int, *params: float, seed: int = 1):
+    """(id, x): draws by the quantile of uniform numbers."""
+    return spark.range(size).select("id", d.qf(F.rand(seed), *params).alias("x"))
+
+
+def first_passage(t: Column, level: float, drift: float, sigma: float) -> Column:
+    """P(a Wiener process with drift has crossed the level by t): the inverse Gaussian distribution."""
+    root = sigma * F.sqrt(t)
+    return _normal_sf((level - drift * t) / root, 0.0, 1.0) + math.exp(min(700.0, 2 * drift * level / sigma**2)) * _normal_sf((level + drift * t) / root, 0.0, 1.0)
+
+
 def series(parts: list[Column]) -> Column:
     """Survival of a system that needs all of its parts."""
     out = F.lit(1.0)

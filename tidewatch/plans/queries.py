@@ -630,3 +630,23 @@ def mcf_limits(spark, sf_dir):
 def integrated_brier_score(spark, sf_dir):
     own = shipments(spark, sf_dir).withColumns({f"s{t}": F.exp(F.lit(-t / 60.0)) for t in (30, 60, 90)})
     return metrics.integrated_brier_score(metrics.brier_score(own, "x", "c", {30.0: "s30", 60.0: "s60", 90.0: "s90"})).select(F.round("ibs", 7).alias("ibs"))
+
+
+@_query()
+def count_distributions(spark, sf_dir):
+    x = F.col("p_size").cast("double")
+    args = {"poisson": (20.0,), "binomial": (60.0, 0.4), "negative_binomial": (3.0, 0.2), "beta_geometric": (2.0, 5.0), "beta4": (2.0, 3.0, 0.0, 60.0)}
+    return _read(spark, sf_dir, "part").select("p_partkey", *[F.round(DISTRIBUTIONS[k].sf(x, *a), 6).alias(k) for k, a in args.items()])
+
+
+@_query()
+def buckley_james(spark, sf_dir):
+    own = shipments(spark, sf_dir).filter("x > 0").withColumn("z", F.col("q") / 50)
+    return spark.createDataFrame(list(regression.fit_buckley_james(own, "x", "c", ["z"], steps=8).items()), "covariate string, beta double")
+
+
+@_query("""WITH p AS (SELECT p_partkey AS start, p_partkey + 1 AS e, p_size // 10 AS v FROM part), n AS (SELECT *, CASE WHEN v = LAG(v) OVER (ORDER BY start) AND start = LAG(e) OVER (ORDER BY start) THEN 0 ELSE 1 END AS k FROM p),
+g AS (SELECT *, SUM(k) OVER (ORDER BY start) AS g FROM n) SELECT CAST(v AS BIGINT) AS v, CAST(MIN(start) AS DOUBLE) AS start, CAST(MAX(e) AS DOUBLE) AS "end" FROM g GROUP BY g, v""")
+def schedule_runs(spark, sf_dir):
+    own = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("double").alias("start"), (F.col("p_partkey") + 1).cast("double").alias("end"), F.floor(F.col("p_size") / 10).cast("long").alias("v"))
+    return regression.coalesce_segments(own, "v").select("v", "start", "end")

@@ -218,3 +218,58 @@ def fit_additive_hazards(df: DataFrame, x: str, c: str, z: list[str]) -> np.ndar
     k = len(z)
     a = np.array([[row[f"a_{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)])
     return np.linalg.solve(a, np.array([row[f"b_{i}"] for i in range(k)]))
+
+
+def fit_buckley_james(df: DataFrame, x: str, c: str, z: list[str], tol: float = 1e-5, steps: int = 60) -> dict[str, float]:
+    """Censored linear regression of log time: censored rows get the mean of larger residuals under the residuals'
+    Kaplan-Meier curve. Each round is one aggregation by residual, two running sums and the normal equations.
+
+    Coefficients have the sign of hazards: a positive one shortens life. A two-cycle ends in its mean.
+    """
+    own = df.dropna(subset=[x, c, *z]).filter(F.col(x) > 0).select(F.ln(x).alias("y"), F.col(c).alias("c"), *z).cache()
+    k = range(len(z))
+    gamma, seen = np.zeros(len(z)), []
+    for _ in range(steps):
+        fitted = sum((F.lit(float(g)) * F.col(v) for g, v in zip(gamma, z)), F.lit(0.0))
+        rows = own.withColumn("e", F.round(F.col("y") - fitted, 12))
+        grid = rows.groupBy("e").agg(F.sum((F.col("c") == 0).cast("double")).alias("d"), F.count("*").cast("double").alias("m"))
+        back = Window.orderBy(F.desc("e")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        up = Window.orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        grid = grid.withColumn("r", F.sum("m").over(back)).withColumn("d", F.when(F.col("e") == F.max("e").over(Window.partitionBy()), F.greatest("d", F.lit(1.0))).otherwise(F.col("d")))
+        grid = grid.withColumn("s", F.product(1 - F.least(F.lit(1.0), F.col("d") / F.col("r"))).over(up))
+        grid = grid.withColumn("mass", F.coalesce(F.lag("s").over(Window.orderBy("e")), F.lit(1.0)) - F.col("s"))
+        after = Window.orderBy(F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+        grid = grid.withColumn("tail", F.coalesce(F.sum(F.col("mass") * F.col("e")).over(after) / F.nullif(F.col("s"), F.lit(0.0)), F.col("e")))
+        full = rows.join(grid.select("e", "tail"), "e").withColumn("v", F.when(F.col("c") == 0, F.col("y")).otherwise(fitted + F.col("tail")))
+        row = full.agg(F.count("*").alias("n"), F.sum("v").alias("v"), *[F.sum(z[i]).alias(f"z{i}") for i in k], *[F.sum(F.col(z[i]) * F.col("v")).alias(f"zv{i}") for i in k],
+                       *[F.sum(F.col(z[i]) * F.col(z[j])).alias(f"zz{i}_{j}") for i in k for j in k if j <= i]).first()
+        s1 = np.array([row[f"z{i}"] for i in k])
+        a = np.array([[row[f"zz{max(i, j)}_{min(i, j)}"] for j in k] for i in k]) - np.outer(s1, s1) / row.n
+        new = np.linalg.solve(a, np.array([row[f"zv{i}"] for i in k]) - s1 * row.v / row.n)
+        if np.abs(new - gamma).max() < tol:
+            gamma = new
+            break
+        if len(seen) > 1 and np.abs(new - seen[-2]).max() < tol:
+            gamma = (new + gamma) / 2
+            break
+        seen.append(new)
+        gamma = new
+    own.unpersist()
+    return dict(zip(z, map(float, -gamma)))
+
+
+def schedule_segments(schedule: DataFrame, t_max: float, period: float | None = None) -> DataFrame:
+    """(start, end, values) of a piecewise-constant covariate path up to t_max; with a period, the pattern repeats."""
+    own = schedule
+    if period:
+        own = own.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(int(np.ceil(t_max / period)) - 1))))
+        own = own.withColumns({"start": F.col("start") + F.col("__k") * period, "end": F.col("end") + F.col("__k") * period}).drop("__k")
+    return own.filter(F.col("start") < t_max).withColumn("end", F.least("end", F.lit(float(t_max))))
+
+
+def coalesce_segments(segments: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Neighbouring segments of equal value as one."""
+    w = Window.partitionBy(*by).orderBy("start")
+    new = F.coalesce((F.col(value) != F.lag(value).over(w)) | (F.col("start") != F.lag("end").over(w)), F.lit(True))
+    own = segments.withColumn("__g", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return own.groupBy(*by, "__g", value).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__g")
