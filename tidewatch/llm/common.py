@@ -54,9 +54,12 @@ def slices(texts: list[str | None], chars: int, rows: int) -> Iterator[tuple[int
 class Scratch:
     """Tables written to the shared folder, so that lost executors cost no recomputation of earlier steps.
 
-    `keep` writes a table and reads it back; `drop` deletes those which are no longer needed.
+    `keep` writes a table and reads it back; `drop` deletes those which are no longer needed. While `keep` runs,
+    Python workers get BATCH_ROWS rows at once: texts are long, and each worker's memory stays small.
     """
 
+    BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
@@ -69,7 +72,12 @@ class Scratch:
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
         schema = df.schema
-        df.write.parquet(path)
+        before = self.spark.conf.get(self.BATCH_SETTING)
+        self.spark.conf.set(self.BATCH_SETTING, str(self.BATCH_ROWS))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.BATCH_SETTING, before)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out

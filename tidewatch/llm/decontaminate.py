@@ -29,7 +29,7 @@ BLOCK_WORDS = 1_000_000
 #: Cells of alignments made at once.
 CELLS = 4_000_000
 #: Characters of text hashed at once.
-HASH_CHARS = 1_000_000
+HASH_CHARS = 500_000
 
 
 @dataclass

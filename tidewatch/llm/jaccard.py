@@ -30,11 +30,11 @@ LIGHT = 10
 TILE, ANCHORS = 1024, 32
 LEAF, FANOUT = 16, 8
 #: Keys that are dealt at once, and keys of a partition.
-FLUSH_KEYS, PART_KEYS = 800_000, 400_000
+FLUSH_KEYS, PART_KEYS = 500_000, 300_000
 #: Texts in families are told to all tasks up to this number (16 bytes each); beyond, by a join.
 BROADCAST_DOCS = 400_000
 #: Characters of text hashed at once.
-HASH_CHARS = 1_000_000
+HASH_CHARS = 500_000
 
 
 def spare(n: np.ndarray) -> np.ndarray:
