@@ -62,6 +62,11 @@ def test_quality_rules_awkward(awkward, empty):
     assert quality_rules.quality_rules(awkward).count() == len(AWKWARD) and quality_rules.quality_rules(empty).count() == 0
 
 
+def test_a_filter_on_the_verdict_stays_linear(awkward):
+    # the optimizer moves the filter below the projections; words must not be split anew for every window
+    assert {r.doc_id for r in quality_rules.quality_rules(awkward).filter("kept").collect()} == {7, 8}
+
+
 def test_repeats_overlap(spark):
     df = spark.createDataFrame([(1, "a b c d e f a b c d e f x"), (2, "a a a a a a a"), (3, "a b c d e")], "doc_id long, text string")
     assert [r.n_repeat_words for r in quality_rules.quality_rules(df).orderBy("doc_id").collect()] == [12, 7, 0]

@@ -57,6 +57,11 @@ def line_fails(line: Column) -> Column:
     )
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once for all its uses, even where the optimizer moves it into a lambda's body."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a window of five words which the text has twice or more.
 
@@ -82,11 +87,9 @@ def _repeat_words(words: Column) -> Column:
             lambda acc: acc["n"],
         )
 
-    # a one-element transform binds an array once for all of its uses
-    once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
     return F.when(n < WINDOW, 0).otherwise(
-        once(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(
-            once(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered)
+        _once(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(
+            _once(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered)
         ))
     )
 
@@ -110,7 +113,7 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.array_join("__words", "")).cast("long"),
         "n_symbols": _symbols(t).cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_repeat_words": _repeat_words(F.col("__words")).cast("long"),
+        "n_repeat_words": _once(F.col("__words"), _repeat_words).cast("long"),
         "clean_text": F.array_join("__good", "\n"),
     })
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
