@@ -361,6 +361,19 @@ def test_decontamination_finds_copies_and_edits(spark, awkward, empty):
     assert decontaminate.find_contamination(empty, benchmark).count() == 0 and decontaminate.find_contamination(docs, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("verbatim", [2, 60])
+def test_decontamination_of_edits_beside_many_copies(spark, verbatim):
+    rng = np.random.default_rng(8)
+    text = lambda n: [f"v{k}" for k in rng.integers(0, 3000, n)]
+    item = [f"item{k}" for k in range(40)]
+    edited = [w if k % 5 else f"new{k}" for k, w in enumerate(item)]
+    rows = [(k, text(50) + item + text(30)) for k in range(verbatim)] + [(1000, text(20) + edited + text(20))] + [(2000 + k, text(40)) for k in range(900)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: r.score for r in decontaminate.find_contamination(docs, benchmark).collect()}
+    assert found.keys() == {*range(verbatim), 1000} and found[1000] == brute_alignment(item, edited) / 80
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     docs, benchmark = (spark.read.parquet(f"{DATA}/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     whole = {tuple(r)[:3] for r in decontaminate.find_contamination(docs, benchmark).collect()}

@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Passages of a document that share rare n-grams with a benchmark item are aligned with it word by word; local
-alignment finds paraphrased or edited copies, and its score decides.
+Passages of a document that share n-grams with a benchmark item are aligned with it word by word; local
+alignment finds paraphrased or edited copies, and its score decides. All n-grams of an item are seeds: counts
+over documents include the leaked copies, so rarity can't tell which ones an edited copy still holds.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,15 +19,13 @@ from tidewatch.llm.common import Scratch, ngram_hashes, slices, word_hashes
 
 #: Words of a seed, and seeds that a passage must share with an item (one, for items with a single seed).
 SEED_WORDS, LEAST_SEEDS = 3, 2
-#: An item's seeds: its n-grams in fewer than COMMON of all documents, or else the rarer half of its n-grams.
-COMMON = 0.001
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Score of an alignment, as a share of the item's best possible, from which a passage counts as a copy.
 LEAST_SCORE = 0.5
 #: Items that go through the documents at once: a bounded broadcast (under 20 MB); more items make more blocks.
 BLOCK_WORDS = 1_000_000
-#: Cells of alignments made at once.
-CELLS = 4_000_000
+#: Cells of alignments made at once, and pairs of a text's seed and an item's (a single text's may be more).
+CELLS, PAIRS = 4_000_000, 1_000_000
 #: Characters of text hashed at once.
 HASH_CHARS = 500_000
 
@@ -42,6 +40,7 @@ class Items:
     item: np.ndarray  # item of each (gram, item, place) entry, ordered by gram
     place: np.ndarray
     first: np.ndarray  # first entry of each gram
+    sizes: np.ndarray  # words of each item
 
     @staticmethod
     def of(ids: list[int], texts: list[str | None]) -> Items:
@@ -57,21 +56,7 @@ class Items:
         order = np.argsort(flat, kind="stable")
         grams, first = np.unique(flat[order], return_index=True)
         cat = lambda x: np.concatenate(x)[order] if x else np.empty(0, int)
-        return Items(ids, words, grams, cat(item), cat(place), np.append(first, len(flat)))
-
-    def with_seeds(self, counts: dict[int, int], n_docs: int) -> Items:
-        """Only the rare n-grams of each item."""
-        df = np.array([counts.get(int(g), 0) for g in self.grams.view(np.int64)])
-        entry_df = np.repeat(df, np.diff(self.first))
-        keep = entry_df <= max(2, COMMON * n_docs)
-        for k in range(len(self.ids)):
-            own = np.flatnonzero(self.item == k)
-            if len(own):
-                rarer = own[np.argsort(entry_df[own], kind="stable")[: max(LEAST_SEEDS, math.ceil(len(own) / 2))]]
-                keep[rarer] = True
-        flat = np.repeat(self.grams, np.diff(self.first))[keep]
-        grams, first = np.unique(flat, return_index=True)
-        return Items(self.ids, self.words, grams, self.item[keep], self.place[keep], np.append(first, len(flat)))
+        return Items(ids, words, grams, cat(item), cat(place), np.append(first, len(flat)), counts)
 
 
 def gram_hits(hashes: np.ndarray, counts: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,29 +100,27 @@ def smith_waterman(items: np.ndarray, item_sizes: np.ndarray, passages: np.ndarr
     return best, end
 
 
-def _windows(text: np.ndarray, place: np.ndarray, gram: np.ndarray, seeds: Items, sizes: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(text, item, first word, end word) of passages with enough seeds of an item in a stretch of its length."""
+def _windows(text: np.ndarray, place: np.ndarray, gram: np.ndarray, seeds: Items, sizes: np.ndarray) -> np.ndarray:
+    """Rows (text, item, first word, end word): passages with enough seeds of an item in a stretch of its length."""
     reps = seeds.first[gram + 1] - seeds.first[gram]
     entry = np.repeat(seeds.first[gram], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    rows = np.column_stack([np.repeat(text, reps), seeds.item[entry], np.repeat(place, reps) - seeds.place[entry], np.repeat(place, reps)])
-    rows = rows[np.lexsort((rows[:, 3], rows[:, 1], rows[:, 0]))]
-    out: list[tuple[int, int, int, int]] = []
-    cut = np.flatnonzero(np.any(np.diff(rows[:, :2], axis=0), axis=1)) + 1
-    for group in np.split(rows, cut) if len(rows) else []:
-        t, item = int(group[0, 0]), int(group[0, 1])
-        size = len(seeds.words[item])
-        slack = size // 2 + 4
-        run_from = 0
-        for k in range(1, len(group) + 1):
-            if k == len(group) or group[k, 3] - group[k - 1, 3] > size:
-                run = group[run_from:k]
-                run_from = k
-                n_seeds = len(np.unique(run[:, 3]))
-                if n_seeds >= min(LEAST_SEEDS, max(1, size - SEED_WORDS + 1)):
-                    lo = max(0, int(run[:, 2].min()) - slack, int(run[0, 3]) - size - slack)
-                    hi = min(int(sizes[t]), max(int(run[:, 2].max()) + size + slack, int(run[-1, 3]) + SEED_WORDS))
-                    out.append((t, item, lo, min(hi, int(run[-1, 3]) + size + slack)))
-    return out
+    if not len(entry):
+        return np.empty((0, 4), int)
+    t, item, at = np.repeat(text, reps), seeds.item[entry], np.repeat(place, reps)
+    diagonal = at - seeds.place[entry]
+    order = np.lexsort((at, item, t))
+    t, item, at, diagonal = t[order], item[order], at[order], diagonal[order]
+    size = seeds.sizes[item]
+    other = (np.diff(t) != 0) | (np.diff(item) != 0)
+    begin = np.append(0, np.flatnonzero(other | (np.diff(at) > size[1:])) + 1)
+    last = np.append(begin[1:], len(t)) - 1
+    n_seeds = np.add.reduceat(np.append(True, other | (np.diff(at) != 0)), begin, dtype=np.int64)
+    low, high = np.minimum.reduceat(diagonal, begin), np.maximum.reduceat(diagonal, begin)
+    t, item, size, first, stop = t[begin], item[begin], size[begin], at[begin], at[last]
+    slack = size // 2 + 4
+    lo = np.maximum(0, np.maximum(low - slack, first - size - slack))
+    hi = np.minimum(np.minimum(sizes[t], np.maximum(high + size + slack, stop + SEED_WORDS)), stop + size + slack)
+    return np.column_stack([t, item, lo, hi])[n_seeds >= np.minimum(LEAST_SEEDS, np.maximum(1, size - SEED_WORDS + 1))]
 
 
 def align(hashes: np.ndarray, counts: np.ndarray, seeds: Items) -> list[tuple[int, int, float, int, int]]:
@@ -145,7 +128,17 @@ def align(hashes: np.ndarray, counts: np.ndarray, seeds: Items) -> list[tuple[in
     text, place, gram = gram_hits(hashes, counts, seeds.grams)
     begins = np.cumsum(counts) - counts
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    windows = sorted(_windows(text, place, gram, seeds, counts), key=lambda w: w[3] - w[2])
+    pairs = np.append(0, np.cumsum(seeds.first[gram + 1] - seeds.first[gram]))
+    at, windows = 0, []
+    while at < len(text):  # whole texts, with at most PAIRS pairs if there is more than one
+        end = np.searchsorted(pairs, pairs[at] + PAIRS, side="right") - 1
+        end = max(np.searchsorted(text, text[min(end, len(text) - 1)]) if end < len(text) else end, np.searchsorted(text, text[at], side="right"))
+        for t, i, lo, hi in _windows(text[at:end], place[at:end], gram[at:end], seeds, counts).tolist():
+            # a score counts MATCH for no more words than the item has of the passage's
+            if np.isin(seeds.words[i], hashes[begins[t] + lo : begins[t] + hi]).sum() >= LEAST_SCORE * len(seeds.words[i]):
+                windows.append((t, i, lo, hi))
+        at = end
+    windows.sort(key=lambda w: w[3] - w[2])
     at = 0
     while at < len(windows):
         end, width = at, 0
@@ -174,7 +167,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
     Words are runs of characters other than the six separators, without case and ASCII punctuation. score: the
     best local alignment's share of the item's perfect score, at least LEAST_SCORE. The best passage per
-    document and item is given. Seeds are chosen by their document counts over all documents. Items with fewer
+    document and item is given. A passage is aligned if it shares LEAST_SEEDS 3-grams of any kind with the item. Items with fewer
     words than a seed, null and empty texts match nothing; repeated rows match each for itself; empty tables
     give an empty result. The benchmark passes through the documents in blocks of at most BLOCK_WORDS words.
     """
@@ -185,10 +178,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     schema = f"doc_id {id_type}, item_id {item_type}, score double, first_word long, end_word long"
     out = None
     for ids, texts in _blocks(benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").orderBy("i", "t")):
-        items = Items.of(ids, texts)
-        counts, n_docs = _gram_counts(source, items)
-        seeds = items.with_seeds(counts, n_docs)
-        shared = docs.sparkSession.sparkContext.broadcast(seeds)
+        shared = docs.sparkSession.sparkContext.broadcast(Items.of(ids, texts))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             seeds = shared.value
@@ -217,25 +207,3 @@ def _blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
             ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
-
-
-def _gram_counts(source: DataFrame, items: Items) -> tuple[dict[int, int], int]:
-    """In how many documents each n-gram of the items occurs (at most BLOCK_WORDS n-grams), and all documents."""
-    shared = source.sparkSession.sparkContext.broadcast(items.grams)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams = shared.value
-        total, n = np.zeros(len(grams), np.int64), 0
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for a, b in slices(texts, HASH_CHARS, len(texts)):
-                hashes, _, _, counts = word_hashes(texts[a:b], plain=True)
-                t, _, g = gram_hits(hashes, counts, grams)
-                pairs = np.unique(t * len(grams) + g)
-                total += np.bincount(pairs % max(1, len(grams)), minlength=len(grams))
-            n += len(texts)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": np.append(grams[at].view(np.int64), 0), "n": np.append(total[at], n), "all": np.append(np.zeros(len(at), bool), True)})
-
-    rows = source.select("text").mapInPandas(run, "gram long, n long, all boolean").groupBy("all", "gram").agg(F.sum("n").alias("n")).collect()
-    return {r.gram: r.n for r in rows if not r["all"]}, sum(r.n for r in rows if r["all"])
