@@ -305,6 +305,18 @@ def test_pseudonyms_are_permutations(spark):
     assert ssn.distinct().count() == 599 and ssn.filter(~F.col("s").rlike(pii.PATTERNS["ssn"])).count() == 0
 
 
+def test_secrets_in_capitals(spark):
+    tokens = ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "9233a8ECF7c5b09fe5949719B6b82bc439e9329b", "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"]
+    texts = [(k, f"THE DOCUMENT IS IN CAPITALS. TOKEN = \"{v}\" AND {v}.") for k, v in enumerate(tokens)]
+    new = set()
+    for r in pii.pseudonymize(spark.createDataFrame(texts, "k int, text string"), "secret").collect():
+        one, two = re.findall(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{40}(?![A-Za-z0-9])", r.text)
+        assert one == two != tokens[r.k] and r.n_pii == 2
+        assert r.k == 2 or [c.isupper() for c in one] == [c.isupper() for c in tokens[r.k]]
+        new.add(one)
+    assert len(new) == 3 and sum(t == t.lower() for t in new) == 1
+
+
 def test_pii_of_all_documents(spark, docs, awkward, empty):
     before = {r.doc_id: r.text for r in docs.collect()}
     pattern = re.compile(pii.ANY)

@@ -18,7 +18,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What each kind looks like. At a place, the first that fits counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "hex": r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])",
+    "hex": r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,128}(?![A-Za-z0-9])",
     "date": r"(?<![\d./\-])(?:(?:19\d\d|20\d\d|2100)-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([./])(?:0[1-9]|1[0-2])\1(?:19\d\d|20\d\d|2100))(?![\d/\-]|\.\d)",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<!\d)\(\d{3}\)[ \-]?\d{3}[ .\-]\d{4}(?!\d)",
@@ -42,7 +42,7 @@ def _shift(c: Column, by: Column, alphabet: str) -> Column:
         at = F.instr(F.lit(_HEX), c) - 1
         return F.substring(F.lit(_HEX), (at + by) % 16 + 1, F.lit(1))
     turned = F.lit(None).cast("string")
-    for first, last in (("0", "9"), ("a", "z"), ("A", "Z")):
+    for first, last in (("0", "9"), ("a", "f"), ("A", "F")) if alphabet == "cased hex" else (("0", "9"), ("a", "z"), ("A", "Z")):
         size = ord(last) - ord(first) + 1
         turned = F.coalesce(turned, F.when(c.between(first, last), F.char((code - ord(first) + by) % size + ord(first))))
     return F.coalesce(turned, c)
@@ -61,7 +61,8 @@ def _mask(text: Column, other: Column, salt: Column, alphabet: str) -> Column:
 
 
 def feistel(text: Column, key: str, kind: str, alphabet: str = "alnum") -> Column:
-    """A keyed permutation of strings that keeps each character's class (digit, lower, upper case; or hex digit).
+    """A keyed permutation of strings that keeps each character's class (digit, lower, upper case; hex digit;
+    or digit, lower, upper case of hex digits).
 
     Halves of the string are moved in turn, each by a hash of the key, the round and the other half.
     """
@@ -185,7 +186,7 @@ def pseudonym(s: Column, key: str) -> Column:
     is_ = lambda kind: s.rlike(_full(PATTERNS[kind]))
     return (
         F.when(s.contains("@"), _email(s, key))
-        .when(is_("hex"), feistel(s, key, "hex", "hex"))
+        .when(is_("hex"), F.when(s.rlike("[A-F]"), feistel(s, key, "hex", "cased hex")).otherwise(feistel(s, key, "hex", "hex")))
         .when(is_("date"), F.when(_iso(s).try_cast("date").isNotNull() & (_iso(s) <= "2100-01-01"), _date(s, key)))
         .when(is_("ip"), _ip(s, key))
         .when(is_("phone"), _phone(s, key))
