@@ -317,6 +317,16 @@ def test_secrets_in_capitals(spark):
     assert len(new) == 3 and sum(t == t.lower() for t in new) == 1
 
 
+def test_cards_beside_other_digits(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    texts = [f"{card} 12/27", f"{spaced} 123", f"room 12 {card}", f"1234 {spaced} 99", f"{card}-12", f"{spaced} {spaced} 7", f"{card} 12.5", f"7 {card} 8 {spaced} 9 " + "1 " * 3000]
+    for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "secret").collect():
+        assert card not in r.text and spaced not in r.text and r.n_pii >= 1, r.text[:99]
+        assert re.sub(r"\d", "0", r.text) == re.sub(r"\d", "0", texts[r.k])
+    rest = pii.pseudonymize(spark.createDataFrame([("123456 2023-05-01, 1234567 123-45-6789",)], "text string"), "secret").first()
+    assert "2023-05-01" not in rest.text and "123-45-6789" not in rest.text and rest.n_pii == 2
+
+
 def test_pii_of_all_documents(spark, docs, awkward, empty):
     before = {r.doc_id: r.text for r in docs.collect()}
     pattern = re.compile(pii.ANY)

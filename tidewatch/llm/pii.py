@@ -26,6 +26,9 @@ PATTERNS = {
     "card": r"(?<![\d\-.])\d(?:[ \-]?\d){12,18}(?!\d|[\-.]\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All kinds but cards, which are sought between the others' values; and digit groups, in a row, of 13 or more digits.
+OTHERS = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "card")
+RUN = r"(?<![\d\-.])(?=\d(?:[ \-]?\d){12})\d++(?!\.\d)(?:[ \-]\d++(?!\.\d))*+"
 #: Dates from FIRST_DAY on, DATE_A * DATE_B of them (to 2100-01-01).
 FIRST_DAY, DATE_A, DATE_B = "1900-01-01", 150, 487
 _HEX = "0123456789abcdef"
@@ -143,6 +146,38 @@ def _card(s: Column, key: str) -> Column:
     return _with(full, lambda f: _refill(s, f))
 
 
+def _cards(run: Column, key: str) -> Column:
+    """Struct (text, n) of a run of digit groups: its card numbers replaced, from the left, the longest first.
+
+    A card number is any row of whole groups with 13 to 19 digits and a right Luhn sum: an expiry date, a room
+    or another number beside it doesn't hide it.
+    """
+    groups, gaps = F.regexp_extract_all(run, F.lit(r"(\d+)"), 1), F.split(run, r"\d+", -1)
+
+    def step(groups: Column, gaps: Column, s: Column, i: Column) -> Column:
+        digits = lambda j: F.array_join(F.slice(groups, i + 1, j - i + 1), "")
+        valid = lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0)
+        ends = F.filter(F.sequence(F.least(i + 18, F.size(groups) - 1), i, F.lit(-1)), lambda j: _with(digits(j), valid))
+        span = lambda j: F.array_join(F.transform(F.sequence(i, j), lambda k: F.concat(F.when(k > i, F.get(gaps, k)).otherwise(""), F.get(groups, k))), "")
+        taken = lambda j: F.struct(
+            F.concat(s["text"], F.get(gaps, i), F.when(j.isNotNull(), _card(span(j), key)).otherwise(F.get(groups, i))).alias("text"),
+            (s["n"] + j.isNotNull().cast("int")).alias("n"), (F.coalesce(j, i) + 1).alias("at"))
+        return F.when(i < s["at"], s).otherwise(_with(F.get(ends, 0), taken))
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+    return _with(F.struct(groups.alias("groups"), gaps.alias("gaps")), lambda x: F.aggregate(
+        F.sequence(F.lit(0), F.size(x["groups"]) - 1), start, lambda s, i: step(x["groups"], x["gaps"], s, i), lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n"))))
+
+
+def _all_cards(text: Column, key: str) -> Column:
+    """Struct (text, n) of a text with its card numbers replaced."""
+    runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), 0), lambda r: _cards(r, key))
+    found = _with(F.struct(runs.alias("runs"), F.split(text, RUN, -1).alias("gaps")), lambda x: F.struct(
+        F.concat(F.get(x["gaps"], 0), F.array_join(F.transform(x["runs"], lambda r, i: F.concat(r["text"], F.get(x["gaps"], i + 1))), "")).alias("text"),
+        F.aggregate(x["runs"], F.lit(0), lambda n, r: n + r["n"]).alias("n")))
+    return F.when(text.rlike(RUN), found).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
+
+
 def _phone(s: Column, key: str) -> Column:
     d = _digits(s)
     head = F.length(d) - 10
@@ -182,7 +217,7 @@ def _full(pattern: str) -> str:
 
 
 def pseudonym(s: Column, key: str) -> Column:
-    """The pseudonym of a found value; null if it isn't valid."""
+    """The pseudonym of a found value other than a card number; null if it isn't valid."""
     is_ = lambda kind: s.rlike(_full(PATTERNS[kind]))
     return (
         F.when(s.contains("@"), _email(s, key))
@@ -191,7 +226,6 @@ def pseudonym(s: Column, key: str) -> Column:
         .when(is_("ip"), _ip(s, key))
         .when(is_("phone"), _phone(s, key))
         .when(is_("ssn"), _ssn(s, key))
-        .when(luhn_sum(_digits(s)) % 10 == 0, _card(s, key))
     )
 
 
@@ -199,18 +233,19 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The rows with PII in `text` replaced by pseudonyms, and n_pii (long): how many were replaced.
 
     Values that fail validation (a card number's Luhn sum, a day that no month has) stay as they are, as do all
-    other characters. Null texts stay null with n_pii 0, empty texts empty. Rows are independent; an empty table
+    other characters; a card number may be any whole groups of a row of digits. Null texts stay null with n_pii 0, empty texts empty. Rows are independent; an empty table
     gives an empty result. A column named n_pii in the input is replaced.
     """
     t = text_or_empty(text)
     own = docs.drop("n_pii") if text != "n_pii" else docs
-    found = own.withColumn("__spans", F.when(t.rlike(ANY), F.regexp_extract_all(t, F.lit(ANY), 0)))
+    found = own.withColumn("__spans", F.when(t.rlike(f"{OTHERS}|(?:{RUN})"), F.regexp_extract_all(t, F.lit(OTHERS), 0)))
     found = found.withColumn("__new", F.transform("__spans", lambda s: pseudonym(s, key)))
-    gaps = F.split(t, ANY, -1)
-    spans, new = F.col("__spans"), F.col("__new")
-    rebuilt = _with(gaps, lambda g: F.concat(F.get(g, 0), F.array_join(
-        F.transform(spans, lambda s, i: F.concat(F.coalesce(F.get(new, i), s), F.get(g, i + 1))), "")))
+    found = found.withColumn("__gaps", F.when(F.col("__spans").isNotNull(), F.transform(F.split(t, OTHERS, -1), lambda g: _all_cards(g, key))))
+    gaps, spans, new = F.col("__gaps"), F.col("__spans"), F.col("__new")
+    rebuilt = F.concat(F.get(gaps, 0)["text"], F.array_join(
+        F.transform(spans, lambda s, i: F.concat(F.coalesce(F.get(new, i), s), F.get(gaps, i + 1)["text"])), ""))
     return found.withColumns({
         text: F.when(spans.isNull(), F.col(text)).otherwise(rebuilt),
-        "n_pii": F.coalesce(F.size(F.filter(new, lambda x: x.isNotNull())), F.lit(0)).cast("long"),
-    }).withColumn("n_pii", F.greatest("n_pii", F.lit(0).cast("long"))).drop("__spans", "__new")
+        "n_pii": F.when(spans.isNull(), F.lit(0)).otherwise(
+            F.size(F.filter(new, lambda x: x.isNotNull())) + F.aggregate(gaps, F.lit(0), lambda n, g: n + g["n"])).cast("long"),
+    }).drop("__spans", "__new", "__gaps")
