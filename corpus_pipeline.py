@@ -21,9 +21,9 @@ BROADCAST_IDS = 1_000_000
 PII_KEY = "tidewatch-public-test-key"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents whose ids aren't among `ids` (a written table)."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,19 +32,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumns({"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}).select(docs.columns)
 
 
+def _odd_ids(docs: DataFrame) -> bool:
+    """Whether ids are missing or repeated, so that they don't tell rows apart."""
+    return docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count() > 0
+
+
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents with a number of each row, written so that the numbers stay."""
+    return Scratch(spark, "numbered").keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates; of repeated rows, one."""
+    """The document with the smallest id of each component of near duplicates; of repeated rows, one.
+
+    Where ids are missing or repeated, components are of rows: equal ids alone make no copies.
+    """
+    if _odd_ids(docs):
+        rows = _numbered(spark, docs)
+        found = jaccard.jaccard_components(rows, doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"].alias("__row")
+        ids = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(first).select("__row")
+        kept = rows.join(Scratch(spark, "copies").keep(ids, "ids"), "__row", "left_semi").select(docs.columns)
+        return kept.dropDuplicates(["doc_id", "text"])  # repeated texts without words, which join nothing
     found = jaccard.jaccard_components(docs)
-    ids = Scratch(spark, "copies").keep(found.filter("doc_id <> component_id").select("doc_id").distinct(), "ids")
-    kept = _without(docs, ids)
-    repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    return _without(docs, Scratch(spark, "copies").keep(found.filter("doc_id <> component_id").select("doc_id").distinct(), "ids"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, Scratch(spark, "leaks").keep(found.select("doc_id").distinct(), "ids"))
+    """Documents without passages of the benchmark; where ids are missing or repeated, each row for itself."""
+    rows, key = (_numbered(spark, docs), "__row") if _odd_ids(docs) else (docs, "doc_id")
+    found = decontaminate.find_contamination(rows, table(spark, sf_dir, "benchmark"), doc_id=key)
+    ids = Scratch(spark, "leaks").keep(found.select(F.col("doc_id").alias(key)).distinct(), "ids")
+    return _without(rows, ids, key).select(docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,14 @@ def test_repeated_rows_leave_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(5)
     out = corpus_pipeline.near_duplicates(spark, docs.union(docs), SF)
     assert out.count() == out.select("doc_id").distinct().count() <= 5
+
+
+def test_missing_and_shared_ids_lose_no_texts(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4)), (8, text(5)), (None, text(5)), (9, text(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(5))], key=str)
+    leak = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) > 9)
+    docs = spark.createDataFrame([(None, leak), (None, text(1)), (7, leak), (7, text(2))], "doc_id long, text string")
+    assert {tuple(r) for r in corpus_pipeline.decontamination(spark, docs, SF).collect()} == {(None, text(1)), (7, text(2))}
