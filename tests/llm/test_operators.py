@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -418,6 +419,18 @@ def test_license_notices(spark, awkward, empty):
     assert licenses.scan_licenses(awkward).count() == 0 and licenses.scan_licenses(empty).count() == 0
 
 
+def test_wrapped_and_numbered_license_texts():
+    scan = licenses.Scanner().scan
+    forms = licenses.TEMPLATES
+    texts = {"MIT": forms["MIT"][2], "GPL-3.0": forms["GPL-3.0"][1], "BSD-3-Clause": forms["BSD-3-Clause"][1], "Apache-2.0": forms["Apache-2.0"][1]}
+    texts["BSD-3-Clause"] = re.sub(r" (Redistributions of|Redistributions in|Neither the name)", lambda m, n=iter("123"): f"\n\n{next(n)}. {m[1]}", texts["BSD-3-Clause"])
+    for name, text in texts.items():
+        for width in (60, 80):
+            wrapped = "\n".join(textwrap.fill(p, width) for p in re.sub(r" (The above|THE SOFTWARE IS)", r"\n\n\1", text).split("\n"))
+            found = scan(f"Some prose before.\n\n{wrapped}\n\nSome prose after it.")
+            assert [(f.license, f.first_line, f.last_line, f.n_missing, f.n_extra) for f in found] == [(name, 2, 2 + wrapped.count("\n"), 0, 0)]
+
+
 def test_license_lines_of_all_documents(spark, docs):
     lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
              "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "All rights reserved.": "LicenseRef-All-Rights-Reserved"}

@@ -1,14 +1,16 @@
 """License scans by conditional compression.
 
-Candidate blocks (lines around words that licence notices use) are compressed with each template as a raw
-zstandard dictionary. The templates that shrink a block most are compared with it word by word, and a winner
-counts only if the differences in wording leave the terms as they are.
+Candidate blocks (the words around those that licence notices use, as many as the longest template has) are
+compared word by word with every template whose words they hold. A passage counts if the template, as a raw
+zstandard dictionary, shrinks it, and only if the differences in wording leave the terms as they are.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache
 from typing import NamedTuple
@@ -63,14 +65,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 #: Words that change the terms; a difference in one of them, or in a number, is never accepted.
 TERM_WORDS = frozenset("nc nd sa noncommercial noderivatives sharealike lesser affero not no mit bsd isc apache mozilla gnu cc cc0 neither nor".split())
 ANCHOR = r"(?i)licen[sc]e|copyright|all rights reserved|public domain|redistribut|permission (is hereby granted|to use, copy)|as[ -]is\b|\bCC0? |creative commons|free software"
-#: Lines with an anchor at most so many lines apart make one block.
-GAP = 3
-#: So many of the best-ranked templates are compared word by word.
-CONFIRM = 4
 #: Share of a template's words that may be missing, and words inside the match that may be added.
 MISSING, EXTRA = 0.1, 0.1
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 _ANCHOR = re.compile(ANCHOR)
+#: A list number at a line's start; added ones change no terms.
+_ITEM = re.compile(r"\s*\(?(\d{1,2})[.)](?=\s)")
 
 
 class Finding(NamedTuple):
@@ -86,6 +86,11 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _fixed(word: str) -> bool:
+    """Whether a difference in this word is never accepted."""
+    return word in TERM_WORDS or any(c.isdigit() for c in word)
+
+
 class Scanner:
     """Templates as dictionaries of compressors; verdicts of repeated blocks are remembered (bounded)."""
 
@@ -99,68 +104,91 @@ class Scanner:
             z.ZstdCompressor(dict_data=z.ZstdCompressionDict((" ".join(w) + " ").encode(), dict_type=z.DICT_TYPE_RAWCONTENT), **options)
             for _, w in self.templates
         ]
-        self.judge = lru_cache(maxsize=20_000)(self._judge)
+        self.counts = [Counter(w) for _, w in self.templates]
+        self.terms = [Counter({w: n for w, n in c.items() if _fixed(w)}) for c in self.counts]
+        self.reach = math.ceil((1 + EXTRA) * max(len(w) for _, w in self.templates))
+        self.judge = lru_cache(maxsize=2_000)(self._judge)
 
-    def reductions(self, block: list[str]) -> list[float]:
-        """Share of a block's compressed size that each template saves."""
+    def reduction(self, k: int, block: tuple[str, ...]) -> float:
+        """Share of a block's compressed size that a template saves."""
         data = (" ".join(block) + " ").encode()
-        size = len(self.plain.compress(data))
-        return [1 - len(c.compress(data)) / size for c in self.with_dict]
-
-    def _judge(self, text: str) -> tuple[str, float, int, int] | None:
-        block = _words(text)
-        if not block:
-            return None
-        saved = self.reductions(block)
-        ranked = sorted(range(len(saved)), key=lambda k: (-saved[k], k))[:CONFIRM]
-        best = None
-        for k in ranked:
-            if saved[k] <= 0:
-                break
-            name, words = self.templates[k]
-            if (found := differences(words, block)) is not None:
-                covered = (-(len(words) - found[0] - found[1]), -saved[k])
-                if best is None or covered < best[0]:
-                    best = (covered, (name, saved[k], *found))
-        return best and best[1]
+        return 1 - len(self.with_dict[k].compress(data)) / len(self.plain.compress(data))
+
+    def _judge(self, block: tuple[str, ...], items: frozenset[int]) -> list[tuple[int, int, str, float, int, int]]:
+        """(first word, last word, licence, reduction, missing, added) of the notices in a block, in order.
+
+        Of passages that overlap, the one that covers most words of its template counts.
+        """
+        found = []
+        have = Counter(block)
+        for k, (name, words) in enumerate(self.templates):
+            if any(have[w] < n for w, n in self.terms[k].items()) or sum(min(n, have[w]) for w, n in self.counts[k].items()) < (1 - MISSING) * len(words):
+                continue
+            slack = math.ceil(EXTRA * len(words)) + len(items)
+            matcher = SequenceMatcher(None, block, words, autojunk=False)
+            open_ = [(0, len(block))]
+            while open_:
+                lo, hi = open_.pop()
+                if hi - lo < (1 - MISSING) * len(words):
+                    continue
+                m = matcher.find_longest_match(lo, hi, 0, len(words))
+                if not m.size:
+                    continue
+                a, b = max(lo, m.a - m.b - slack), min(hi, m.a - m.b + len(words) + slack)
+                own = differences(words, block[a:b], frozenset(x - a for x in items if a <= x < b))
+                if own and (saved := self.reduction(k, block[a + own[2] : a + own[3]])) > 0:
+                    found.append((-(len(words) - own[0] - own[1]), -saved, k, a + own[2], a + own[3], name, saved, own[0], own[1]))
+                    open_ += [(lo, a + own[2]), (a + own[3], hi)]
+                else:
+                    open_ += [(lo, m.a), (m.a + m.size, hi)]
+        taken: list[tuple[int, int, str, float, int, int]] = []
+        used = bytearray(len(block))
+        for *_, a, b, name, saved, missing, extra in sorted(found):
+            if not any(used[a:b]):
+                used[a:b] = b"\1" * (b - a)
+                taken.append((a, b - 1, name, saved, missing, extra))
+        return sorted(taken)
 
     def scan(self, text: str | None) -> list[Finding]:
-        lines = (text or "").split("\n")
-        at = [k for k, line in enumerate(lines) if _ANCHOR.search(line)]
+        words: list[str] = []
+        line_of: list[int] = []
+        items: list[int] = []
+        blocks: list[list[int]] = []
+        for k, line in enumerate((text or "").split("\n")):
+            own = _words(line)
+            if own and _ITEM.match(line):
+                items.append(len(words))
+            if _ANCHOR.search(line):
+                lo, hi = max(0, len(words) - self.reach), len(words) + len(own) + self.reach
+                if blocks and lo <= blocks[-1][1]:
+                    blocks[-1][1] = hi
+                else:
+                    blocks.append([lo, hi])
+            words += own
+            line_of += [k] * len(own)
         out: list[Finding] = []
-        runs: list[list[int]] = []
-        for k in at:
-            if runs and k - runs[-1][-1] <= GAP:
-                runs[-1].append(k)
-            else:
-                runs.append([k])
-        for run in runs:
-            found = self.judge("\n".join(lines[run[0] : run[-1] + 1])) if len(run) > 1 else None
-            single = [(k, f) for k in run if (f := self.judge(lines[k]))]
-            if found and len({f[0] for _, f in single} - {found[0]}) == 0:
-                out.append(Finding(run[0], run[-1], *found))
-            else:
-                out.extend(Finding(k, k, *f) for k, f in single)
+        for lo, hi in blocks:
+            found = self.judge(tuple(words[lo:hi]), frozenset(x - lo for x in items if lo <= x < hi))
+            out.extend(Finding(line_of[lo + a], line_of[lo + b], *rest) for a, b, *rest in found)
         return out
 
 
-def differences(template: list[str], block: list[str]) -> tuple[int, int] | None:
-    """(template words missing, words added inside the match), or None if the wording differs too much."""
+def differences(template: list[str], block: Sequence[str], items: frozenset[int] = frozenset()) -> tuple[int, int, int, int] | None:
+    """(template words missing, words added inside the match, first and end word), or None if the wording differs too much.
+
+    items: places of list numbers, which may be added.
+    """
     parts = [m for m in SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if m.size]
     if not parts:
         return None
-    matched = sum(m.size for m in parts)
-    inside = block[parts[0].a : parts[-1].a + parts[-1].size]
-    missing, extra = len(template) - matched, len(inside) - matched
-    if missing > MISSING * len(template) or extra > EXTRA * len(template):
-        return None
+    first, end = parts[0].a, parts[-1].a + parts[-1].size
     hit = {k for m in parts for k in range(m.b, m.b + m.size)}
     hit_a = {k for m in parts for k in range(m.a, m.a + m.size)}
-    changed = [w for k, w in enumerate(template) if k not in hit]
-    changed += [block[k] for k in range(parts[0].a, parts[-1].a + parts[-1].size) if k not in hit_a]
-    if any(w in TERM_WORDS or any(c.isdigit() for c in w) for w in changed):
+    missing = [w for k, w in enumerate(template) if k not in hit]
+    extra = [block[k] for k in range(first, end) if k not in hit_a and k not in items]
+    if len(missing) > MISSING * len(template) or len(extra) > EXTRA * len(template) or any(map(_fixed, missing + extra)):
         return None
-    return missing, extra
+    return len(missing), len(extra), first, end
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
