@@ -431,6 +431,14 @@ def test_wrapped_and_numbered_license_texts():
             assert [(f.license, f.first_line, f.last_line, f.n_missing, f.n_extra) for f in found] == [(name, 2, 2 + wrapped.count("\n"), 0, 0)]
 
 
+def test_license_lines_within_legal_prose():
+    scan = licenses.Scanner().scan
+    terms = "By using this service you accept that it is provided without warranties of any kind and that in no event shall the authors be liable for any claim or damages arising from the use of the service, subject to the following conditions and to applicable law; " * 2
+    for form, name in (("All rights reserved.", "LicenseRef-All-Rights-Reserved"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Released under the MIT License.", "MIT")):
+        assert [f.license for f in scan(terms + form)] == [name]
+    assert [f.license for f in scan("Released under the MIT License. Licensed under CC BY 4.0. All rights reserved.")] == ["MIT", "CC-BY-4.0", "LicenseRef-All-Rights-Reserved"]
+
+
 def test_license_lines_of_all_documents(spark, docs):
     lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
              "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "All rights reserved.": "LicenseRef-All-Rights-Reserved"}
