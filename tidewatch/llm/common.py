@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,14 +33,48 @@ def words_of(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; a local one where it is unset."""
+    """The folder that all executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a folder of this machine, which only a session of this machine alone may use.
+    """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), "tidewatch-scratch")
     return f"file://{own}"
 
 
+def release_memory() -> None:
+    """Give freed memory of this worker back to the machine, so that idle workers stay small."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: it keeps what it has freed
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], size: int, rows: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Pieces of Arrow batches with at most `size` bytes of text (but for a single text) and `rows` rows.
+
+    Gives each piece and its texts in UTF-8, null ones empty. However large the batches are that Spark sends,
+    only a piece's texts are Python objects at a time.
+    """
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(text))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            end = min(max(int(np.searchsorted(ends, before + size, side="right")), at + 1), at + rows)
+            yield batch.slice(at, end - at), [t or b"" for t in column.slice(at, end - at).cast(pa.binary()).to_pylist()]
+            at = end
+    release_memory()
+
+
 def slices(texts: list[str | None], chars: int, rows: int) -> Iterator[tuple[int, int]]:
     """Places where a list of texts is cut, so that no slice but a single text has more characters or rows."""
     at = 0
@@ -51,19 +87,27 @@ def slices(texts: list[str | None], chars: int, rows: int) -> Iterator[tuple[int
         at = end
 
 
+#: Rows that Python workers get at once: texts are long, and buffers of Spark's default of 10,000 stay with an executor.
+BATCH_ROWS, BATCH_SETTING = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with batches of BATCH_ROWS from now on if its user has left Spark's default as it is."""
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return spark
+
+
 class Scratch:
     """Tables written to the shared folder, so that lost executors cost no recomputation of earlier steps.
 
-    `keep` writes a table and reads it back; `drop` deletes those which are no longer needed. While `keep` runs,
-    Python workers get BATCH_ROWS rows at once: texts are long, and each worker's memory stays small.
+    `keep` writes a table and reads it back; `drop` deletes those which are no longer needed.
     """
 
-    BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
-
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
+        self.spark = small_batches(spark)
         self.root = f"{shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n, self._held = 0, {}
 
     def path(self, label: str) -> str:
         self._n += 1
@@ -72,20 +116,22 @@ class Scratch:
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = self.path(label)
         schema = df.schema
-        before = self.spark.conf.get(self.BATCH_SETTING)
-        self.spark.conf.set(self.BATCH_SETTING, str(self.BATCH_ROWS))
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set(self.BATCH_SETTING, before)
+        df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
+        self._held[path] = out
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for one in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(one._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            if self._held.pop(one._scratch_path, None) is not None:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(one._scratch_path)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Delete every table that was kept, but for these."""
+        paths = {one._scratch_path for one in tables}
+        self.drop(*[one for path, one in self._held.items() if path not in paths])
 
 
 # --- word hashes of whole batches -------------------------------------------------------------
@@ -127,7 +173,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _PUNCTUATION = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
-def word_hashes(texts: list[str | None], lower: bool = False, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | bytes | None], lower: bool = False, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of a batch of texts: (hash, start byte, end byte, number of words per text).
 
     Starts and ends count bytes of the UTF-8 text. A hash is a polynomial over the word's bytes modulo
@@ -135,10 +181,9 @@ def word_hashes(texts: list[str | None], lower: bool = False, plain: bool = Fals
     lower: without regard to the case of A-Z. plain: without regard to any case and to ASCII punctuation (starts
     and ends then count the bytes that remain).
     """
+    raw = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
     if plain:
-        raw = [(t or "").lower().encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION) for t in texts]
-    else:
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        raw = [t.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION) for t in raw]
     lengths = np.array([len(r) + 1 for r in raw], dtype=np.int64)
     data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
     space = _IS_SPACE[data]
