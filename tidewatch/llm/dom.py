@@ -32,6 +32,10 @@ _TAG = re.compile(
 _ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+#: Long numbers in names differ from page to page where the branch is the same.
+_DIGITS = re.compile(r"\d{3,}")
+
+
 class Element(NamedTuple):
     tag: str
     attrs: dict[str, str]
@@ -41,6 +45,7 @@ class Element(NamedTuple):
 class Block(NamedTuple):
     path: tuple[Element, ...]
     text: str
+    linked: int  # characters of source text inside links
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -52,7 +57,7 @@ def attributes(source: str) -> dict[str, str]:
 
 def _element(tag: str, source: str) -> Element:
     attrs = attributes(source) if source and not source.isspace() else {}
-    names = " ".join(sorted((attrs.get("class", "") + " " + attrs.get("id", "")).lower().split()))
+    names = _DIGITS.sub("#", " ".join(sorted((attrs.get("class", "") + " " + attrs.get("id", "")).lower().replace("/", "-").split())))
     return Element(tag, attrs, f"{tag}.{names}" if names else tag)
 
 
@@ -72,14 +77,16 @@ def read(page: str | None) -> tuple[list[Block], str, list[tuple[str, str]]]:
     stack: list[Element] = []
     parts: list[str] = []
     anchor: list[str] | None = None
-    target = ""
+    target, linked = "", 0
     source, at = page or "", 0
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             if text := squeeze("".join(parts)):
-                blocks.append(Block(tuple(stack), text))
+                blocks.append(Block(tuple(stack), text, linked))
             parts.clear()
+        linked = 0
 
     def end_to(k: int) -> None:
         if any(e.tag in BLOCK for e in stack[k:]):
@@ -99,6 +106,7 @@ def read(page: str | None) -> tuple[list[Block], str, list[tuple[str, str]]]:
             parts.append(piece)
             if anchor is not None:
                 anchor.append(piece)
+                linked += len(piece)
         if not found:
             break
         at = found.end()
