@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Scratch
-
+from tidewatch.llm.common import Scratch, release_memory
 
 #: Links that one executor's task joins at once (16 bytes each); more go through rounds of stars.
-TASK_LINKS = 2_000_000
+TASK_LINKS = 1_000_000
 
 
 def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,13 +32,39 @@ def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A partition's links as links of each node to its root within the partition."""
-    held = list(batches)
-    if held:
-        whole = pd.concat(held)
-        node, root = roots(whole["u"].to_numpy(), whole["v"].to_numpy())
-        yield pd.DataFrame({"u": node, "v": root})
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's links as links of each node to its root, reduced whenever TASK_LINKS of them are held.
+
+    A forest that fills more than half of what may be held is given out, and another one is begun.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        return roots(np.concatenate([u for u, _ in held]), np.concatenate([v for _, v in held]))
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size > TASK_LINKS:
+            node, root = reduced()
+            held, size = [(node, root)], len(node)
+            if 2 * size > TASK_LINKS:
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["u", "v"])
+                held, size = [], 0
+    if size:
+        node, root = reduced()
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["u", "v"])
+    release_memory()
+
+
+def _whole_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The roots of all links that one task reads (TASK_LINKS at most)."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if sum(len(u) for u, _ in held):
+        node, root = roots(np.concatenate([u for u, _ in held]), np.concatenate([v for _, v in held]))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["u", "v"])
+    release_memory()
 
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -51,9 +76,9 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     the nodes, and minima are aggregated before they are joined back, so a node with any number of links is no
     single task's work. An empty table gives an empty result; self-links give their node.
     """
-    edges = scratch.keep(links.select("u", "v").mapInPandas(_forest, "u long, v long"), "links")
+    edges = scratch.keep(links.select("u", "v").mapInArrow(_forest, "u long, v long"), "links")
     if edges.count() <= TASK_LINKS:
-        return edges.coalesce(1).mapInPandas(_forest, "u long, v long").toDF("node", "root")
+        return edges.coalesce(1).mapInArrow(_whole_forest, "u long, v long").toDF("node", "root")
     state = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()

@@ -223,7 +223,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
         out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)
-    return scratch.keep(out, "found")
+    return scratch.keep(out, "found", shuffled=False)
 
 
 def _blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:

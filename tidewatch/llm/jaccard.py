@@ -7,8 +7,12 @@ verified on the sets themselves.
 
 With some hundred coordinates no tree separates random texts of a whole corpus, so trees are built over
 families: texts that could link because they share enough of their lowest-hashed shingles (any linked pair
-must). Families of any size fall into tiles of bounded size, and tiles of one family are joined with each
+must). Families of any size fall into tiles of bounded weight, and tiles of one family are joined with each
 other only as far as earlier links leave them apart.
+
+Families are made in steps that are linear in the keys. A key of at most LIGHT texts pairs them (at most
+(LIGHT - 1) / 2 pairs per occurrence). A commoner key is never expanded: a text with too few light keys links to
+the nodes of the rarest of its common ones, as many as an exact bound asks for.
 """
 
 from __future__ import annotations
@@ -16,25 +20,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Scratch, mix, ngram_hashes, slices, word_hashes
+from tidewatch.llm.common import Scratch, mix, ngram_hashes, release_memory, slices, text_slices, word_hashes
 from tidewatch.llm.components import connected_components
 
 SHINGLE = 5
 #: A shingle of at most so many texts pairs these directly; a text made of commoner ones belongs to a crowd.
-LIGHT = 10
-#: Texts in a tile, and texts that all tiles of one large family share so that their links meet.
-TILE, ANCHORS = 1024, 32
+LIGHT = 5
+#: Texts and shingles in a tile, and texts that all tiles of one large family share so that their links meet.
+TILE, TILE_SHINGLES, ANCHORS = 1024, 250_000, 32
 LEAF, FANOUT = 16, 8
-#: Keys that are dealt at once, and keys of a partition.
-FLUSH_KEYS, PART_KEYS = 500_000, 300_000
+#: Keys that are dealt at once, keys of a partition, and flushes that meet in one group.
+FLUSH_KEYS, PART_KEYS, FAN = 400_000, 300_000, 512
+#: Memberships of common keys in a row, and tasks that one key's memberships are dealt to where they meet its count.
+MEMBERS, SALTS = 20_000, 16
 #: Texts in families are told to all tasks up to this number (16 bytes each); beyond, by a join.
 BROADCAST_DOCS = 400_000
-#: Characters of text hashed at once.
-HASH_CHARS = 500_000
+#: Bytes of text hashed at once (a longer text alone), and rows.
+HASH_BYTES, HASH_ROWS = 500_000, 1000
 
 
 def spare(n: np.ndarray) -> np.ndarray:
@@ -47,9 +53,9 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return np.minimum(n, n // 4 + spare(n))
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | bytes | None]) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingle hashes; the whole text is one if it has fewer words than a shingle."""
-    for at, end in slices(texts, HASH_CHARS, len(texts)):
+    for at, end in slices(texts, HASH_BYTES, len(texts)):
         hashes, _, _, counts = word_hashes(texts[at:end], lower=True)
         grams = ngram_hashes(hashes, SHINGLE)
         first = 0
@@ -74,99 +80,135 @@ def _from_planes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for s in shingle_sets(pdf.pop("text").tolist()):
-            n = len(s)
-            one, two = mix(s + _COPY).sum(dtype=np.uint64), mix(s ^ _COPY).sum(dtype=np.uint64)
-            rows.append((n, one.view(np.int64), two.view(np.int64)))
-        out = pd.DataFrame(rows, columns=["n", "c1", "c2"])
-        out.insert(0, "doc_id", pdf["doc_id"].array)
-        yield out
+def _batch(columns: dict[str, object]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for piece, texts in text_slices(batches, HASH_BYTES, HASH_ROWS):
+        n, one, two = np.empty(len(texts), np.int64), np.empty(len(texts), np.uint64), np.empty(len(texts), np.uint64)
+        for k, s in enumerate(shingle_sets(texts)):
+            n[k], one[k], two[k] = len(s), mix(s + _COPY).sum(dtype=np.uint64), mix(s ^ _COPY).sum(dtype=np.uint64)
+        yield _batch({"doc_id": piece.column(0), "n": n, "c1": one.view(np.int64), "c2": two.view(np.int64)})
+
+
+# --- dealing keys to partitions ---------------------------------------------------------------
+
+_CHUNK = "part int, salt int, keys binary, docs binary, sizes binary, marks binary, members binary"
+_FOUND = "common boolean, a long, b long, n long"
+
+
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def _chunks(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, marks: np.ndarray, parts: list[int] | None, n_parts: int, salt: int) -> pa.RecordBatch:
+    """Rows of _CHUNK: the keys that few texts have, by partition, and memberships (text, key) of the others.
+
+    parts: the only partitions of these keys, if known. What is known to be common needn't meet anywhere, so its
+    memberships go to any partition.
+    """
+    order = np.argsort(keys, kind="stable")
+    keys, docs, sizes = keys[order], docs[order], sizes[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    reps = np.diff(np.append(first, len(keys)))
+    known = (reps > LIGHT) | np.isin(keys[first], marks)
+    marks = np.union1d(marks, keys[first[known]])
+    common = np.repeat(known, reps)
+    rest, rest_docs, rest_sizes = keys[~common], docs[~common], sizes[~common]
+    rows: list[tuple] = []
+    own = np.arange(n_parts) if parts is None else np.array(parts)
+    low, high = own.astype(np.uint64), (own + 1).astype(np.uint64)
+    of, of_marks = _part_of(rest, n_parts), _part_of(marks, n_parts)
+    for p, a, b, c, d in zip(own.tolist(), np.searchsorted(of, low), np.searchsorted(of, high), np.searchsorted(of_marks, low), np.searchsorted(of_marks, high)):
+        if b > a or d > c:
+            rows.append((p, salt, _planes(rest[a:b]), _planes(rest_docs[a:b]), _planes(rest_sizes[a:b]), marks[c:d].tobytes(), None))
+    spread, spread_docs = keys[common], docs[common]
+    for k, a in enumerate(range(0, len(spread), MEMBERS)):
+        pair = np.stack([spread_docs[a : a + MEMBERS].view(np.uint64), spread[a : a + MEMBERS]])
+        rows.append((int((salt * 31 + int(own[0]) * 7 + k * 13) % n_parts), salt, None, None, None, None, pair.tobytes()))
+    names = [c.split()[0] for c in _CHUNK.split(", ")]
+    kinds = [pa.int32()] * 2 + [pa.binary()] * 5
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
 
+def _deal(parts: int, salts: int):
+    """Prefix keys of texts as rows of _CHUNK, a flush of FLUSH_KEYS at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _deal(parts: int):
-    """Chunks of keys by partition, and memberships (text, key) of keys that are common within a flush alone."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, int, np.ndarray]] = []
-        size = 0
-        for pdf in batches:
-            for d, s in zip(pdf["doc_id"].tolist(), shingle_sets(pdf.pop("text").tolist())):
+        size, flush = 0, TaskContext.get().partitionId()
+
+        def flushed() -> pa.RecordBatch:
+            counts = [len(k) for _, _, k in held]
+            return _chunks(np.concatenate([k for _, _, k in held]), np.repeat(np.array([d for d, _, _ in held], np.int64), counts),
+                           np.repeat(np.array([n for _, n, _ in held], np.int32), counts), np.empty(0, np.uint64), None, parts, flush % salts)
+
+        for piece, texts in text_slices(batches, HASH_BYTES, HASH_ROWS):
+            for d, s in zip(piece.column(0).to_pylist(), shingle_sets(texts)):
                 if len(s):
                     held.append((d, len(s), s[: int(prefix_length(np.int64(len(s))))].copy()))
                     size += len(held[-1][2])
                 if size >= FLUSH_KEYS:
-                    yield _flush(held, parts)
-                    held, size = [], 0
+                    yield flushed()
+                    held, size, flush = [], 0, flush + 1
         if held:
-            yield _flush(held, parts)
+            yield flushed()
+        release_memory()
 
     return run
 
 
-def _flush(held: list[tuple[int, int, np.ndarray]], parts: int) -> pd.DataFrame:
-    counts = [len(k) for _, _, k in held]
-    keys = np.concatenate([k for _, _, k in held])
-    docs = np.repeat(np.array([d for d, _, _ in held], np.int64), counts)
-    sizes = np.repeat(np.array([n for _, n, _ in held], np.int32), counts)
-    order = np.argsort(keys, kind="stable")
-    keys, docs, sizes = keys[order], docs[order], sizes[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    reps = np.diff(np.append(first, len(keys)))
-    common = np.repeat(reps > LIGHT, reps)
-    marks = keys[first[reps > LIGHT]]
-    rest, rest_docs, rest_sizes = keys[~common], docs[~common], sizes[~common]
-    part = lambda k: ((k >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    edges = np.arange(parts + 1, dtype=np.uint64)
-    cut, cut_marks = np.searchsorted(part(rest), edges), np.searchsorted(part(marks), edges)
-    rows = []
-    for p in range(parts):
-        a, b, c, d = cut[p], cut[p + 1], cut_marks[p], cut_marks[p + 1]
-        if b > a or d > c:
-            rows.append((p, _planes(rest[a:b]), _planes(rest_docs[a:b]), _planes(rest_sizes[a:b]), marks[c:d].tobytes()))
-    spread, spread_docs = keys[common], docs[common]
-    for a in range(0, len(spread), 50_000):  # known to be common: these needn't meet in a partition
-        rows.append((-1, spread[a : a + 50_000].tobytes(), spread_docs[a : a + 50_000].tobytes(), b"", b""))
-    return pd.DataFrame(rows, columns=["part", "keys", "docs", "sizes", "marks"])
+def _read_chunks(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(keys, texts, set sizes, known common keys, packed memberships) of a group of chunks."""
+    held = lambda c: [x for x in table.column(c).to_pylist() if x is not None]
+    cat = lambda c, kind: np.concatenate([_from_planes(x, kind) for x in held(c)] or [np.empty(0, kind)])
+    return cat("keys", np.uint64), cat("docs", np.int64), cat("sizes", np.int32), np.unique(np.frombuffer(b"".join(held("marks")), np.uint64)), held("members")
 
 
-def _members(keys: np.ndarray, docs: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"common": True, "a": docs, "b": keys.view(np.int64), "n": np.ones(len(docs), np.int64)})
+def _merge_chunks(parts: int, fan: int):
+    """A group's chunks as one: keys that are common among them are told apart before more of them meet."""
+    def run(table: pa.Table) -> pa.Table:
+        part, salt = table.column("part")[0].as_py(), table.column("salt")[0].as_py() // fan
+        keys, docs, sizes, marks, members = _read_chunks(table)
+        made = _chunks(keys, docs, sizes, marks, [part], parts, salt)
+        rows = [{"part": part, "salt": salt, "members": m} for m in members]
+        return pa.concat_tables([pa.Table.from_batches([made]), pa.Table.from_pylist(rows, schema=made.schema)])
+
+    return run
 
 
-def _unpack_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for k, d in zip(pdf["keys"], pdf["docs"]):
-            yield _members(np.frombuffer(k, np.uint64), np.frombuffer(d, np.int64))
+def _members(packed: bytes) -> dict[str, np.ndarray]:
+    docs, keys = np.frombuffer(packed, np.int64).reshape(2, -1)
+    return {"common": np.ones(len(docs), bool), "a": docs, "b": keys, "n": np.ones(len(docs), np.int64)}
 
 
-def _pair_up(pdf: pd.DataFrame) -> pd.DataFrame:
+def _pair_up(table: pa.Table) -> pa.Table:
     """A partition's keys: pairs of texts (with the number of shared light keys), and memberships of common keys."""
-    join = lambda c, kind: np.concatenate([_from_planes(x, kind) for x in pdf[c]])
-    keys, docs, sizes = join("keys", np.uint64), join("docs", np.int64), join("sizes", np.int32)
-    marks = np.frombuffer(b"".join(pdf["marks"]), np.uint64)
+    keys, docs, sizes, marks, packed = _read_chunks(table)
+    out = [_batch(_members(m)) for m in packed]
     order = np.argsort(keys, kind="stable")
     keys, docs, sizes = keys[order], docs[order], sizes[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, int)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
     reps = np.diff(np.append(first, len(keys)))
     common = (reps > LIGHT) | np.isin(keys[first], marks)
     spread = np.repeat(common, reps)
-    out = [_members(keys[spread], docs[spread])]
-    firsts, seconds = [], []
+    out.append(_batch(_members(np.stack([docs[spread], keys[spread].view(np.int64)]).tobytes())))
+    pairs = []
     for c in range(2, LIGHT + 1):
         at = first[(reps == c) & ~common]
         if len(at):
             d, s = docs[at[:, None] + np.arange(c)], sizes[at[:, None] + np.arange(c)]
             i, j = np.triu_indices(c, 1)
-            fit = 3 * np.maximum(s[:, i], s[:, j]) <= 4 * np.minimum(s[:, i], s[:, j])
-            firsts.append(np.minimum(d[:, i], d[:, j])[fit])
-            seconds.append(np.maximum(d[:, i], d[:, j])[fit])
-    if firsts:
-        a, b = np.concatenate(firsts), np.concatenate(seconds)
-        pairs = pd.DataFrame({"common": False, "a": a, "b": b, "n": 1}).groupby(["common", "a", "b"], as_index=False).sum()
-        out.append(pairs)
-    return pd.concat(out, ignore_index=True).astype({"common": bool, "a": np.int64, "b": np.int64, "n": np.int64})
+            fit = (3 * np.maximum(s[:, i], s[:, j]) <= 4 * np.minimum(s[:, i], s[:, j])) & (d[:, i] != d[:, j])
+            pairs.append(np.stack([np.minimum(d[:, i], d[:, j])[fit], np.maximum(d[:, i], d[:, j])[fit]], axis=1))
+    if pairs:
+        every = np.concatenate(pairs)
+        every = every[np.lexsort((every[:, 1], every[:, 0]))]
+        new = np.flatnonzero(np.concatenate(([True], (every[1:] != every[:-1]).any(axis=1)))) if len(every) else np.empty(0, np.int64)
+        out.append(_batch({"common": np.zeros(len(new), bool), "a": every[new, 0], "b": every[new, 1], "n": np.diff(np.append(new, len(every)))}))
+    return pa.Table.from_batches(out)
 
 
 # --- the R-tree join of one tile --------------------------------------------------------------
@@ -284,26 +326,37 @@ def link_sets(sets: list[np.ndarray], known: np.ndarray | None = None, split: in
     return links
 
 
-def _tile_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links within each (family, tile) of a group of rows (doc_id, family, tile, text)."""
-    out = []
-    for _, own in pdf.groupby(["family", "tile"], sort=False):
-        own = own.drop_duplicates("doc_id")
-        ids = own["doc_id"].to_numpy()
-        out += [(ids[i], ids[j]) for i, j in link_sets(list(shingle_sets(own["text"].tolist())))]
-    return pd.DataFrame(out, columns=["u", "v"]).astype(np.int64)
+def _no_links(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
-def _cross_links(pdf: pd.DataFrame) -> pd.DataFrame:
+def _tile_links(table: pa.Table) -> pa.Table:
+    """Links within each (family, tile) of a group of rows (doc_id, family, tile, text)."""
+    out: list[tuple[int, int]] = []
+    ids, family, tile = (table.column(c).to_numpy() for c in ("doc_id", "family", "tile"))
+    texts = table.column("text")
+    order = np.lexsort((ids, tile, family))
+    cuts = np.flatnonzero((np.diff(family[order]) != 0) | (np.diff(tile[order]) != 0)) + 1
+    for own in np.split(order, cuts):
+        own = own[np.concatenate(([True], np.diff(ids[own]) != 0))] if len(own) else own
+        sets = list(shingle_sets(texts.take(pa.array(own)).to_pylist()))
+        out += [(int(ids[own[i]]), int(ids[own[j]])) for i, j in link_sets(sets)]
+    release_memory()
+    return _no_links(out)
+
+
+def _cross_links(table: pa.Table) -> pa.Table:
     """Links between the two tiles of a pair (rows doc_id, component, side, text), or inside a tile paired with itself."""
-    out = []
-    for _, own in pdf.groupby("pair", sort=False):
-        own = own.drop_duplicates(["doc_id", "side"]).sort_values("side", kind="stable")
-        split = int((own["side"] == 0).sum())
-        ids, sets = own["doc_id"].to_numpy(), list(shingle_sets(own["text"].tolist()))
-        links = link_sets(sets, own["component"].to_numpy(), None if split == len(own) else split) if split else []
-        out += [(ids[i], ids[j]) for i, j in links]
-    return pd.DataFrame(out, columns=["u", "v"]).astype(np.int64)
+    ids, side, component = (table.column(c).to_numpy() for c in ("doc_id", "side", "component"))
+    order = np.lexsort((ids, side))
+    own = order[np.concatenate(([True], (np.diff(ids[order]) != 0) | (np.diff(side[order]) != 0)))]
+    split = int((side[own] == 0).sum())
+    if not split:
+        return _no_links([])
+    sets = list(shingle_sets(table.column("text").take(pa.array(own)).to_pylist()))
+    links = link_sets(sets, component[own], None if split == len(own) else split)
+    release_memory()
+    return _no_links([(int(ids[own[i]]), int(ids[own[j]])) for i, j in links])
 
 
 def _texts(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -318,37 +371,50 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     same set. Shingles are five words, A-Z in lower case; fewer words are one shingle; without words or text a
     set is empty and links with nothing. doc_id must be an integer; rows without one link through their text
     and have a null component if no other row has that set. Repeated rows give equal rows, an empty table an
-    empty result. Other columns are not read.
+    empty result. Different texts under one doc_id each have their own component; where one of them links by
+    near copies, the other rows of that doc_id may be compared as if they held its text, so ids should be
+    unique. Tasks hold texts of a tile (TILE texts, TILE_SHINGLES shingles, or a single text) whatever the
+    input's size. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketch = scratch.keep(source.mapInPandas(_sketches, "doc_id long, n long, c1 long, c2 long"), "sketch")
+    sketch = scratch.keep(source.mapInArrow(_sketches, "doc_id long, n long, c1 long, c2 long"), "sketch", shuffled=False)
     classes = scratch.keep(sketch.filter("n > 0 and doc_id is not null").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("class_id")), "classes")
     source = source.filter("doc_id is not null and text is not null")
     links = _links(source, sketch, classes, scratch)
-    components = scratch.keep(connected_components(links, scratch), "components")
+    components = connected_components(links, scratch)
     known = classes.join(components, classes["class_id"] == components["node"], "left").select(
         "n", "c1", "c2", "class_id", F.coalesce("root", "class_id").alias("component_id"))
     own = sketch.select("doc_id", "n", "c1", "c2")
     out = own.join(known, ["n", "c1", "c2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
     out = scratch.keep(out, "result")
-    scratch.drop(sketch, classes, links, components)
+    scratch.drop_all_but(out)
     return out
 
 
-def _links(source: DataFrame, sketch: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Verified links between class representatives that join each component."""
-    copies = sketch.filter("n > 0").join(classes, ["n", "c1", "c2"]).filter("doc_id <> class_id").select("doc_id").distinct()
-    copies = scratch.keep(copies.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_anti"), "copies")
-    reps = source.join(F.broadcast(copies) if copies.count() <= BROADCAST_DOCS else copies, "doc_id", "left_anti")
+def _node(kind: str, col: str) -> Column:
+    """A node of the graph of families. Equal numbers of two nodes would only make a larger family."""
+    return F.xxhash64(F.lit(kind), col)
+
+
+def _found_keys(reps: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of _FOUND: pairs of texts by light keys, and (text, key) of common keys."""
     n_keys = int(prefix_length(np.int64(classes.agg(F.sum("n")).first()[0] or 0)))
-    parts = max(12, n_keys // PART_KEYS)
-    chunks = reps.mapInPandas(_deal(parts), "part int, keys binary, docs binary, sizes binary, marks binary")
-    found = chunks.filter("part >= 0").groupBy("part").applyInPandas(_pair_up, "common boolean, a long, b long, n long")
-    found = found.union(chunks.filter("part < 0").select("keys", "docs").mapInPandas(_unpack_members, "common boolean, a long, b long, n long"))
-    found = scratch.keep(found, "found")
-    scratch.drop(copies)
+    parts, flushes = max(12, n_keys // PART_KEYS), max(1, 2 * n_keys // FLUSH_KEYS)
+    salts = 1
+    while flushes > salts * FAN:  # a key sends LIGHT rows a flush at most; groups of FAN flushes meet first
+        salts *= FAN
+    chunks = reps.mapInArrow(_deal(parts, salts), _CHUNK)
+    while salts > 1:
+        chunks = scratch.keep(chunks.groupBy("part", "salt").applyInArrow(_merge_chunks(parts, FAN), _CHUNK), "chunks")
+        salts //= FAN
+    return scratch.keep(chunks.groupBy("part").applyInArrow(_pair_up, _FOUND), "found")
+
+
+def _families(reps: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Texts that might link to another one: doc_id, n, family."""
+    found = _found_keys(reps, classes, scratch)
     least = lambda n: F.greatest(F.lit(1), F.ceil(n / 5))  # noqa: E731  as spare()
     common = found.filter("common").groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("h"))
     facts = scratch.keep(classes.select(F.col("class_id").alias("doc_id"), "n").join(common, "doc_id", "left").select(
@@ -356,53 +422,73 @@ def _links(source: DataFrame, sketch: DataFrame, classes: DataFrame, scratch: Sc
     one = facts.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"), F.col("t").alias("ta"))
     two = facts.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"), F.col("t").alias("tb"))
     pairs = found.filter("not common").groupBy("a", "b").agg(F.sum("n").alias("s")).join(one, "a").join(two, "b")
-    pairs = pairs.filter("s + least(ha, hb) >= least(ta, tb)").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    crowd = found.filter("common").select(F.col("a").alias("doc_id"), F.col("b").alias("key")).join(facts.filter("h >= t_least").select("doc_id"), "doc_id")
-    crowd = scratch.keep(crowd, "crowd")
-    leaders = crowd.groupBy("key").agg(F.min("doc_id").alias("leader"))
-    stars = crowd.join(leaders, "key").select(F.col("doc_id").alias("u"), F.col("leader").alias("v")).distinct()
-    family = scratch.keep(connected_components(pairs.union(stars), scratch), "family")
-    scratch.drop(found, facts, crowd)
-    sizes = family.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
-    members = scratch.keep(family.join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("family"), "size"), "members")
-    n_members, largest = members.agg(F.count("*"), F.max("size")).first()
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    tile = F.pmod(F.xxhash64("doc_id"), tiles).cast("int")
-    anchor = (tiles > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("size") / ANCHORS).cast("int")) == 0)
-    placed = members.withColumn("tile", F.explode(F.when(anchor, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(tile))))
-    groups = max(12, (n_members or 0) // 500)
-    bucket = F.when(F.col("size") <= TILE, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(F.xxhash64("family", "tile")).alias("bucket")
+    pairs = pairs.filter("s + least(ha, hb) >= least(ta, tb)").select(_node("text", "a").alias("u"), _node("text", "b").alias("v"))
+    # In the order light keys, then common ones from the rarest, linked sets share a key among the first
+    # |prefix| - t_least + 1: a text needs its h - t_least + 1 rarest common keys.
+    held = found.filter("common").select(F.col("a").alias("doc_id"), F.col("b").alias("key"))
+    crowd = scratch.keep(held.join(facts.filter("h >= t_least").select("doc_id", (F.col("h") - F.col("t_least") + 1).alias("first")), "doc_id"), "crowd")
+    counts = crowd.groupBy("key").agg(F.count("*").alias("texts"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("texts", "key"))
+    salted = counts.filter("texts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a key may be in a third of all texts
+    stars = crowd.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left").withColumn("texts", F.coalesce("texts", F.lit(1))).withColumn("rank", rank).filter("rank <= first")
+    links = pairs.union(stars.filter("texts > 1").select(_node("text", "doc_id").alias("u"), _node("key", "key").alias("v")))
+    family = scratch.keep(connected_components(links, scratch), "family")
+    scratch.drop(found, crowd)
+    return facts.select("doc_id", "n", _node("text", "doc_id").alias("node")).join(family, "node").select("doc_id", "n", F.col("root").alias("family"))
+
+
+def _links(source: DataFrame, sketch: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Verified links between class representatives that join each component."""
+    copies = sketch.filter("n > 0").join(classes, ["n", "c1", "c2"]).filter("doc_id <> class_id").select("doc_id").distinct()
+    copies = scratch.keep(copies.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_anti"), "copies")
+    reps = source.join(F.broadcast(copies) if copies.count() <= BROADCAST_DOCS else copies, "doc_id", "left_anti")
+    known = _families(reps, classes, scratch)
+    sizes = known.groupBy("family").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).filter("size > 1")
+    tiles = F.ceil(F.greatest(F.col("size") / TILE, F.col("weight") / TILE_SHINGLES)).cast("int")
+    members = scratch.keep(known.join(sizes, "family").select("doc_id", "n", "family", "size", "weight", tiles.alias("tiles")), "members")
+    n_members, weight, most = members.agg(F.count("*"), F.sum("n"), F.max("tiles")).first()
+    tile = F.pmod(F.xxhash64("doc_id"), "tiles").cast("int")
+    anchor = (F.col("tiles") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("size") / ANCHORS).cast("int")) == 0)
+    placed = members.withColumn("tile", F.explode(F.when(anchor, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(tile))))
+    groups = max(12, 2 * (weight or 0) // TILE_SHINGLES)
+    bucket = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(F.xxhash64("family", "tile")).alias("bucket")
     texts = _texts(source, placed.select("doc_id", "family", "tile", bucket), n_members or 0)
-    links = texts.groupBy("bucket").applyInPandas(_tile_links, "u long, v long")
-    links = scratch.keep(links, "tile-links")
-    if (largest or 0) <= TILE:
+    links = scratch.keep(texts.groupBy("bucket").applyInArrow(_tile_links, "u long, v long"), "tile-links")
+    if (most or 0) <= 1:
         return links
-    more = _cross_tile_links(source, members.filter(F.col("size") > TILE), links, scratch)
-    return scratch.keep(links.union(more), "all-links")
+    more = _cross_tile_links(source, members.filter("tiles > 1"), links, scratch)
+    return links.union(more)
 
 
 def _cross_tile_links(source: DataFrame, members: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links between texts of large families that no link joins yet: tiles of different components, pair by pair."""
+    """Links between texts of large families that no link joins yet.
+
+    A family whose tiles have grown into one component is done. Of others, components as heavy as a tile are cut
+    by themselves and the rest by bands of set sizes, and tiles meet if sizes allow links between them: linked
+    sizes are within 4/3 of each other, so bands are neighbours or equal.
+    """
     roots = connected_components(links, scratch).withColumnRenamed("node", "doc_id")
-    own = members.join(roots, "doc_id", "left").select("doc_id", "family", F.coalesce("root", "doc_id").alias("component"))
+    own = members.join(roots, "doc_id", "left").select("doc_id", "n", "family", F.coalesce("root", "doc_id").alias("component"))
     own = scratch.keep(own, "apart")
-    sizes = own.groupBy("family", "component").agg(F.count("*").alias("c"))
-    open_ = sizes.groupBy("family").agg(F.count("*").alias("k"), F.sum(F.when(F.col("c") < TILE, F.col("c")).otherwise(0)).alias("small")).filter("k > 1")
-    sizes = sizes.join(open_, "family")
-    big = F.col("c") >= TILE
-    width = F.ceil(F.when(big, F.col("c")).otherwise(F.col("small")) / TILE).cast("int")
-    spot: Column = F.when(big, F.pmod(F.xxhash64("doc_id"), width)).otherwise(F.pmod(F.xxhash64("component"), width)).cast("int")
-    placed = own.join(sizes, ["family", "component"]).select(
-        "doc_id", "family", "component", F.when(big, F.col("component")).alias("whole"), spot.alias("tile"))
-    placed = scratch.keep(placed.withColumn("spot", F.xxhash64(F.coalesce("whole", F.lit(-1)), "whole", "tile", "family")), "placed")
-    tiles = placed.groupBy("family", "spot").agg(F.first("whole").alias("whole"))
-    a = tiles.select("family", F.col("spot").alias("x"), F.col("whole").alias("wx"))
-    b = tiles.select("family", F.col("spot").alias("y"), F.col("whole").alias("wy"))
-    pairs = a.join(b, "family").filter("(x < y and not (wx <=> wy and wx is not null)) or (x = y and wx is null)").select(
+    sizes = own.groupBy("family", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    open_ = sizes.groupBy("family").agg(F.count("*").alias("k")).filter("k > 1")
+    big = (F.col("c") >= TILE) | (F.col("w") >= TILE_SHINGLES)
+    band = F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+    placed = own.join(sizes, ["family", "component"]).join(open_, "family").select(
+        "doc_id", "n", "family", "component", F.when(big, F.col("component")).alias("whole"), band.alias("band"))
+    widths = placed.groupBy("family", "whole", "band").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("width"))
+    same = (F.col("p.family") == F.col("q.family")) & F.col("p.whole").eqNullSafe(F.col("q.whole")) & (F.col("p.band") == F.col("q.band"))
+    placed = placed.alias("p").join(widths.alias("q"), same).select("p.*", F.pmod(F.xxhash64("doc_id"), "width").cast("int").alias("tile"))
+    spot = F.xxhash64(F.coalesce("whole", F.lit(-1)), F.isnull("whole"), "band", "tile", "family")
+    placed = scratch.keep(placed.withColumn("spot", spot), "placed")
+    tiles = placed.groupBy("family", "spot").agg(F.first("whole").alias("whole"), F.first("band").alias("band"))
+    a = tiles.select("family", F.col("spot").alias("x"), F.col("whole").alias("wx"), "band")
+    b = tiles.select("family", F.col("spot").alias("y"), F.col("whole").alias("wy"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    pairs = a.join(b, ["family", "band"]).filter("(x < y and not (wx <=> wy and wx is not null)) or (x = y and wx is null)").select(
         "x", "y", F.xxhash64("family", "x", "y").alias("pair"))
     sides = pairs.select("pair", F.col("x").alias("spot"), F.lit(0).alias("side")).union(pairs.filter("x != y").select("pair", F.col("y").alias("spot"), F.lit(1).alias("side")))
     work = scratch.keep(placed.join(sides, "spot").select("doc_id", "component", "pair", "side"), "work")
     texts = _texts(source, work, work.count())
-    found = scratch.keep(texts.groupBy("pair").applyInPandas(_cross_links, "u long, v long"), "cross-links")
+    found = scratch.keep(texts.groupBy("pair").applyInArrow(_cross_links, "u long, v long"), "cross-links")
     scratch.drop(own, placed, work)
     return found

@@ -64,7 +64,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, text: str = "text", doc_
         (F.octet_length(t) + 1).cast("long").alias("size"),
         crc.alias("text_crc32"),
         F.concat(F.lpad(F.lower(F.hex(crc)), 8, "0"), F.md5(F.encode(t, "utf-8"))).alias("key"),
-    ), "keys")
+    ), "keys", shuffled=False)
     groups = keyed.groupBy("key").agg(F.sum("size").alias("bytes"))
     total = keyed.agg(F.sum("size")).first()[0] or 0
     heavy = [(r.key, r.bytes) for r in groups.filter(F.col("bytes") * HEAVY > total).collect()]

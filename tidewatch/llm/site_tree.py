@@ -206,7 +206,7 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "pages")
-    facts = scratch.keep(_source(pages, url, html).mapInArrow(_facts, _FACTS), "facts")
+    facts = scratch.keep(_source(pages, url, html).mapInArrow(_facts, _FACTS), "facts", shuffled=False)
     # the verdicts that say other than what a page says without its host
     plain = ~F.col("named") & ~F.col("outside")
     verdicts = _importance(facts).withColumn("stays", F.col("importance") >= LEAST_IMPORTANCE).filter(F.col("stays") != plain).select("host", "path", "stays")
