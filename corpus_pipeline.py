@@ -39,7 +39,7 @@ def _odd_ids(docs: DataFrame) -> bool:
 
 def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents with a number of each row, written so that the numbers stay."""
-    return Scratch(spark, "numbered").keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    return Scratch(spark, "numbered").keep(docs.withColumn("__row", F.monotonically_increasing_id()), "rows", shuffled=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +73,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document: doc_id, lang, source, n_tokens, ids, and whether decoding gives the text back."""
-    coded = pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source", "text"))
-    return coded.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("text", "decoded")
+    return pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"), decoded=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -95,5 +94,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"), shuffled=False)
     return STAGES[-1][1](spark, docs, sf_dir)
