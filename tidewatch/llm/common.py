@@ -115,11 +115,11 @@ class Scratch:
 
     def keep(self, df: DataFrame, label: str, shuffled: bool = True) -> DataFrame:
         """The table, written and read back. shuffled: its rows come from a shuffle. Such tables are small next to the
-        input; they get a file for every sixteen shuffle partitions, and one for each core at least."""
+        input; they get a file for every eight shuffle partitions, and one for each core at least."""
         path = self.path(label)
         schema = df.schema
         if shuffled:
-            files = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+            files = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
             df = df.coalesce(files)
         df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
