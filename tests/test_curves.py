@@ -1,9 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import comparison, curves, observations, recurrent, risk
+from tidewatch.operators import comparison, curves, observations, recurrent, risk, running
 
 G1 = ([3, 5, 5, 8, 12, 12, 12, 20, 25, 30], [0] * 10, [2, 1, 3, 2, 1, 4, 2, 1, 5, 1], None)
 G2 = ([4, 7, 9, 13, 16, 21, 28, 33, 41, 50], [0, 0, 1, 0, 0, 1, 0, 1, 0, 0], [1, 2, 1, 3, 1, 2, 1, 1, 4, 1], None)
@@ -68,10 +69,54 @@ def test_laplace(spark):
     assert out.mil_hdbk == pytest.approx(2 * sum(math.log(60 / v) for v in x))
 
 
-def test_parts_equal_one_window(spark):
-    obs = rows(spark, *G3)
-    got = risk.risk_table(obs, parts=7).orderBy("x").collect()
-    assert got == risk.risk_table(obs).orderBy("x").collect()
+@pytest.mark.parametrize("by", [(), ("g",)])
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_values_over_parts(spark, by, descending):
+    """Against loops, over times of all sizes and signs, null groups, ties and rows without a value."""
+    rng = random.Random(3)
+    times_ = [0.0, -0.0, 1e-300, 1e300, -1e300, float("inf"), float("-inf")] + [rng.choice([-1, 1]) * 10 ** rng.uniform(-6, 9) for _ in range(300)]
+    rows_ = [(rng.choice([None, "a", "b"]), t, k, rng.choice([None, rng.uniform(0.5, 1.5)])) for t in times_ for k in (0, 1)]
+    df = spark.createDataFrame(rows_, "g string, t double, k int, v double").repartition(5)
+    runs = {"s": running.total(F.col("v")), "sb": running.total(F.col("v"), before=True), "p": running.times(F.col("v")), "m": running.Run("max", F.col("v")), "l": running.latest(F.col("v")), "lb": running.latest(F.col("v"), before=True)}
+    got = {(r.g, r.t, r.k): r for r in running.running(df, by, "t", runs, descending, ties=("k",)).collect()}
+    assert len(got) == len({(g, t, k) for g, t, k, _ in rows_}) or 0.0 in times_
+    for group in ([None, "a", "b"] if by else ["all"]):
+        own = sorted([r for r in rows_ if group == "all" or r[0] == group], key=lambda r: (-r[1], -r[2]) if descending else (r[1], r[2]))
+        own = [r for r in own if r[1] != 0]  # 0 and -0 are one time in no given order
+        s, p, m, last = sum(r[3] or 0 for r in rows_ if r[1] == 0 and group in ("all", r[0])), 1.0, None, None
+        zero = [r[3] for r in rows_ if r[1] == 0 and group in ("all", r[0]) and r[3] is not None]
+        passed = False
+        s = 0.0
+        for g, t, k, v in own:
+            if not passed and (t < 0 if descending else t > 0):
+                passed = True
+                s += sum(zero)
+                p *= math.prod(zero)
+                m = max([x for x in [m, *zero] if x is not None], default=None)
+                last = "zero" if zero else last
+            r = got[g, t, k]
+            assert r.sb == pytest.approx(s, rel=1e-12) and (last == "zero" or r.lb == last)
+            s, p, m, last = s + (v or 0), p * (v if v is not None else 1), v if m is None else max(m, v if v is not None else m), v if v is not None else last
+            assert r.s == pytest.approx(s, rel=1e-12) and r.p == pytest.approx(p, rel=1e-9) and r.m == m and (last == "zero" or r.l == last)
+
+
+def test_no_task_holds_all_times(spark):
+    """With one group and thousands of distinct times, only the parts' totals may meet in one partition."""
+    obs = observations.observations(spark.range(5000).withColumns({"t": F.col("id") + 1.0, "k": F.lit(0)}), x="t", c="k")
+    curve = curves.survival_curves(risk.risk_table(obs))
+    assert curve.count() == 5000
+    assert obs.select(running.part("x").alias("p")).distinct().count() > 100
+    assert running.running(obs, (), "x", {"s": running.total(F.lit(1.0))}).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 4000
+
+
+def test_ladder_of_ties(spark):
+    """The digamma forms against the sums they stand for."""
+    cases = [(r, d) for r in (1.0, 2.0, 5.0, 40.0, 1000.0, 250_000.0) for d in (1.0, 2.0, 2.5, 5.0, 7.25, 300.0) if d <= r]
+    df = spark.createDataFrame(cases, "r double, d double").select("r", "d", curves._ladder(1).alias("a"), curves._ladder(2).alias("b"))
+    for row in df.collect():
+        for power, value in ((1, row.a), (2, row.b)):
+            want = sum(min(1.0, row.d - k) / (row.r - k) ** power for k in range(math.ceil(row.d)))
+            assert value == pytest.approx(want, rel=1e-9, abs=1e-13)
 
 
 def test_round_trip_of_a_risk_table(spark):

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from typing import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.running import running, total
+
 
 @dataclass(frozen=True)
 class Copula:
@@ -75,8 +77,8 @@ def pseudo_observations(df: DataFrame, x: str, y: str) -> DataFrame:
     out = df
     for value, name in ((x, "u"), (y, "v")):
         counts = df.groupBy(F.col(value).alias("__k")).agg(F.count("*").alias("__m"))
-        below = F.sum("__m").over(Window.orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranks = counts.select("__k", ((below - (F.col("__m") - 1) / 2) / (n + 1)).alias(name))
+        counts = running(counts, (), "__k", {"__b": total(F.col("__m"))})
+        ranks = counts.select("__k", ((F.col("__b") - (F.col("__m") - 1) / 2) / (n + 1)).alias(name))
         out = out.join(ranks, out[value] == ranks["__k"]).drop("__k")
     return out
 

@@ -3,28 +3,28 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.special import chi2_sf
+from tidewatch.operators.running import latest, running, times
 
 
 def logrank_terms(risk: DataFrame, group: str, weighting: str = "log-rank", rho: float = 0.0, gamma: float = 0.0, strata: tuple[str, ...] = ()) -> DataFrame:
     """One row per group: (group, z) and, per pair of groups, the covariance: (group, other, z, v).
 
-    risk: (strata, group, x, r, d). Every group's numbers at risk are carried to all event times by a window
-    over the union of times; weights: log-rank, gehan, tarone-ware, fleming-harrington (rho, gamma).
+    risk: (strata, group, x, r, d). Every group's numbers at risk are carried to all event times; weights: log-rank, gehan, tarone-ware, fleming-harrington (rho, gamma).
     """
     groups = [r[0] for r in risk.select(group).distinct().orderBy(group).collect()]  # a handful by nature
     k = range(len(groups))
     wide = risk.groupBy(*strata, "x").agg(
         *[F.sum(F.when(F.col(group) == g, F.col("d")).otherwise(0.0)).alias(f"d{j}") for j, g in enumerate(groups)],
         *[F.max(F.when(F.col(group) == g, F.col("r"))).alias(f"r{j}") for j, g in enumerate(groups)])
-    back = Window.partitionBy(*strata).orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wide = wide.withColumns({f"r{j}": F.coalesce(F.last(f"r{j}", True).over(back), F.lit(0.0)) for j in k})
+    wide = running(wide, strata, "x", {f"q{j}": latest(F.col(f"r{j}")) for j in k}, descending=True)
+    wide = wide.withColumns({f"r{j}": F.coalesce(f"q{j}", F.lit(0.0)) for j in k})
     wide = wide.withColumns({"d": sum((F.col(f"d{j}") for j in k), F.lit(0.0)), "r": sum((F.col(f"r{j}") for j in k), F.lit(0.0))}).filter("r > 0")
-    before = Window.partitionBy(*strata).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    s = F.coalesce(F.product(1 - F.col("d") / F.col("r")).over(before), F.lit(1.0))
+    wide = running(wide, strata, "x", {"s": times(1 - F.col("d") / F.col("r"), before=True)})
+    s = F.col("s")
     weight = {"log-rank": F.lit(1.0), "gehan": F.col("r"), "tarone-ware": F.sqrt("r"),
               "fleming-harrington": F.pow(s, F.lit(rho)) * F.pow(1 - s, F.lit(gamma))}[weighting]
     wide = wide.withColumn("w", weight).filter("d > 0")

@@ -7,33 +7,45 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.running import Run, latest, running, times, total
 
-def _w(by: tuple[str, ...]):
-    return Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _digamma(z: str) -> str:
+    """The logarithmic derivative of the gamma function for z >= 1, to about 1e-13: the asymptotic series at z + 10,
+    brought back by the recurrence."""
+    y, less = f"({z} + 10)", " + ".join(f"1 / ({z} + {k})" for k in range(10))
+    q = f"(1 / ({y} * {y}))"
+    return f"(ln({y}) - 0.5D / {y} - {q} * (1 / 12D - {q} * (1 / 120D - {q} * (1 / 252D - {q} * (1 / 240D - {q} / 132D)))) - ({less}))"
+
+
+def _trigamma(z: str) -> str:
+    """The derivative of the digamma function, likewise."""
+    y, more = f"({z} + 10)", " + ".join(f"1 / (({z} + {k}) * ({z} + {k}))" for k in range(10))
+    q = f"(1 / ({y} * {y}))"
+    return f"(1 / {y} + 0.5D * {q} + {q} / {y} * (1 / 6D - {q} * (1 / 30D - {q} * (1 / 42D - {q} * (1 / 30D - {q} * 5 / 66D)))) + {more})"
 
 
 def _ladder(power: int) -> Column:
-    """Sum of 1/(r-k)**power for k below the number of ties, the last step in part for a fractional count."""
-    steps = F.sequence(F.lit(0), F.ceil("d").cast("int") - 1)
-    term = lambda k: F.least(F.lit(1.0), F.col("d") - k) / F.pow(F.col("r") - k, F.lit(power))
-    return F.when(F.col("d") > 0, F.aggregate(steps, F.lit(0.0), lambda a, k: a + term(k))).otherwise(0.0)
+    """Sum of 1/(r-k)**power for k below the number of ties, the last step in part for a fractional count.
+
+    Sums of reciprocals are differences of the digamma or trigamma function, so ties cost nothing.
+    """
+    high, low = "(r + 1)", "(r - floor(d) + 1)"
+    steps = f"{_digamma(high)} - {_digamma(low)}" if power == 1 else f"{_trigamma(low)} - {_trigamma(high)}"
+    rest = f"case when d > floor(d) then (d - floor(d)) / power(r - floor(d), {power}) else 0D end"
+    return F.expr(f"case when d = 1 then 1 / power(r, {power}) when d > 0 then {steps} + {rest} else 0D end")
 
 
 def survival_curves(risk: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, x, r, d) with km, na and fh (survival by Kaplan-Meier, Nelson-Aalen, Fleming-Harrington), the hazards
     na_h and fh_h, and the variances greenwood (null from where r = d), na_var and fh_var of the log survival."""
-    w = _w(by)
     r, d = F.col("r"), F.col("d")
     step = F.when(r > 0, d / r).otherwise(0.0)
-    green = F.when(r > d, d / (r * (r - d)))
-    return risk.withColumns({
-        "km": F.product(1 - step).over(w),
-        "na_h": F.sum(step).over(w),
-        "fh_h": F.sum(_ladder(1)).over(w),
-        "greenwood": F.when(F.max((r <= d).cast("int")).over(w) == 0, F.sum(green).over(w)),
-        "na_var": F.sum(F.when(r > 0, d / (r * r)).otherwise(0.0)).over(w),
-        "fh_var": F.sum(_ladder(2)).over(w),
-    }).withColumns({"na": F.exp(-F.col("na_h")), "fh": F.exp(-F.col("fh_h"))})
+    out = running(risk, by, "x", {
+        "km": times(1 - step), "na_h": total(step), "fh_h": total(_ladder(1)), "greenwood": total(F.when(r > d, d / (r * (r - d)))),
+        "na_var": total(F.when(r > 0, d / (r * r)).otherwise(0.0)), "fh_var": total(_ladder(2)), "__end": Run("max", (r <= d).cast("int")),
+    })
+    return out.withColumn("greenwood", F.when(F.col("__end") == 0, F.col("greenwood"))).drop("__end").withColumns({"na": F.exp(-F.col("na_h")), "fh": F.exp(-F.col("fh_h"))})
 
 
 def confidence_limits(curve: DataFrame, sf: str = "km", var: str = "greenwood", alpha: float = 0.05, kind: str = "exp", by: tuple[str, ...] = ()) -> DataFrame:
@@ -51,21 +63,20 @@ def confidence_limits(curve: DataFrame, sf: str = "km", var: str = "greenwood",
         half = F.when(usable, z * F.sqrt(v) / F.ln(s))
         low = F.when(s == 1, 1.0).otherwise(F.exp(-F.exp(F.ln(-F.ln(F.when(usable, s))) - half)))
         high = F.when(s == 1, 1.0).otherwise(F.exp(-F.exp(F.ln(-F.ln(F.when(usable, s))) + half)))
-    own = curve.withColumns({"lower": low, "upper": high})
-    least = F.min("upper").over(Window.partitionBy(*by))
-    return own.withColumns({"upper": F.coalesce("upper", least), "lower": F.coalesce("lower", F.lit(0.0))})
+    # limits are without value only from where the curve ends, so the smallest finite one comes before
+    own = running(curve.withColumns({"lower": low, "upper": high}), by, "x", {"__least": Run("min", F.col("upper"))})
+    return own.withColumns({"upper": F.coalesce("upper", "__least"), "lower": F.coalesce("lower", F.lit(0.0))}).drop("__least")
 
 
 def at(curve: DataFrame, probes: DataFrame, values: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
-    """Values of a step curve at probe times: an as-of lookup by one union and one window, no range join.
+    """Values of a step curve at probe times: an as-of lookup by one union and running last values, no range join.
 
     values: column -> value before the curve's first time. probes: (by, t).
     """
     tagged = curve.select(*by, "x", F.lit(0).alias("__probe"), *[F.col(v).alias(v) for v in values]).unionByName(
         probes.select(*by, F.col("t").cast("double").alias("x"), F.lit(1).alias("__probe"), *[F.lit(None).cast("double").alias(v) for v in values]))
-    w = Window.partitionBy(*by).orderBy("x", "__probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = tagged.withColumns({v: F.coalesce(F.last(v, True).over(w), F.lit(before)) for v, before in values.items()})
-    return filled.filter("__probe = 1").select(*by, F.col("x").alias("t"), *values)
+    filled = running(tagged, by, "x", {f"__{v}": latest(F.col(v)) for v in values}, ties=("__probe",))
+    return filled.filter("__probe = 1").select(*by, F.col("x").alias("t"), *[F.coalesce(f"__{v}", F.lit(before)).alias(v) for v, before in values.items()])
 
 
 def quantiles(curve: DataFrame, probabilities: list[float], sf: str = "km", by: tuple[str, ...] = ()) -> DataFrame:
@@ -77,14 +88,13 @@ def quantiles(curve: DataFrame, probabilities: list[float], sf: str = "km", by:
 
 def restricted_mean(curve: DataFrame, tau: float, sf: str = "km", by: tuple[str, ...] = ()) -> DataFrame:
     """(by, rmst, variance): area under the curve up to tau, and the sum of squared later areas by Greenwood terms."""
-    w = Window.partitionBy(*by).orderBy("x")
+    own = running(curve, by, "x", {"__next": latest(F.col("x"), before=True)}, descending=True)
+    own = running(own, by, "x", {"__before": latest(F.col("x"), before=True)})
     t = F.least(F.lit(float(tau)), F.col("x"))
-    width = F.greatest(F.lit(0.0), F.least(F.lit(float(tau)), F.lead("x", 1, float(tau)).over(w)) - F.col("x"))
-    first = F.when(F.row_number().over(w) == 1, t).otherwise(0.0)
-    area = curve.withColumns({"__a": F.col(sf) * width, "__f": first})
-    later = Window.partitionBy(*by).orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    width = F.greatest(F.lit(0.0), F.least(F.lit(float(tau)), F.coalesce("__next", F.lit(float(tau)))) - F.col("x"))
+    own = own.withColumns({"__a": F.col(sf) * width, "__f": F.when(F.col("__before").isNull(), t).otherwise(0.0)})
     term = F.when((F.col("r") > F.col("d")) & (F.col("x") <= tau), F.col("d") / (F.col("r") * (F.col("r") - F.col("d")))).otherwise(0.0)
-    return area.withColumn("__later", F.sum("__a").over(later)).groupBy(*by).agg(
+    return running(own, by, "x", {"__later": total(F.col("__a"))}, descending=True).groupBy(*by).agg(
         F.sum(F.col("__a") + F.col("__f")).alias("rmst"), F.sum(F.col("__later") * F.col("__later") * term).alias("variance"))
 
 
@@ -128,10 +138,8 @@ def plotting_positions(obs: DataFrame, heuristic: str = "Blom", by: tuple[str, .
 
     a, b = POSITIONS[heuristic]
     risk = simple_risk_table(obs, by)
-    w = _w(by)
-    total = F.max("r").over(Window.partitionBy(*by))
-    rank = (total + 1) * (1 - F.product((F.col("r") + 1 - F.col("d")) / (F.col("r") + 1)).over(w))
-    return risk.withColumns({"__n": total, "rank": rank}).withColumn("f", F.when(F.col("rank") > 0, (F.col("rank") - a) / (F.col("__n") + b)).otherwise(0.0)).drop("__n")
+    own = running(risk, by, "x", {"__n": Run("max", F.col("r")), "__p": times((F.col("r") + 1 - F.col("d")) / (F.col("r") + 1))})  # all are at risk at first
+    return own.withColumn("rank", (F.col("__n") + 1) * (1 - F.col("__p"))).withColumn("f", F.when(F.col("rank") > 0, (F.col("rank") - a) / (F.col("__n") + b)).otherwise(0.0)).drop("__n", "__p")
 
 
 def success_run(n: Column, alpha: float = 0.05) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.observations import INF
+from tidewatch.operators.running import running, total
 
 
 def recurrent_events(df: DataFrame, item: str, x: str, c: str | None = None, n: str | None = None, tl: str | float | None = None, mark: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -34,10 +35,9 @@ def first_events(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def mean_cumulative(risk: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, x, r, d) with mcf and its variance: running sums over the times."""
-    w = Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r, d = F.col("r"), F.col("d")
     var = F.when((d > 0) & (r > 0), (d * F.pow(1 - 1 / r, F.lit(2)) + (r - d) / (r * r)) / (r * r)).otherwise(0.0)
-    return risk.withColumns({"mcf": F.sum(F.when(r > 0, d / r).otherwise(0.0)).over(w), "variance": F.sum(var).over(w)})
+    return running(risk, by, "x", {"mcf": total(F.when(r > 0, d / r).otherwise(0.0)), "variance": total(var)})
 
 
 def trend_tests(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -71,11 +71,10 @@ def homogeneous_poisson(events: DataFrame, by: tuple[str, ...] = ()) -> DataFram
 def crow_amsaa(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, n, alpha, beta) of the power-law intensity for items that all start at 0 and end at a common time:
     beta = n / sum ln(T/x), alpha such that the expected count over all items is n."""
-    own = events.withColumn("__end", F.max("x").over(Window.partitionBy(*by)))
-    agg = own.groupBy(*by).agg(F.countDistinct("i").cast("double").alias("k"), F.max("__end").alias("t"),
-                               F.sum(F.when(F.col("c") == 0, 1.0).otherwise(0.0)).alias("n"),
-                               F.sum(F.when((F.col("c") == 0) & (F.col("x") > 0), F.ln(F.col("__end") / F.col("x")))).alias("s"))
-    fit = agg.withColumn("beta", F.try_divide("n", "s"))
+    used = (F.col("c") == 0) & (F.col("x") > 0)
+    agg = events.groupBy(*by).agg(F.countDistinct("i").cast("double").alias("k"), F.max("x").alias("t"), F.sum(F.when(F.col("c") == 0, 1.0).otherwise(0.0)).alias("n"),
+                                  F.sum(F.when(used, 1.0)).alias("m"), F.sum(F.when(used, F.ln("x"))).alias("l"))
+    fit = agg.withColumn("s", F.col("m") * F.ln("t") - F.col("l")).withColumn("beta", F.try_divide("n", "s"))
     return fit.select(*by, "n", (F.col("t") / F.pow(F.col("n") / F.col("k"), 1 / F.col("beta"))).alias("alpha"), "beta")
 
 

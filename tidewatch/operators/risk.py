@@ -2,72 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.observations import INF
+from tidewatch.operators.running import latest, running, total
 
 
-def running(df: DataFrame, by: tuple[str, ...], order: str, sums: dict[str, Column], descending: bool = False, parts: int = 1) -> DataFrame:
-    """Running sums along `order` within the groups `by`, including the row itself.
-
-    With parts > 1 each group's range of `order` falls into that many parts: part totals (a few rows per group)
-    are summed first and added to sums within the parts, so that one large group runs in many tasks.
-    """
-    direction = F.desc if descending else F.asc
-    frame = lambda *keys: Window.partitionBy(*keys).orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if parts <= 1:
-        w = frame(*by) if by else Window.orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({k: F.sum(v).over(w) for k, v in sums.items()})
-    keys = list(by) or ["__all"]
-    own = df if by else df.withColumn("__all", F.lit(0))
-    limits = own.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    spot = F.least(F.lit(parts - 1), F.floor((F.col(order) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * parts))
-    own = own.withColumns({f"__v_{k}": v for k, v in sums.items()}).join(F.broadcast(limits), keys).withColumn("__part", F.coalesce(spot, F.lit(0)).cast("int"))
-    totals = own.groupBy(*keys, "__part").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in sums])
-    before = Window.partitionBy(*keys).orderBy(direction("__part")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__part", *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0.0)).alias(f"__o_{k}") for k in sums])
-    own = own.join(F.broadcast(offsets), [*keys, "__part"])
-    inside = frame(*keys, "__part")
-    own = own.withColumns({k: F.sum(f"__v_{k}").over(inside) + F.col(f"__o_{k}") for k in sums})
-    return own.select(*df.columns, *sums)
-
-
-def risk_table(obs: DataFrame, by: tuple[str, ...] = (), parts: int = 1) -> DataFrame:
+def risk_table(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, x, r, d) of canonical rows with flags 0 and 1, weighted by n, with delayed entry.
 
     r: those who entered by x (tl <= x) and neither failed nor left before x. One aggregation by time, then
     one running sum: entries add at tl, exits take off after x, so no range join is needed.
     """
-    if not by:
-        return risk_table(obs.withColumn("__all", F.lit(0)), ("__all",), parts).drop("__all")
-    events = obs.filter(F.col("c").isin(0, 1)).groupBy(*by, "x").agg(
-        F.sum(F.when(F.col("c") == 0, F.col("n")).otherwise(0.0)).alias("d"), F.sum("n").alias("out"))
-    entries = obs.filter(F.col("c").isin(0, 1)).groupBy(*by, F.col("tl").alias("x")).agg(F.sum("n").alias("came"))
-    lowest = entries.filter(F.col("x") == -INF).select(*by, F.col("came").alias("always"))
-    later = entries.filter(F.col("x") > -INF)
+    own = obs.filter(F.col("c").isin(0, 1))
+    failed = F.when(F.col("c") == 0, F.col("n")).otherwise(0.0)
     # entries at a time count before the events at that time; a time of entries alone gives no row
-    moves = events.select(*by, "x", "d", "out", F.lit(0.0).alias("came"), F.lit(True).alias("real")).unionByName(
-        later.select(*by, "x", F.lit(0.0).alias("d"), F.lit(0.0).alias("out"), "came", F.lit(False).alias("real")))
+    moves = own.select(*by, F.explode(F.array(
+        F.struct(F.col("x").alias("x"), failed.alias("d"), F.col("n").alias("out"), F.lit(0.0).alias("came"), F.lit(True).alias("real")),
+        F.struct(F.col("tl").alias("x"), F.lit(0.0).alias("d"), F.lit(0.0).alias("out"), F.col("n").alias("came"), F.lit(False).alias("real")))).alias("m")).select(*by, "m.*")
     grid = moves.groupBy(*by, "x").agg(F.sum("d").alias("d"), F.sum("out").alias("out"), F.sum("came").alias("came"), F.max("real").alias("real"))
-    cum = running(grid, by, "x", {"came_by": F.col("came"), "out_by": F.col("out")}, parts=parts)
-    cum = cum.join(lowest, list(by), "left")  # a row per group
-    return cum.filter("real").select(*by, "x", (F.coalesce("always", F.lit(0.0)) + F.col("came_by") - F.col("out_by") + F.col("out")).alias("r"), "d")
+    cum = running(grid, by, "x", {"came_by": total(F.col("came")), "out_by": total(F.col("out"), before=True)})
+    return cum.filter("real").select(*by, "x", (F.col("came_by") - F.col("out_by")).alias("r"), "d")
 
 
 def simple_risk_table(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, x, r, d) where nobody enters late: one aggregation and one running sum from the right."""
     grid = obs.groupBy(*by, "x").agg(F.sum(F.when(F.col("c") == 0, F.col("n")).otherwise(0.0)).alias("d"), F.sum("n").alias("out"))
-    return running(grid, by, "x", {"r": F.col("out")}, descending=True).select(*by, "x", "r", "d")
+    return running(grid, by, "x", {"r": total(F.col("out"))}, descending=True).select(*by, "x", "r", "d")
 
 
 def to_observations(risk: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows that give a risk table back: failures, and suspensions where more leave than fail."""
-    w = Window.partitionBy(*by).orderBy("x")
-    gone = risk.withColumn("s", F.abs(F.col("r") - F.lead("r", 1, 0.0).over(w)) - F.col("d"))
-    fails = gone.filter("d > 0").select(*by, "x", F.col("x").alias("x_hi"), F.lit(0).alias("c"), F.col("d").alias("n"))
-    stops = gone.filter("s > 0").select(*by, "x", F.col("x").alias("x_hi"), F.lit(1).alias("c"), F.col("s").alias("n"))
-    return fails.unionByName(stops).withColumns({"tl": F.lit(-INF), "tr": F.lit(INF)})
+    after = running(risk, by, "x", {"after": latest(F.col("r"), before=True)}, descending=True)
+    gone = after.withColumn("s", F.abs(F.col("r") - F.coalesce("after", F.lit(0.0))) - F.col("d"))
+    kinds = F.explode(F.array(F.struct(F.lit(0).alias("c"), F.col("d").alias("n")), F.struct(F.lit(1).alias("c"), F.col("s").alias("n"))))
+    rows = gone.select(*by, "x", F.col("x").alias("x_hi"), kinds.alias("k")).select(*by, "x", "x_hi", "k.c", "k.n").filter("n > 0")
+    return rows.withColumns({"tl": F.lit(-INF), "tr": F.lit(INF)})
 
 
 def recurrent_risk_table(events: DataFrame, by: tuple[str, ...] = (), mark: str | None = None) -> DataFrame:
@@ -85,5 +56,5 @@ def recurrent_risk_table(events: DataFrame, by: tuple[str, ...] = (), mark: str
     moves = grid.select(*by, "x", "d", F.lit(0.0).alias("plus"), F.lit(0.0).alias("minus"), F.lit(True).alias("real"))
     moves = moves.unionByName(flat(item, "tl", 1.0, 0.0)).unionByName(flat(item, "last", 0.0, 1.0))
     whole = moves.groupBy(*by, "x").agg(F.sum("d").alias("d"), F.sum("plus").alias("plus"), F.sum("minus").alias("minus"), F.max("real").alias("real"))
-    cum = running(whole, by, "x", {"in_by": F.col("plus"), "out_by": F.col("minus")})
-    return cum.filter("real").select(*by, "x", (F.col("in_by") - F.col("out_by") + F.col("minus")).alias("r"), "d")
+    cum = running(whole, by, "x", {"in_by": total(F.col("plus")), "out_by": total(F.col("minus"), before=True)})
+    return cum.filter("real").select(*by, "x", (F.col("in_by") - F.col("out_by")).alias("r"), "d")

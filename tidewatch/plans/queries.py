@@ -80,9 +80,12 @@ def risk_table(spark, sf_dir):
     return risk.risk_table(_obs(spark, sf_dir), ("g",))
 
 
-@_query(f"WITH {_RISK} SELECT g, x, r, d FROM risk")
-def risk_table_parts(spark, sf_dir):
-    return risk.risk_table(_obs(spark, sf_dir), ("g",), parts=32)
+@_query("""WITH o AS (SELECT o_totalprice AS x, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS d FROM orders), a AS (SELECT x, CAST(SUM(d) AS DOUBLE) AS d, CAST(COUNT(*) AS DOUBLE) AS o FROM o GROUP BY x)
+SELECT x, SUM(o) OVER (ORDER BY x DESC) AS r, d FROM a""")
+def risk_table_of_prices(spark, sf_dir):
+    """Nearly as many distinct values as rows, in one group."""
+    own = _read(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("x"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("c"))
+    return risk.risk_table(observations.observations(own, x="x", c="c"))
 
 
 @_query(f"""WITH {_OBS}, e AS (SELECT * FROM obs WHERE entry <= x),
@@ -269,18 +272,44 @@ tx AS (SELECT x, COUNT(*) AS m, COUNT(*) FILTER (WHERE cause IS NULL) AS c FROM
 gx AS (SELECT x, y, COALESCE(PRODUCT(1 - c / y::DOUBLE) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS gg FROM yx)"""
 
 
-@_query(f"""WITH {_CAUSES}, n AS (SELECT g, x, CAST(COUNT(*) AS DOUBLE) AS m, CAST(COUNT(*) FILTER (WHERE cause = '1-URGENT') AS DOUBLE) AS d, CAST(COUNT(*) FILTER (WHERE cause <> '1-URGENT') AS DOUBLE) AS o FROM k GROUP BY g, x),
-f AS (SELECT gs.g, gx.x, gx.gg, COALESCE(m, 0) AS m, COALESCE(d, 0) AS d, COALESCE(o, 0) AS o FROM gx CROSS JOIN (SELECT DISTINCT g FROM k) gs LEFT JOIN n ON n.g = gs.g AND n.x = gx.x),
-r AS (SELECT g, x, d, SUM(m) OVER (PARTITION BY g ORDER BY x DESC) + gg * COALESCE(SUM(CASE WHEN gg > 0 THEN o / gg END) OVER (PARTITION BY g ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM f),
-s AS (SELECT *, SUM(r) OVER (PARTITION BY x) AS rr, SUM(d) OVER (PARTITION BY x) AS dd FROM r),
-z AS (SELECT g, SUM(d - dd * r / rr) AS z FROM s WHERE dd > 0 GROUP BY g),
-v AS (SELECT a.g, b.g AS h, SUM(a.dd * (a.r / a.rr) * ((CASE WHEN a.g = b.g THEN 1 ELSE 0 END) - b.r / b.rr)) AS v FROM s a JOIN s b ON a.x = b.x WHERE a.dd > 0 GROUP BY 1, 2)
-SELECT v.g AS "group", v.h AS other, ROUND(z, 4) AS z, ROUND(v, 4) AS v FROM v JOIN z ON v.g = z.g""")
+_GRAY = f"""{_CAUSES}, gr AS (SELECT x, y, c, PRODUCT(1 - c / y::DOUBLE) OVER (ORDER BY x) AS gi FROM yx),
+al AS (SELECT x, CAST(COUNT(*) FILTER (WHERE cause IS NOT NULL) AS DOUBLE) AS da, CAST(COUNT(*) FILTER (WHERE cause = '1-URGENT') AS DOUBLE) AS dk FROM k GROUP BY x),
+aj AS (SELECT x, dk / y * COALESCE(PRODUCT(1 - da / y) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS f FROM al JOIN gr USING (x)),
+fx AS (SELECT x, COALESCE(SUM(f) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inc FROM aj),
+n AS (SELECT g, x, CAST(COUNT(*) AS DOUBLE) AS m, CAST(COUNT(*) FILTER (WHERE cause = '1-URGENT') AS DOUBLE) AS d FROM k GROUP BY g, x),
+-- risk sets as they are defined: every row still there, and earlier competing failures with their weight
+pr AS (SELECT t.x, a.g, SUM(CASE WHEN a.x >= t.x THEN a.m WHEN ga.gi > 0 THEN a.o * gt.gi / ga.gi ELSE 0 END) AS r
+  FROM (SELECT x FROM al WHERE dk > 0) t CROSS JOIN (SELECT g, x, CAST(COUNT(*) AS DOUBLE) AS m, CAST(COUNT(*) FILTER (WHERE cause <> '1-URGENT') AS DOUBLE) AS o FROM k GROUP BY g, x) a
+  JOIN gr gt ON gt.x = t.x JOIN gr ga ON ga.x = a.x GROUP BY 1, 2),
+s AS (SELECT pr.g, pr.x, r, COALESCE(d, 0) AS d, SUM(r) OVER (PARTITION BY pr.x) AS rr, SUM(COALESCE(d, 0)) OVER (PARTITION BY pr.x) AS dd, 1 - inc AS w FROM pr LEFT JOIN n ON n.g = pr.g AND n.x = pr.x JOIN fx ON fx.x = pr.x)"""
+
+
+def _gray_sql(rho: str) -> str:
+    return f"""{_GRAY}, z AS (SELECT g, SUM(POW(w, {rho}) * (d - dd * r / rr)) AS z FROM s GROUP BY g),
+v AS (SELECT a.g, b.g AS h, SUM(CASE WHEN a.rr > 1 THEN POW(a.w, 2 * {rho}) * a.dd * (a.rr - a.dd) / (a.rr - 1) * (a.r / a.rr) * ((CASE WHEN a.g = b.g THEN 1 ELSE 0 END) - b.r / b.rr) ELSE 0 END) AS v FROM s a JOIN s b ON a.x = b.x GROUP BY 1, 2)"""
+
+
+@_query(f"""WITH {_gray_sql("0")} SELECT v.g AS "group", v.h AS other, ROUND(z, 4) AS z, ROUND(v, 4) AS v FROM v JOIN z ON v.g = z.g""")
 def gray_terms(spark, sf_dir):
     out = competing.gray_terms(_causes(spark, sf_dir), "x", "cause", "g", "1-URGENT")
     return out.select("group", "other", F.round("z", 4).alias("z"), F.round("v", 4).alias("v"))
 
 
+@_query(f"""WITH {_gray_sql("1.5")} SELECT v.g AS "group", v.h AS other, ROUND(z, 4) AS z, ROUND(v, 4) AS v FROM v JOIN z ON v.g = z.g""")
+def gray_terms_weighted(spark, sf_dir):
+    out = competing.gray_terms(_causes(spark, sf_dir), "x", "cause", "g", "1-URGENT", rho=1.5)
+    return out.select("group", "other", F.round("z", 4).alias("z"), F.round("v", 4).alias("v"))
+
+
+@_query(f"""WITH {_gray_sql("0")}, a AS (SELECT MAX(z) FILTER (WHERE g = 'A') AS za, MAX(z) FILTER (WHERE g = 'N') AS zn FROM z),
+c AS (SELECT MAX(v) FILTER (WHERE g = 'A' AND h = 'A') AS vaa, MAX(v) FILTER (WHERE g = 'A' AND h = 'N') AS van, MAX(v) FILTER (WHERE g = 'N' AND h = 'N') AS vnn FROM v),
+t AS (SELECT (za * za * vnn - 2 * za * zn * van + zn * zn * vaa) / (vaa * vnn - van * van) AS q FROM a, c)
+SELECT ROUND(q, 5) AS statistic, CAST(2 AS INT) AS df, ROUND(EXP(-q / 2), 6) AS p_value FROM t""")
+def gray_test(spark, sf_dir):
+    out = competing.gray_test(_causes(spark, sf_dir), "x", "cause", "g", "1-URGENT")
+    return out.select(F.round("statistic", 5).alias("statistic"), "df", F.round("p_value", 6).alias("p_value"))
+
+
 @_query(f"""WITH {_CAUSES}, n AS (SELECT x, SUM(EXP(0.01 * q)) AS s0, SUM(EXP(0.01 * q) * q) AS s1, COALESCE(SUM(EXP(0.01 * q)) FILTER (WHERE cause <> '1-URGENT'), 0) AS o0,
   COALESCE(SUM(EXP(0.01 * q) * q) FILTER (WHERE cause <> '1-URGENT'), 0) AS o1, CAST(COUNT(*) FILTER (WHERE cause = '1-URGENT') AS DOUBLE) AS d, COALESCE(SUM(q) FILTER (WHERE cause = '1-URGENT'), 0) AS dq FROM k GROUP BY x),
 r AS (SELECT x, d, dq, SUM(s0) OVER b + gg * COALESCE(SUM(CASE WHEN gg > 0 THEN o0 / gg END) OVER u, 0) AS r0, SUM(s1) OVER b + gg * COALESCE(SUM(CASE WHEN gg > 0 THEN o1 / gg END) OVER u, 0) AS r1 FROM n JOIN gx USING (x)
@@ -294,24 +323,28 @@ def fine_gray_terms(spark, sf_dir):
 # --- prediction ----------------------------------------------------------------------------------
 
 @_query(f"""WITH {_OBS}, k AS (SELECT x, q AS s, CAST(SUM(1-c) AS DOUBLE) AS d, CAST(SUM(c) AS DOUBLE) AS z FROM obs GROUP BY x, q),
-p AS (SELECT a.d * CASE WHEN b.x > a.x THEN b.d + b.z ELSE b.z END AS w, a.s AS s, b.s AS t FROM k a JOIN k b ON b.x > a.x OR (b.x = a.x AND b.z > 0) WHERE a.d > 0)
-SELECT SUM(w) AS comparable, SUM(CASE WHEN s > t THEN w ELSE 0 END) AS concordant, SUM(CASE WHEN s = t THEN w ELSE 0 END) AS tied,
-ROUND(SUM(CASE WHEN s > t THEN w WHEN s = t THEN w / 2 ELSE 0 END) / SUM(w), 9) AS c_index FROM p""")
+p AS (SELECT a.d * (b.d + b.z) AS w, CASE WHEN a.s > b.s THEN 1 WHEN a.s = b.s THEN 0.5 ELSE 0 END AS v FROM k a JOIN k b ON b.x > a.x WHERE a.d > 0
+  UNION ALL SELECT a.d * b.d, 0.5 FROM k a JOIN k b ON b.x = a.x AND b.s > a.s
+  UNION ALL SELECT d * (d - 1) / 2, 1 FROM k
+  UNION ALL SELECT a.d * b.z, CASE WHEN a.s > b.s THEN 1 ELSE 0.5 END FROM k a JOIN k b ON b.x = a.x)
+SELECT SUM(w) AS comparable, SUM(CASE WHEN v = 1 THEN w ELSE 0 END) AS concordant, SUM(CASE WHEN v = 0.5 THEN w ELSE 0 END) AS tied, ROUND(SUM(w * v) / SUM(w), 9) AS c_index FROM p""")
 def concordance(spark, sf_dir):
     return metrics.concordance(shipments(spark, sf_dir), "x", "c", "q").withColumn("c_index", F.round("c_index", 9))
 
 
-@_query(f"""WITH {_OBS}, k AS (SELECT q AS s, CAST(COUNT(*) FILTER (WHERE x <= 60 AND c = 0) AS DOUBLE) AS a, CAST(COUNT(*) FILTER (WHERE x > 60) AS DOUBLE) AS b FROM obs GROUP BY q),
-w AS (SELECT a, b, COALESCE(SUM(b) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM k)
-SELECT ROUND(SUM(a * (u + b / 2)) / (SUM(a) * SUM(b)), 9) AS auc FROM w""")
+_CENSORING = f"""{_OBS}, ga AS (SELECT x, CAST(SUM(c) AS DOUBLE) AS d, CAST(COUNT(*) AS DOUBLE) AS o FROM obs GROUP BY x), gb AS (SELECT x, d, SUM(o) OVER (ORDER BY x DESC) AS r FROM ga),
+g AS (SELECT x, PRODUCT(1 - d / r) OVER (ORDER BY x) AS g FROM gb)"""
+
+
+@_query(f"""WITH {_CENSORING}, e AS (SELECT q, CASE WHEN obs.x <= 60 AND c = 0 THEN CASE WHEN g.g > 0 THEN 1 / g.g ELSE 0 END END AS w, CASE WHEN obs.x > 60 THEN 1 END AS k FROM obs JOIN g USING (x)),
+a AS (SELECT q, SUM(w) AS w FROM e WHERE w IS NOT NULL GROUP BY q), b AS (SELECT q, COUNT(*) AS n FROM e WHERE k = 1 GROUP BY q)
+SELECT ROUND(SUM(a.w * b.n * CASE WHEN a.q > b.q THEN 1 WHEN a.q = b.q THEN 0.5 ELSE 0 END) / ((SELECT SUM(w) FROM a) * (SELECT SUM(n) FROM b)), 9) AS auc FROM a CROSS JOIN b""")
 def roc_auc(spark, sf_dir):
     return metrics.roc_at(shipments(spark, sf_dir), "x", "c", "q", 60.0).select(F.round("auc", 9).alias("auc"))
 
 
-@_query(f"""WITH {_OBS}, a AS (SELECT x, CAST(SUM(c) AS DOUBLE) AS d, CAST(COUNT(*) AS DOUBLE) AS o FROM obs GROUP BY x), r AS (SELECT x, d, SUM(o) OVER (ORDER BY x DESC) AS r FROM a),
-g AS (SELECT x, PRODUCT(1 - d / r) OVER (ORDER BY x) AS g, COALESCE(PRODUCT(1 - d / r) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS gb FROM r),
-h AS (SELECT CAST(t AS DOUBLE) AS t, COALESCE(MIN(g.g), 1) AS gt FROM (SELECT UNNEST([30, 60, 90]) AS t) LEFT JOIN g ON g.x <= t GROUP BY t)
-SELECT t, ROUND(AVG(CASE WHEN x <= t AND c = 0 THEN EXP(-t / 60) * EXP(-t / 60) / gb WHEN x > t THEN (1 - EXP(-t / 60)) * (1 - EXP(-t / 60)) / gt ELSE 0 END), 8) AS brier FROM h, obs JOIN g USING (x) GROUP BY t""")
+@_query(f"""WITH {_CENSORING}, h AS (SELECT CAST(t AS DOUBLE) AS t, COALESCE(MIN(g.g), 1) AS gt FROM (SELECT UNNEST([30, 60, 90]) AS t) LEFT JOIN g ON g.x <= t GROUP BY t)
+SELECT t, ROUND(AVG(CASE WHEN x <= t AND c = 0 THEN CASE WHEN g.g > 0 THEN EXP(-t / 60) * EXP(-t / 60) / g.g ELSE 0 END WHEN x > t AND gt > 0 THEN (1 - EXP(-t / 60)) * (1 - EXP(-t / 60)) / gt ELSE 0 END), 8) AS brier FROM h, obs JOIN g USING (x) GROUP BY t""")
 def brier_score(spark, sf_dir):
     own = shipments(spark, sf_dir).withColumns({f"s{t}": F.exp(F.lit(-t / 60.0)) for t in (30, 60, 90)})
     return metrics.brier_score(own, "x", "c", {30.0: "s30", 60.0: "s60", 90.0: "s90"}).select("t", F.round("brier", 8).alias("brier"))

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.running import latest, running, times, total
+
 
 @dataclass
 class CoxFit:
@@ -49,11 +51,9 @@ def cox_terms(df: DataFrame, x: str, c: str, z: list[str], beta: list[float], st
         zero = {k: F.lit(0.0) for k in ["d", "de", *[f"dz_{i}" for i in p]]}
         # rows that enter at or after a time aren't at risk there: taken off from the entry time downwards
         both = grid.withColumn("__late", F.lit(0)).unionByName(late.withColumns(zero | {"__late": F.lit(1)}))
-        order = [F.desc("__x"), F.desc("__late")]
     else:
-        both, order = grid.withColumn("__late", F.lit(0)), [F.desc("__x")]
-    w = Window.partitionBy(*strata).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    risk = both.withColumns({f"r_{k}": F.sum(k).over(w) for k in sums}).filter("__late = 0 and d > 0")
+        both = grid.withColumn("__late", F.lit(0))
+    risk = running(both, strata, "__x", {f"r_{k}": total(F.col(k)) for k in sums}, descending=True, ties=("__late",)).filter("__late = 0 and d > 0")
     mean = {i: F.col(f"r_s1_{i}") / F.col("r_s0") for i in p}
     return risk.agg(
         F.sum(F.col("de") - F.col("d") * F.ln("r_s0")).alias("ll"), *[F.sum(F.col(f"dz_{i}") - F.col("d") * mean[i]).alias(f"u_{i}") for i in p],
@@ -127,8 +127,7 @@ def schoenfeld_residuals(df: DataFrame, x: str, c: str, z: list[str], beta: list
     grid = df.withColumn("__p", F.exp(eta)).groupBy(F.col(x).cast("double").alias("x")).agg(
         F.sum(event.cast("double")).alias("d"), F.sum("__p").alias("s0"), *[F.sum(F.col("__p") * F.col(z[i])).alias(f"s{i + 1}") for i in p],
         *[F.sum(F.when(event, F.col(z[i])).otherwise(0.0)).alias(f"dz{i}") for i in p])
-    back = Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = grid.withColumns({f"r{i}": F.sum(f"s{i}").over(back) for i in range(len(z) + 1)}).filter("d > 0")
+    sums = running(grid, (), "x", {f"r{i}": total(F.col(f"s{i}")) for i in range(len(z) + 1)}, descending=True).filter("d > 0")
     return sums.select("x", "d", *[(F.col(f"dz{i}") - F.col("d") * F.col(f"r{i + 1}") / F.col("r0")).alias(z[i]) for i in p])
 
 
@@ -192,10 +191,8 @@ def cox_baseline(df: DataFrame, x: str, c: str, z: list[str], beta: list[float],
     """(strata, x, d, risk, hazard, cum_hazard): Breslow's baseline hazard."""
     eta = sum((F.lit(float(b)) * F.col(k) for b, k in zip(beta, z)), F.lit(0.0))
     grid = df.groupBy(*strata, F.col(x).cast("double").alias("x")).agg(F.sum((F.col(c) == 0).cast("double")).alias("d"), F.sum(F.exp(eta)).alias("own"))
-    back = Window.partitionBy(*strata).orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    up = Window.partitionBy(*strata).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = grid.withColumn("risk", F.sum("own").over(back)).withColumn("hazard", F.col("d") / F.col("risk"))
-    return out.withColumn("cum_hazard", F.sum("hazard").over(up)).drop("own")
+    out = running(grid, strata, "x", {"risk": total(F.col("own"))}, descending=True).withColumn("hazard", F.col("d") / F.col("risk"))
+    return running(out, strata, "x", {"cum_hazard": total(F.col("hazard"))}).drop("own")
 
 
 def additive_hazards_terms(df: DataFrame, x: str, c: str, z: list[str]) -> DataFrame:
@@ -205,8 +202,8 @@ def additive_hazards_terms(df: DataFrame, x: str, c: str, z: list[str]) -> DataF
     event = F.col(c) == 0
     grid = df.groupBy(F.col(x).cast("double").alias("x")).agg(*[F.sum(v).alias(k) for k, v in sums.items()], F.sum(event.cast("double")).alias("d"),
                                                              *[F.sum(F.when(event, F.col(z[i])).otherwise(0.0)).alias(f"dz_{i}") for i in p])
-    back = Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    risk = grid.withColumns({f"r_{k}": F.sum(k).over(back) for k in sums}).withColumn("dt", F.col("x") - F.lag("x", 1, 0.0).over(Window.orderBy("x")))
+    risk = running(grid, (), "x", {f"r_{k}": total(F.col(k)) for k in sums}, descending=True)
+    risk = running(risk, (), "x", {"last": latest(F.col("x"), before=True)}).withColumn("dt", F.col("x") - F.coalesce("last", F.lit(0.0)))
     mean = {i: F.col(f"r_s1_{i}") / F.col("r_s0") for i in p}
     return risk.agg(*[F.sum(F.col("dt") * (F.col(f"r_s2_{i}_{j}") - F.col(f"r_s1_{i}") * mean[j])).alias(f"a_{i}_{j}") for i in p for j in p if j <= i],
                     *[F.sum(F.col(f"dz_{i}") - F.col("d") * mean[i]).alias(f"b_{i}") for i in p])
@@ -233,13 +230,12 @@ def fit_buckley_james(df: DataFrame, x: str, c: str, z: list[str], tol: float =
         fitted = sum((F.lit(float(g)) * F.col(v) for g, v in zip(gamma, z)), F.lit(0.0))
         rows = own.withColumn("e", F.round(F.col("y") - fitted, 12))
         grid = rows.groupBy("e").agg(F.sum((F.col("c") == 0).cast("double")).alias("d"), F.count("*").cast("double").alias("m"))
-        back = Window.orderBy(F.desc("e")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        up = Window.orderBy("e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        grid = grid.withColumn("r", F.sum("m").over(back)).withColumn("d", F.when(F.col("e") == F.max("e").over(Window.partitionBy()), F.greatest("d", F.lit(1.0))).otherwise(F.col("d")))
-        grid = grid.withColumn("s", F.product(1 - F.least(F.lit(1.0), F.col("d") / F.col("r"))).over(up))
-        grid = grid.withColumn("mass", F.coalesce(F.lag("s").over(Window.orderBy("e")), F.lit(1.0)) - F.col("s"))
-        after = Window.orderBy(F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
-        grid = grid.withColumn("tail", F.coalesce(F.sum(F.col("mass") * F.col("e")).over(after) / F.nullif(F.col("s"), F.lit(0.0)), F.col("e")))
+        grid = running(grid, (), "e", {"r": total(F.col("m"))}, descending=True)
+        grid = grid.withColumn("d", F.when(F.col("r") == F.col("m"), F.greatest("d", F.lit(1.0))).otherwise(F.col("d")))  # the largest residual fails
+        keeps = 1 - F.least(F.lit(1.0), F.col("d") / F.col("r"))
+        grid = running(grid, (), "e", {"s": times(keeps), "earlier": times(keeps, before=True)})
+        grid = running(grid, (), "e", {"after": total((F.col("earlier") - F.col("s")) * F.col("e"), before=True)}, descending=True)
+        grid = grid.withColumn("tail", F.when(F.col("s") > 0, F.col("after") / F.col("s")).otherwise(F.col("e")))
         full = rows.join(grid.select("e", "tail"), "e").withColumn("v", F.when(F.col("c") == 0, F.col("y")).otherwise(fitted + F.col("tail")))
         row = full.agg(F.count("*").alias("n"), F.sum("v").alias("v"), *[F.sum(z[i]).alias(f"z{i}") for i in k], *[F.sum(F.col(z[i]) * F.col("v")).alias(f"zv{i}") for i in k],
                        *[F.sum(F.col(z[i]) * F.col(z[j])).alias(f"zz{i}_{j}") for i in k for j in k if j <= i]).first()

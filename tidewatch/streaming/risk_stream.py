@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.risk import running
+from tidewatch.operators.running import running, total
 
 
 def stream_counts(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -15,7 +15,7 @@ def stream_counts(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def risk_from_counts(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, x, r, d) of the counts that a stream has written."""
-    return running(counts, by, "x", {"r": F.col("out")}, descending=True).select(*by, "x", "r", "d")
+    return running(counts, by, "x", {"r": total(F.col("out"))}, descending=True).select(*by, "x", "r", "d")
 
 
 def windowed_events(events: DataFrame, time: str, width: str, late: str, by: tuple[str, ...] = ()) -> DataFrame:
