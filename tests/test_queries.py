@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from tests.conftest import DATA
+from tidewatch.plans import model_queries  # noqa: F401  registers its queries
 from tidewatch.plans.queries import ORACLE_SQL, QUERIES
 
 SF = f"{DATA}/sf0.001"

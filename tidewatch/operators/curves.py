@@ -202,3 +202,52 @@ def simultaneous_band(curve: DataFrame, n: float, alpha: float = 0.05, paths: in
     s, log_s = F.col("km"), F.ln(F.when((F.col("km") > 0) & (F.col("km") < 1), F.col("km")))
     grow = F.exp(half / log_s)
     return own.withColumns({"lower": F.coalesce(F.pow(s, 1 / grow), F.when(s == 1, 1.0), F.lit(0.0)), "upper": F.coalesce(F.pow(s, grow), F.when(s == 1, 1.0))}).drop("__k")
+
+
+def at_linear(curve: DataFrame, probes: DataFrame, values: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Values between a curve's points by straight lines; null before the first and after the last point."""
+    tagged = curve.select(*by, "x", F.lit(0).alias("__probe"), *[F.struct("x", F.col(v).cast("double").alias("y")).alias(v) for v in values]).unionByName(
+        probes.select(*by, F.col("t").cast("double").alias("x"), F.lit(1).alias("__probe")), allowMissingColumns=True)
+    own = running(tagged, by, "x", {f"__a_{v}": latest(F.col(v)) for v in values}, ties=("__probe",))
+    own = own.withColumn("__probe", 1 - F.col("__probe"))  # from the right, points come first again
+    own = running(own, by, "x", {f"__b_{v}": latest(F.col(v)) for v in values}, descending=True, ties=("__probe",)).filter("__probe = 0")
+
+    def line(v: str) -> Column:
+        a, b = F.col(f"__a_{v}"), F.col(f"__b_{v}")
+        return F.when(a.isNull() | b.isNull(), None).when(a["x"] == b["x"], a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (F.col("x") - a["x"]) / (b["x"] - a["x"]))
+
+    return own.select(*by, F.col("x").alias("t"), *[line(v).alias(v) for v in values])
+
+
+def from_distribution(points: DataFrame, x: str, f: str) -> DataFrame:
+    """(x, km): a curve of given shares failed; without variances."""
+    return points.select(F.col(x).cast("double").alias("x"), (1 - F.col(f)).cast("double").alias("km"))
+
+
+def draws(curve: DataFrame, size: int, seed: int, sf: str = "km", u: DataFrame | None = None) -> DataFrame:
+    """(id, u, t): event times drawn with the mass that a curve gives its times; mass that is left goes to all in proportion.
+
+    u: rows (id, u) of uniforms to use instead of new ones.
+    """
+    own = (curve.filter("d > 0") if "d" in curve.columns else curve).select("x", F.col(sf).alias("s"))  # times with mass
+    least = own.agg(F.min("s")).first()[0]
+    if least is None or least >= 1:
+        raise ValueError("the curve has no mass")
+    uniforms = u if u is not None else curve.sparkSession.range(size).select("id", F.rand(seed).alias("u"))
+    shares = own.select(((1 - F.col("s")) / (1 - least)).alias("o"), F.lit(0).alias("k"), F.col("x").alias("t"), F.lit(None).cast("long").alias("id"))
+    both = shares.unionByName(uniforms.select(F.col("u").alias("o"), F.lit(-1).alias("k"), F.lit(None).cast("double").alias("t"), F.col("id").cast("long").alias("id")))
+    # the first time at which the share failed is u or more: from above, the latest point before the draw; of flat
+    # stretches the first time has the mass, and it is the least of its share
+    first = both.filter("k = 0").groupBy("o", "k").agg(F.min("t").alias("t")).withColumn("id", F.lit(None).cast("long"))
+    found = running(first.unionByName(both.filter("k = -1")), (), "o", {"found": latest(F.col("t"))}, descending=True, ties=("k",))
+    return found.filter("k = -1").select("id", F.col("o").alias("u"), F.col("found").alias("t"))
+
+
+def filliben_positions(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, x, r, d, rank, f): Filliben's medians (rank - 0.3175) / (N + 0.365), the first and the last by 0.5^(1/N)."""
+    own = plotting_positions(obs, "None", by)
+    own = running(own, by, "x", {"__first": latest(F.col("x"), before=True), "__n": Run("max", F.col("r"))})
+    own = running(own, by, "x", {"__last": latest(F.col("x"), before=True)}, descending=True)
+    n, edge = F.col("__n"), F.pow(F.lit(0.5), 1 / F.col("__n"))
+    f = F.when(F.col("__last").isNull(), edge).when(F.col("__first").isNull(), 1 - edge).otherwise((F.col("rank") - 0.3175) / (n + 0.365))
+    return own.withColumn("f", f).drop("__first", "__last", "__n")

@@ -89,3 +89,76 @@ def round_significant(value: Column, digits: int = 2) -> Column:
     """The value to so many significant digits."""
     scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(value))))
     return F.when(value == 0, 0.0).otherwise(F.round(value * scale) / scale)
+
+
+def _broken(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, rows): how many rows break each rule, in one pass; a condition that is null breaks nothing."""
+    counts = df.agg(*[F.sum(F.coalesce(cond, F.lit(False)).cast("long")).alias(f"k{j}") for j, cond in enumerate(rules.values())])
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.coalesce(f"k{j}", F.lit(0)).cast("long").alias("rows")) for j, name in enumerate(rules)]))
+    return counts.select(pairs.alias("p")).select("p.rule", "p.rows")
+
+
+def _required(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    broken = [r.rule for r in _broken(df, rules).collect() if r.rows]  # a row per rule
+    if broken:
+        raise ValueError("; ".join(broken))
+    return df
+
+
+def _risk_rules() -> dict[str, Column]:
+    r, d = F.col("r"), F.col("d")
+    return {
+        "value missing": F.col("x").isNull() | r.isNull() | d.isNull(), "nobody at risk": r <= 0, "events negative": d < 0,
+        "more events than at risk": d > r, "not whole numbers": (r != F.floor(r)) | (d != F.floor(d)),
+    }
+
+
+def risk_violations(risk: DataFrame) -> DataFrame:
+    """Broken rules of a given risk table (x, r, d) and their rows."""
+    return _broken(risk, _risk_rules())
+
+
+def validate_risk(risk: DataFrame) -> DataFrame:
+    """The risk table unchanged, or ValueError naming every broken rule."""
+    return _required(risk, _risk_rules())
+
+
+def validate_competing(df: DataFrame, x: str, cause: str, c: str | None = None, n: str | None = None) -> DataFrame:
+    """Rows of competing risks unchanged: times are there, a flagged event has a cause and a censored row none, counts are positive."""
+    rules = {"time missing": F.col(x).isNull() | F.isnan(F.col(x).cast("double"))}
+    if c:
+        rules |= {"censor flag unknown": ~F.col(c).isin(0, 1), "event without cause": (F.col(c) == 0) & F.col(cause).isNull(), "censored with a cause": (F.col(c) == 1) & F.col(cause).isNotNull()}
+    if n:
+        rules["count not positive"] = F.col(n) <= 0
+    return _required(df, rules)
+
+
+def validate_regression(df: DataFrame, x: str, c: str, z: list[str], n: str | None = None, tl: str | None = None) -> DataFrame:
+    """Rows of a regression unchanged: flags 0 and 1, positive counts, covariates that are numbers and vary, entries before times."""
+    rules = {"time missing": F.col(x).isNull(), "censor flag unknown": ~F.col(c).isin(0, 1)}
+    rules |= {f"{k} is not a number": F.isnan(F.col(k).cast("double")) | (F.abs(F.col(k)) == INF) for k in z}
+    if n:
+        rules["count not positive"] = F.col(n) <= 0
+    if tl:
+        rules["entry not before the time"] = F.col(tl) >= F.col(x)
+    _required(df, rules)
+    row = df.agg(*[F.min(k).alias(f"a{j}") for j, k in enumerate(z)], *[F.max(k).alias(f"b{j}") for j, k in enumerate(z)]).first()
+    constant = [k for j, k in enumerate(z) if row[f"a{j}"] == row[f"b{j}"]]
+    if constant:
+        raise ValueError(f"constant covariates: {', '.join(constant)}")
+    return df
+
+
+def validate_episodes(df: DataFrame, unit: str, xl: str, xr: str) -> DataFrame:
+    """Episodes (xl, xr] unchanged: none is empty, and a unit's don't overlap."""
+    from pyspark.sql import Window
+
+    before = F.max(xr).over(Window.partitionBy(unit).orderBy(xl, xr).rowsBetween(Window.unboundedPreceding, -1))
+    _required(df.withColumn("__before", before), {"episode empty": F.col(xl) >= F.col(xr), "episodes overlap": F.col("__before") > F.col(xl)})
+    return df
+
+
+def by_type(obs: DataFrame) -> dict[str, DataFrame]:
+    """The rows of each kind: observed, right, left, interval, and truncated (any of these in a window)."""
+    kinds = {"observed": F.col("c") == 0, "right": F.col("c") == 1, "left": F.col("c") == -1, "interval": F.col("c") == 2, "truncated": (F.col("tl") > -INF) | (F.col("tr") < INF)}
+    return {k: obs.filter(cond) for k, cond in kinds.items()}

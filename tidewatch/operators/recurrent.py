@@ -84,7 +84,24 @@ def virtual_age(events: DataFrame, q: float, kind: int = 1, by: tuple[str, ...]
     before = _item(by).rowsBetween(Window.unboundedPreceding, -1)
     if kind == 1:
         return own.withColumn("virtual_age", F.coalesce(F.lit(q) * F.sum("gap").over(before), F.lit(0.0)))
-    return own.withColumn("virtual_age", F.aggregate(F.collect_list("gap").over(before), F.lit(0.0), lambda v, g: F.lit(q) * (v + g)))
+    # a linear recurrence: one pass over each item's gaps
+    import pyarrow as pa
+
+    place = F.row_number().over(_item(by))
+    kept = own.columns
+
+    def ages(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__k")
+        out, v = [], 0.0
+        for g in table.column("gap").to_pylist():
+            out.append(v)
+            v = q * (v + g)
+        return table.select(kept).append_column("virtual_age", pa.array(out, pa.float64()))
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*own.schema.fields, T.StructField("virtual_age", T.DoubleType())])
+    return own.withColumn("__k", place).groupBy(*by, "i").applyInArrow(ages, schema)
 
 
 def arithmetic_reduction_age(events: DataFrame, rho: float, m: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -120,3 +137,60 @@ def mcf_limits(mcf: DataFrame, alpha: float = 0.05, kind: str = "exp") -> DataFr
         return mcf.withColumns({"lower": m - z * se, "upper": m + z * se})
     w = F.exp(z * F.try_divide(se, m))
     return mcf.withColumns({"lower": m / w, "upper": m * w})
+
+
+def event_types(events: DataFrame) -> DataFrame:
+    """(e): the marks that occur, in order."""
+    return events.select("e").filter("e is not null").distinct().orderBy("e")
+
+
+def truncation_close(events: DataFrame, tr: str) -> DataFrame:
+    """(i, last, close) of items whose observation ends at a finite time."""
+    return events.groupBy("i").agg(F.max("x").alias("last"), F.max(tr).cast("double").alias("close")).filter(F.col("close") < INF)
+
+
+def require_plain(events: DataFrame, model: str, entries: bool = False, marks: bool = True) -> DataFrame:
+    """The events unchanged, or ValueError where a model can't take them: delayed entries (unless `entries`), flags other
+    than event and right-censored, a censored row that isn't its item's last."""
+    last = F.max("x").over(Window.partitionBy("i"))
+    row = events.withColumn("__last", last).agg(
+        F.max((F.col("tl") > 0).cast("int")).alias("late"), F.max((~F.col("c").isin(0, 1)).cast("int")).alias("flags"),
+        F.max(((F.col("c") == 1) & (F.col("x") < F.col("__last"))).cast("int")).alias("inside")).first()
+    found = [text for text, bad in (("delayed entry", row.late and not entries), ("interval or left-censored rows", row.flags), ("censoring before an item's end", row.inside)) if bad]
+    if found:
+        raise ValueError(f"{model} can't take {', '.join(found)}")
+    return events
+
+
+def conditional_uniforms(events: DataFrame, cif, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, i, u): each event's share of its item's expected events, (cif(x) - cif(entry)) / (cif(end) - cif(entry)).
+
+    An item ends at its censoring row; without one at its last event, which then isn't used. cif: column -> column.
+    """
+    w = Window.partitionBy(*by, "i")
+    own = events.withColumns({"__end": F.max("x").over(w), "__stop": F.max((F.col("c") == 1).cast("int")).over(w), "__from": F.greatest(F.lit(0.0), F.min("tl").over(w)),
+                              "__k": F.row_number().over(w.orderBy(F.desc("x"), F.desc("c")))})
+    used = own.filter("c = 0 and (__stop = 1 or __k > 1)")
+    base = cif(F.col("__from"))
+    u = (cif(F.col("x")) - base) / F.nullif(cif(F.col("__end")) - base, F.lit(0.0))
+    return used.select(*by, "i", u.alias("u")).filter("u is not null")
+
+
+def cramer_von_mises(uniforms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, m, cvm): the distance of the values u from the uniform distribution, 1/(12m) + sum (u - (2j-1)/(2m))^2."""
+    grid = uniforms.groupBy(*by, "u").agg(F.count("*").cast("double").alias("k"))
+    grid = running(grid, by, "u", {"upto": total(F.col("k"))})
+    # of k equal values with ranks a+1..a+k: sums of (u - (2j-1)/2m) over these ranks need the first two powers of j only
+    last, first, k, u = F.col("upto"), F.col("upto") - F.col("k"), F.col("k"), F.col("u")
+    s1 = (last * (last + 1) - first * (first + 1)) / 2
+    s2 = (last * (last + 1) * (2 * last + 1) - first * (first + 1) * (2 * first + 1)) / 6
+    sums = grid.groupBy(*by).agg(F.sum("k").alias("m"), F.sum(k * u * u).alias("a"), F.sum(u * (2 * s1 - k)).alias("b"), F.sum(4 * s2 - 4 * s1 + k).alias("c"))
+    m = F.col("m")
+    return sums.select(*by, "m", (1 / (12 * m) + F.col("a") - F.col("b") / m + F.col("c") / (4 * m * m)).alias("cvm"))
+
+
+def intensity_reduction(events: DataFrame, iif, rho: float, m: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with `reduction` just before each event: rho * sum (1-rho)^j iif of the last m events, the newest first."""
+    past = F.reverse(F.collect_list(iif(F.col("x"))).over(_item(by).rowsBetween(-m, -1)))
+    cut = F.aggregate(F.transform(past, lambda v, j: F.lit(rho) * F.pow(F.lit(1 - rho), j) * v), F.lit(0.0), lambda a, v: a + v)
+    return events.withColumn("reduction", cut)

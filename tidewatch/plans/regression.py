@@ -31,10 +31,12 @@ def _sums(z: list[str], w: Column) -> dict[str, Column]:
     return out | {f"s2_{i}_{j}": w * F.col(z[i]) * F.col(z[j]) for i in p for j in p if j <= i}
 
 
-def cox_terms(df: DataFrame, x: str, c: str, z: list[str], beta: list[float], strata: tuple[str, ...] = (), n: str | None = None, tl: str | None = None) -> DataFrame:
-    """One row: ll, the score u_i and the information h_i_j at beta (Breslow ties), with strata and delayed entry.
+def cox_terms(df: DataFrame, x: str, c: str, z: list[str], beta: list[float], strata: tuple[str, ...] = (), n: str | None = None, tl: str | None = None,
+              ties: str = "breslow") -> DataFrame:
+    """One row: ll, the score u_i and the information h_i_j at beta, with strata and delayed entry.
 
-    Sums over the risk set are sums from the right over distinct times, less those of rows that enter later.
+    Sums over the risk set are sums from the right over distinct times, less those of rows that enter later. ties:
+    breslow, or efron, where the k-th of d failures at a time sees the risk set without k/d of them (rows count one).
     """
     p = range(len(z))
     weight = F.col(n).cast("double") if n else F.lit(1.0)
@@ -45,15 +47,21 @@ def cox_terms(df: DataFrame, x: str, c: str, z: list[str], beta: list[float], st
     grid = own.groupBy(*strata, F.col(x).cast("double").alias("__x")).agg(
         *[F.sum(v).alias(k) for k, v in sums.items()], F.sum(F.when(event, F.col("__w")).otherwise(0.0)).alias("d"),
         F.sum(F.when(event, F.col("__w") * F.col("__eta")).otherwise(0.0)).alias("de"),
-        *[F.sum(F.when(event, F.col("__w") * F.col(z[i])).otherwise(0.0)).alias(f"dz_{i}") for i in p])
+        *[F.sum(F.when(event, F.col("__w") * F.col(z[i])).otherwise(0.0)).alias(f"dz_{i}") for i in p],
+        *[F.sum(F.when(event, v).otherwise(0.0)).alias(f"t_{k}") for k, v in sums.items() if ties == "efron"])
     if tl:
         late = own.filter(F.col(tl).isNotNull()).groupBy(*strata, F.col(tl).cast("double").alias("__x")).agg(*[F.sum(-v).alias(k) for k, v in sums.items()])
-        zero = {k: F.lit(0.0) for k in ["d", "de", *[f"dz_{i}" for i in p]]}
+        zero = {k: F.lit(0.0) for k in ["d", "de", *[f"dz_{i}" for i in p], *[f"t_{k}" for k in sums if ties == "efron"]]}
         # rows that enter at or after a time aren't at risk there: taken off from the entry time downwards
         both = grid.withColumn("__late", F.lit(0)).unionByName(late.withColumns(zero | {"__late": F.lit(1)}))
     else:
         both = grid.withColumn("__late", F.lit(0))
     risk = running(both, strata, "__x", {f"r_{k}": total(F.col(k)) for k in sums}, descending=True, ties=("__late",)).filter("__late = 0 and d > 0")
+    if ties == "efron":  # a row per failure; what is counted once a time stays with the first
+        share, first = F.col("k") / F.col("m"), F.col("k") == 0
+        once = {c: F.when(first, F.col(c)).otherwise(0.0) for c in ["de", *[f"dz_{i}" for i in p]]}
+        risk = risk.withColumn("m", F.col("d").cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        risk = risk.withColumns({f"r_{k}": F.col(f"r_{k}") - share * F.col(f"t_{k}") for k in sums} | once | {"d": F.lit(1.0)})
     mean = {i: F.col(f"r_s1_{i}") / F.col("r_s0") for i in p}
     return risk.agg(
         F.sum(F.col("de") - F.col("d") * F.ln("r_s0")).alias("ll"), *[F.sum(F.col(f"dz_{i}") - F.col("d") * mean[i]).alias(f"u_{i}") for i in p],
@@ -81,11 +89,12 @@ def _climb(terms, z: list[str], tol: float, steps: int) -> CoxFit:
     return CoxFit(z, beta, np.linalg.inv(h), best.ll, u, k + 1)
 
 
-def fit_cox(df: DataFrame, x: str, c: str, z: list[str], strata: tuple[str, ...] = (), n: str | None = None, tl: str | None = None, tol: float = 1e-9, steps: int = 30) -> CoxFit:
-    """Proportional hazards with Breslow ties. c: 0 event, 1 censored; rows with null covariates go. Episodes of
+def fit_cox(df: DataFrame, x: str, c: str, z: list[str], strata: tuple[str, ...] = (), n: str | None = None, tl: str | None = None, tol: float = 1e-9, steps: int = 30,
+            ties: str = "breslow") -> CoxFit:
+    """Proportional hazards, with Breslow's or Efron's ties. c: 0 event, 1 censored; rows with null covariates go. Episodes of
     time-varying covariates are rows with their starts in tl."""
     own = df.dropna(subset=[x, c, *z]).select(*dict.fromkeys([*strata, x, c, *z, *([n] if n else []), *([tl] if tl else [])])).cache()
-    fit = _climb(lambda beta: cox_terms(own, x, c, z, beta, strata, n, tl).first(), z, tol, steps)
+    fit = _climb(lambda beta: cox_terms(own, x, c, z, beta, strata, n, tl, ties).first(), z, tol, steps)
     own.unpersist()
     return fit
 

@@ -88,3 +88,39 @@ def forest_survival(forest: list[tuple[list[tuple], dict[int, float]]], t: Colum
             rate = F.when(node == leaf, r).otherwise(rate)
         parts.append(F.exp(-rate * t))
     return sum(parts, F.lit(0.0)) / len(parts)
+
+
+def logrank_gains(df: DataFrame, x: str, c: str, features: dict[str, list[float]], node: Column | None = None, least: float = 1, least_failures: float = 0) -> DataFrame:
+    """(node, feature, cut, z, n_left, n_right): the log-rank statistic of every candidate split, without sign.
+
+    Rows are summed by time and side of each candidate first; numbers at risk are running sums from the right.
+    """
+    from tidewatch.operators.running import running, total
+
+    tests = [F.struct(F.lit(f).alias("feature"), F.lit(float(t)).alias("cut"), (F.col(f) <= t).alias("left")) for f, ts in features.items() for t in ts]
+    own = df.select((node if node is not None else F.lit(1)).alias("node"), F.col(x).cast("double").alias("x"), (F.col(c) == 0).cast("double").alias("d"), F.explode(F.array(*tests)).alias("s"))
+    keys = ("node", "feature", "cut")
+    on_left = lambda v: F.sum(F.when(F.col("s.left"), v).otherwise(0.0))
+    grid = own.groupBy("node", F.col("s.feature").alias("feature"), F.col("s.cut").alias("cut"), "x").agg(
+        F.sum("d").alias("d"), F.count("*").cast("double").alias("n"), on_left(F.col("d")).alias("dl"), on_left(F.lit(1.0)).alias("nl"))
+    grid = running(grid, keys, "x", {"r": total(F.col("n")), "rl": total(F.col("nl"))}, descending=True)
+    d, r, rl = F.col("d"), F.col("r"), F.col("rl")
+    spread = F.when(r > 1, d * (rl / r) * (1 - rl / r) * (r - d) / (r - 1)).otherwise(0.0)
+    sums = grid.groupBy(*keys).agg(F.sum(F.col("dl") - d * rl / r).alias("u"), F.sum(spread).alias("v"), F.sum("nl").alias("n_left"), F.sum(F.col("n") - F.col("nl")).alias("n_right"),
+                                   F.sum("dl").alias("d_left"), F.sum(d - F.col("dl")).alias("d_right"))
+    enough = (F.least("n_left", "n_right") >= least) & (F.least("d_left", "d_right") >= least_failures)
+    return sums.filter(enough & (F.col("v") > 0)).select(*keys, F.abs(F.col("u") / F.sqrt("v")).alias("z"), "n_left", "n_right")
+
+
+def features_tried(rule: int | float | str, n: int) -> int:
+    """How many of n features a split tries: a number, a share, sqrt, log2 or all."""
+    if rule == "all":
+        return n
+    if rule in ("sqrt", "log2"):
+        return max(1, int(math.sqrt(n) if rule == "sqrt" else math.log2(n)))
+    if isinstance(rule, bool) or not isinstance(rule, (int, float)):
+        raise ValueError(f"unknown rule {rule!r}")
+    k = rule if isinstance(rule, int) else int(rule * n)
+    if not 1 <= k <= n:
+        raise ValueError(f"{rule!r} of {n} features")
+    return k
