@@ -340,6 +340,21 @@ def test_chunks_cover_all_bytes():
         assert counts[0] * byte_cnn.STRIDE + byte_cnn.CHUNK - byte_cnn.STRIDE >= n and (tokens[starts[-1]] & 255) == ord("b")
 
 
+def test_classifier_scores_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    net = byte_cnn.fit(["good words here " * 9, "x" * 200, "fine prose too " * 7, "yyyy " * 50], [1, 0, 1, 0])
+    for n in (0, 5, 511, 512, 513, 448 * 7, 448 * 8 + 64, 448 * 8 + 65, 448 * 33 + 7):
+        text = bytes(rng.integers(97, 100, n).astype(np.uint8))
+        tokens, starts, counts = byte_cnn.chunks([(0, text)])
+        monkeypatch.setattr(byte_cnn, "AT_ONCE", 8)
+        pieces = list(byte_cnn.long_pieces(text))
+        rest = [byte_cnn.window(*byte_cnn.chunks([p])[:2]) for p in pieces]
+        assert np.array_equal(np.concatenate(rest), byte_cnn.window(tokens, starts))
+        few = net.score([text])
+        monkeypatch.setattr(byte_cnn, "AT_ONCE", 512)
+        assert len(rest) == -(-counts[0] // 8) and net.score([text]) == pytest.approx(few, rel=1e-5)
+
+
 def luhn(s):
     return sum(sum(divmod(int(ch) * (1 + i % 2), 10)) for i, ch in enumerate(reversed(s))) % 10 == 0
 

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewatch.llm.common import text_or_empty
+from tidewatch.llm.common import small_batches, text_slices
 
 CHUNK, STRIDE = 512, 448
 WIDTH, STEP, FILTERS = 8, 2, 16
@@ -26,6 +27,8 @@ POSITIONS = (CHUNK - WIDTH) // STEP + 1
 REPEATS = range(2, 25)
 #: Chunks that go through the filters at once: 8 MB of activations.
 AT_ONCE = 512
+#: Bytes of text scored at once, and rows; a longer text goes in pieces of AT_ONCE chunks.
+SCORE_BYTES, SCORE_ROWS = 500_000, 1000
 #: The fit's sample: labelled rows of each class, at most so many, and none of over so many bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 900, 65_536
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.01, 7
@@ -39,17 +42,39 @@ class Network:
     top: np.ndarray  # (FILTERS,)
     shift: np.ndarray  # (1,)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """Probability that each text is of good quality."""
-        tokens, starts, per_text = chunks(texts)
-        pooled = np.empty((len(starts), FILTERS), dtype=np.float32)
+    def pool(self, tokens: np.ndarray, starts: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Every chunk's pooled filters, AT_ONCE at a time, and with `places` where the maxima were."""
+        pooled, at = np.empty((len(starts), FILTERS), np.float32), np.empty((len(starts) if places else 0, FILTERS), np.intp)
         for k in range(0, len(starts), AT_ONCE):
-            pooled[k : k + AT_ONCE] = self.convolve(window(tokens, starts[k : k + AT_ONCE]))[0]
-        ends = np.cumsum(per_text)
-        first = ends - per_text
-        mean = np.add.reduceat(pooled, first, axis=0) / per_text[:, None]
-        top = np.maximum.reduceat(pooled, first, axis=0)
-        logit = np.clip(mean @ self.mean + top @ self.top + self.shift, -30, 30).astype(np.float64)
+            pooled[k : k + AT_ONCE], where = self.convolve(window(tokens, starts[k : k + AT_ONCE]), places)
+            if places:
+                at[k : k + AT_ONCE] = where
+        return pooled, at
+
+    def score(self, texts: list[str | bytes | None]) -> np.ndarray:
+        """Probability that each text is of good quality."""
+        pieces, owner = [], []
+        for k, t in enumerate(texts):
+            raw = t if isinstance(t, bytes) else (t or "").encode("utf-8", "replace")
+            for piece in long_pieces(raw):
+                pieces.append(piece)
+                owner.append(k)
+        mean, top, n = np.zeros((len(texts), FILTERS)), np.zeros((len(texts), FILTERS)), np.zeros(len(texts))
+        at = 0
+        while at < len(pieces):
+            end, size = at, 0
+            while end < len(pieces) and (end == at or size + len(pieces[end][1]) <= SCORE_BYTES):
+                size += len(pieces[end][1])
+                end += 1
+            tokens, starts, counts = chunks(pieces[at:end])
+            pooled, _ = self.pool(tokens, starts)
+            first = np.cumsum(counts) - counts
+            own = np.array(owner[at:end])
+            np.add.at(mean, own, np.add.reduceat(pooled, first, axis=0))
+            np.maximum.at(top, own, np.maximum.reduceat(pooled, first, axis=0))
+            np.add.at(n, own, counts)
+            at = end
+        logit = np.clip((mean / np.maximum(n, 1)[:, None]) @ self.mean + top @ self.top + self.shift, -30, 30).astype(np.float64)
         return 1 / (1 + np.exp(-logit))
 
     def convolve(self, x: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -61,21 +86,35 @@ class Network:
         return np.maximum(out.max(axis=1) + self.bias, 0), at
 
 
-def chunks(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes before a piece that its repeats may look back to.
+LEAD = 32
+
+
+def long_pieces(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """(bytes of lead, bytes) of a text: itself, or, of a long one, pieces of AT_ONCE chunks with what stands around them."""
+    step = AT_ONCE * STRIDE
+    last = max(1, -(-(len(raw) - (CHUNK - STRIDE)) // STRIDE))
+    for k in range(0, last, AT_ONCE):
+        lead = min(LEAD, k * STRIDE)
+        yield lead, raw[k * STRIDE - lead : (k * STRIDE + step + CHUNK - STRIDE if k + AT_ONCE < last else len(raw))]
+
+
+def chunks(texts: list[str | None | tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(tokens of all texts, start of each chunk, chunks of each text); every text has one chunk at least."""
-    raw = [(t or "").encode("utf-8", "replace") for t in texts]
-    counts = np.array([max(1, -(-(len(r) - (CHUNK - STRIDE)) // STRIDE)) for r in raw], dtype=np.int64)
-    padded = (counts - 1) * STRIDE + CHUNK
+    raw = [t if isinstance(t, tuple) else (0, (t or "").encode("utf-8", "replace")) for t in texts]
+    leads, lengths = np.array([a for a, _ in raw], np.int64), np.array([len(r) for _, r in raw], np.int64)
+    counts = np.maximum(1, -(-(lengths - leads - (CHUNK - STRIDE)) // STRIDE))
+    padded = leads + (counts - 1) * STRIDE + CHUNK
     offsets = np.concatenate(([0], np.cumsum(padded)))
     data = np.zeros(offsets[-1] + 8, dtype=np.uint8)
-    for r, o in zip(raw, offsets):
+    for (_, r), o in zip(raw, offsets):
         data[o : o + len(r)] = np.frombuffer(r, dtype=np.uint8)
     eight = np.lib.stride_tricks.as_strided(data, (len(data) - 8, 8), (1, 1)).copy().view(np.uint64).ravel()
     again = np.zeros(len(eight), dtype=bool)
     for d in REPEATS:
         again[d:] |= eight[d:] == eight[:-d]
     again &= eight != 0
-    starts = np.repeat(offsets[:-1], counts) + STRIDE * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+    starts = np.repeat(offsets[:-1] + leads, counts) + STRIDE * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
     tokens = data[: len(eight)].astype(np.int16)
     tokens[again] += 256
     return tokens, starts, counts
@@ -107,14 +146,8 @@ def fit(texts: list[str], labels: list[int]) -> Network:
         for k in range(0, len(order), BATCH):
             rows = order[k : k + BATCH]
             tokens, starts, counts = chunks([texts[r] for r in rows])
-            if len(starts) > AT_ONCE:  # a batch with very long texts: a part of their chunks, anew each epoch
-                pick = np.sort(rng.permutation(len(starts))[:AT_ONCE])
-                owner = np.repeat(np.arange(len(rows)), counts)[pick]
-                starts = starts[pick]
-            else:
-                owner = np.repeat(np.arange(len(rows)), counts)
-            x = window(tokens, starts)
-            pooled, at = net.convolve(x, places=True)
+            owner = np.repeat(np.arange(len(rows)), counts)
+            pooled, at = net.pool(tokens, starts, places=True)
             size = np.maximum(np.bincount(owner, minlength=len(rows)), 1).astype(np.float32)
             mean = np.zeros((len(rows), FILTERS), np.float32)
             np.add.at(mean, owner, pooled)
@@ -129,7 +162,7 @@ def fit(texts: list[str], labels: list[int]) -> Network:
                     "shift": delta.sum(keepdims=True), "table": np.zeros_like(net.table)}
             c, f = np.nonzero(up)
             for j in range(WIDTH):
-                np.add.at(grad["table"][j], (x[c, STEP * at[c, f] + j], f), up[c, f])
+                np.add.at(grad["table"][j], (tokens[starts[c] + STEP * at[c, f] + j], f), up[c, f])
             step += 1
             for n in names:
                 g = grad[n]
@@ -161,23 +194,16 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
 
     The network is fitted on the driver on at most 2 * SAMPLE_ROWS labelled rows of at most SAMPLE_BYTES bytes;
     held-out rows are never among them. Null texts count as empty and are scored like these; equal texts score
-    alike; an empty table gives an empty result. Without labels of both classes the score says nothing.
+    alike; an empty table gives an empty result. Without labels of both classes the score says nothing. Memory is
+    that of SCORE_BYTES of text, also for longer texts. The fit uses all chunks of its sample's texts.
     """
+    small_batches(docs.sparkSession)
     net = fit(*training_sample(docs, labels))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, scores, at = pdf["text"].tolist(), [], 0
-            while at < len(texts):  # at most a few MB of text at once, and one text at least
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
-                    size += len(texts[end])
-                    end += 1
-                scores.append(net.score(texts[at:end]))
-                at = end
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": np.concatenate(scores) if scores else []})
-
-    source = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), text_or_empty().alias("text"))
-    scored = source.mapInPandas(run, f"doc_id {id_type}, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, raw in text_slices(batches, SCORE_BYTES, SCORE_ROWS):
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(net.score(raw), pa.float64())], names=["doc_id", "held_out", "score"])
+
+    source = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text"))
+    return source.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
