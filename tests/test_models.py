@@ -8,9 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.functions import intensities, models
-from tidewatch.operators import competing, metrics, observations, recurrent
-from tidewatch.plans import cox, regression, schedules, tree
+from tidewatch.functions import copulas, intensities, models
+from tidewatch.operators import competing, curves, degradation, metrics, observations, recurrent, risk
+from tidewatch.plans import cox, design, fit, regression, renewal, schedules, tree
+from tidewatch.sources import datasets
 
 
 @pytest.fixture(scope="module")
@@ -195,3 +196,74 @@ def test_inputs_are_checked(spark, cohort):
     assert [tree.features_tried(r, 16) for r in (3, 0.5, "sqrt", "log2", "all")] == [3, 8, 4, 4, 16]
     with pytest.raises(ValueError):
         tree.features_tried("some", 4)
+
+
+def test_curves_and_models_are_kept(spark, tmp_path):
+    obs = observations.observations(datasets.automotive(spark), x="x", c="c")
+    curve = curves.survival_curves(risk.risk_table(obs))
+    datasets.save_curve(curve, str(tmp_path / "curve"))
+    again = datasets.load_curve(spark, str(tmp_path / "curve"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, curve.collect()))
+    m = fit.life_model(fit.fit_mle(obs, "weibull"))
+    datasets.save_life_model(spark, str(tmp_path / "models"), "a", m)
+    assert datasets.load_life_model(spark, str(tmp_path / "models"), "a") == m
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="no curve"):
+        datasets.load_curve(spark, str(tmp_path / "other"))
+
+
+def test_gaussian_copula(spark):
+    df = spark.createDataFrame([(0.3, 0.6), (0.9, 0.2), (0.5, 0.5)], "u double, v double")
+    for rho in (-0.7, 0.0, 0.5):
+        rows = df.select("u", "v", copulas.gaussian_probability(F.col("u"), F.col("v"), rho).alias("c"), copulas.gaussian_density(F.col("u"), F.col("v"), rho).alias("d")).collect()
+        assert rows[2].c == pytest.approx(0.25 + math.asin(rho) / (2 * math.pi))
+        h = 1e-3
+        for r in rows:
+            near = spark.createDataFrame([(r.u + a, r.v + b) for a in (h, -h) for b in (h, -h)], "u double, v double").select(copulas.gaussian_probability(F.col("u"), F.col("v"), rho).alias("c")).collect()
+            assert (near[0].c - near[1].c - near[2].c + near[3].c) / (4 * h * h) == pytest.approx(r.d, rel=1e-2)
+    assert copulas.spearman_rho("independence", 0.0) == pytest.approx(0, abs=1e-6) and copulas.tail_dependence("clayton", 2.0)[0] == pytest.approx(2**-0.5)
+    # Gumbel has no closed inverse: the sampled value has the wanted conditional probability
+    out = copulas.sample(spark.createDataFrame([(0.3, 0.6), (0.8, 0.1)], "u double, w double"), "gumbel", 2.0)
+    for r in out.withColumn("p", copulas.COPULAS["gumbel"].given_u(F.col("u"), F.col("v"), 2.0)).collect():
+        assert r.p == pytest.approx(r.w, abs=1e-9)
+
+
+def test_goodness_of_a_power_law(spark):
+    model = intensities.Intensity("crow-amsaa", (10.0, 1.5))
+    good = recurrent.recurrent_events(intensities.simulate(spark, model, 30, until=40.0, seed=2), "i", "x", c="c")
+    out = renewal.power_law_goodness(good, replicates=39, seed=5).first()
+    assert out.p_value > 0.05 and out.replicates == 39
+    bad = good.withColumn("x", F.when(F.col("c") == 0, 20 + F.col("x") / 2).otherwise(F.col("x")))
+    assert renewal.power_law_goodness(bad, replicates=39, seed=5).first().p_value <= 0.05
+
+
+def test_designs(spark):
+    df = spark.createDataFrame([(1.0, 2.0, "a", 1), (2.0, 3.0, "b", 2), (3.0, 5.0, None, 1)], "p double, q double, g string, k int")
+    made = design.design(df, "y ~ 0 + p * q + g + C(k):p")
+    out, names = made.apply(df)
+    assert names == ["p", "q", "p:q", "g[b]", "k[2]:p"]
+    assert [tuple(r)[4:] for r in out.collect()] == [(1, 2, 2, 0, 0), (2, 3, 6, 1, 2), (3, 5, 15, 0, 0)]
+    new, _ = made.apply(spark.createDataFrame([(1.0, 1.0, "unseen", 9)], df.schema))
+    assert tuple(new.first())[4:] == (1, 1, 1, 0, 0)
+    for bad in ("p + nothing", "p + f(q)", "p * q * g"):
+        with pytest.raises(ValueError):
+            design.design(df, bad)
+
+
+def test_curved_paths_and_units(spark):
+    rng = random.Random(2)
+    rows = [(k, float(t), 50 * math.exp(-3 * math.exp(-0.4 * t)) + rng.gauss(0, 0.01), 1.0) for k in range(3) for t in range(15)] + [(9, 1.0, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "unit int, t double, y double, z double")
+    for r in degradation.fit_curved_paths(df, "unit", "t", "y", "gompertz").collect():
+        assert r.params is None if r.unit == 9 else r.params == pytest.approx([50, 3, 0.4], rel=1e-2)
+    assert degradation.unit_covariates(df, "unit", ["z"]).count() == 4
+    with pytest.raises(ValueError, match="change within a unit: y"):
+        degradation.unit_covariates(df, "unit", ["z", "y"])
+    share = degradation.destructive_failure(df, "t", 2.0, -0.1, 0.5, 5.0).agg(F.min("ff"), F.max("ff")).first()
+    assert 0 < share[0] < share[1] < 1
+
+
+def test_fits_refuse_what_the_driver_cannot_hold(spark, monkeypatch):
+    monkeypatch.setattr(fit, "LOCAL_ROWS", 10)
+    with pytest.raises(ValueError, match="at most 10 distinct rows"):
+        fit.fit_mixture(observations.observations(datasets.bearings(spark), x="x"))

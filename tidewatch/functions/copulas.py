@@ -98,3 +98,53 @@ def fit_copula(df: DataFrame, copula: str, low: float, high: float, rounds: int
         k = int(np.argmax(values))
         low, high = float(points[max(0, k - 1)]), float(points[min(grid - 1, k + 1)])
     return (low + high) / 2
+
+
+def sample(rows: DataFrame, copula: str, theta: float, u: str = "u", w: str = "w", steps: int = 60) -> DataFrame:
+    """The rows with v, so that (u, v) has the copula if u and w are independent uniforms: bisection of P(V <= v | u) = w."""
+    given = COPULAS[copula].given_u
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        low = given(F.col(u), mid, theta) < F.col(w)
+        return F.struct(F.when(low, mid).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(mid).alias("hi"))
+
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
+    return rows.withColumn("v", (state["lo"] + state["hi"]) / 2)
+
+
+def gaussian_density(u: Column, v: Column, rho: float) -> Column:
+    """Density of the Gaussian copula."""
+    from tidewatch.functions.distributions import DISTRIBUTIONS
+
+    a, b = (DISTRIBUTIONS["normal"].qf(p, 0.0, 1.0) for p in (u, v))
+    return F.exp(-(rho * rho * (a * a + b * b) - 2 * rho * a * b) / (2 * (1 - rho * rho))) / math.sqrt(1 - rho * rho)
+
+
+#: Gauss-Legendre nodes and weights on (0, 1).
+_NODES = tuple((float((x + 1) / 2), float(w / 2)) for x, w in zip(*np.polynomial.legendre.leggauss(24)))
+
+
+def gaussian_probability(u: Column, v: Column, rho: float) -> Column:
+    """P(U <= u, V <= v) of the Gaussian copula: uv plus the integral of the bivariate density over the correlation."""
+    from tidewatch.functions.distributions import DISTRIBUTIONS
+
+    a, b = (DISTRIBUTIONS["normal"].qf(p, 0.0, 1.0) for p in (u, v))
+    grown = sum((F.exp(-(a * a - 2 * a * b * (rho * t) + b * b) / (2 * (1 - (rho * t) ** 2))) * (w * rho / (2 * math.pi * math.sqrt(1 - (rho * t) ** 2))) for t, w in _NODES), F.lit(0.0))
+    return u * v + grown
+
+
+def spearman_rho(copula: str, theta: float, nodes: int = 64) -> float:
+    """Spearman's rho, 12 times the integral of C(u, v) less 3, on a Gauss-Legendre grid; Clayton, Frank and independence."""
+    x, w = np.polynomial.legendre.leggauss(nodes)
+    u, w = (x + 1) / 2, w / 2
+    a, b = np.meshgrid(u, u)
+    c = {"clayton": lambda: (a**-theta + b**-theta - 1) ** (-1 / theta), "frank": lambda: -np.log1p(np.expm1(-theta * a) * np.expm1(-theta * b) / np.expm1(-theta)) / theta,
+         "gumbel": lambda: np.exp(-(((-np.log(a)) ** theta + (-np.log(b)) ** theta) ** (1 / theta))), "independence": lambda: a * b}[copula]()
+    return float(12 * (w[:, None] * w[None, :] * c).sum() - 3)
+
+
+def tail_dependence(copula: str, theta: float) -> tuple[float, float]:
+    """(lower, upper) tail dependence."""
+    return {"clayton": (2 ** (-1 / theta) if theta > 0 else 0.0, 0.0), "gumbel": (0.0, 2 - 2 ** (1 / theta)), "frank": (0.0, 0.0), "independence": (0.0, 0.0)}[copula]

@@ -21,6 +21,14 @@ from tidewatch.operators.risk import simple_risk_table
 LOCAL_ROWS = 200_000
 
 
+def _local(rows: DataFrame):
+    """Distinct rows on the driver, up to LOCAL_ROWS; ValueError where there are more."""
+    found = rows.limit(LOCAL_ROWS + 1).toPandas()
+    if len(found) > LOCAL_ROWS:
+        raise ValueError(f"this fit takes at most {LOCAL_ROWS} distinct rows; round the times first")
+    return found
+
+
 @dataclass
 class Family:
     """A family for fitting: log survival and log density in numpy, start values, and which parameters are positive."""
@@ -256,7 +264,7 @@ def moments(obs: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
 def fit_defective(obs: DataFrame, family: str = "weibull") -> Fit:
     """A family where only a share p ever fails (rows with flags 0 and 1): survival 1 - p + p S."""
     spec = FAMILIES[family]
-    pdf = compress(obs).toPandas()
+    pdf = _local(compress(obs))
     x, c, n = (pdf[k].to_numpy(float) for k in ("x", "c", "n"))
     dead = c == 0
 
@@ -280,7 +288,7 @@ def fit_mixture(obs: DataFrame, components: int = 2, steps: int = 200, tol: floa
 
     Each M-step solves the weighted shape equation of every component by Newton's method.
     """
-    pdf = compress(obs).toPandas().sort_values("x")
+    pdf = _local(compress(obs)).sort_values("x")
     x, c, n = (pdf[k].to_numpy(float) for k in ("x", "c", "n"))
     dead, spec = c == 0, FAMILIES["weibull"]
     part = np.minimum((np.cumsum(n) / n.sum() * components).astype(int), components - 1)
@@ -314,7 +322,7 @@ def fit_mixture(obs: DataFrame, components: int = 2, steps: int = 200, tol: floa
 def fit_spacings(obs: DataFrame, family: str = "weibull") -> dict[str, float]:
     """Maximum product of spacings for complete rows; ties count by density."""
     spec = FAMILIES[family]
-    pdf = compress(obs.filter("c = 0")).toPandas().groupby("x", as_index=False)["n"].sum().sort_values("x")
+    pdf = _local(compress(obs.filter("c = 0"))).groupby("x", as_index=False)["n"].sum().sort_values("x")
     x, n = pdf["x"].to_numpy(float), pdf["n"].to_numpy(float)
     pos = np.array(spec.positive)
 
@@ -333,7 +341,7 @@ def fit_spacings(obs: DataFrame, family: str = "weibull") -> dict[str, float]:
 def fit_curve(curve: DataFrame, family: str = "weibull", sf: str = "fh") -> dict[str, float]:
     """Least squares of a family's failure probability against an estimated curve."""
     spec = FAMILIES[family]
-    pdf = curve.filter("d > 0").select("x", sf).toPandas()
+    pdf = _local(curve.filter("d > 0").select("x", sf))
     x, s = pdf["x"].to_numpy(float), pdf[sf].to_numpy(float)
     pos = np.array(spec.positive)
 
@@ -355,3 +363,28 @@ def fit_moments(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return m.select(*by, F.col("m1").alias("normal_mu"), sd.alias("normal_sigma"), (1 / F.col("m1")).alias("exponential_rate"), F.try_divide(F.col("m1") * F.col("m1"), var).alias("gamma_alpha"),
                     F.try_divide(F.col("m1"), var).alias("gamma_beta"), (sd * math.sqrt(6) / math.pi).alias("gumbel_sigma"), (F.col("m1") + 0.5772156649015329 * sd * math.sqrt(6) / math.pi).alias("gumbel_mu"),
                     (F.col("m1") - math.sqrt(3) * sd).alias("uniform_a"), (F.col("m1") + math.sqrt(3) * sd).alias("uniform_b"))
+
+
+def life_model(fit: Fit):
+    """A fit as a model of columns."""
+    from tidewatch.functions.models import LifeModel
+
+    return LifeModel(fit.family, list(fit.params.values()), fit.covariance.tolist(), p=fit.extra.get("p", 1.0))
+
+
+def fit_latent(df: DataFrame, x: str, cause: str, family: str = "weibull", n: str | None = None) -> dict[str, Fit]:
+    """A family for each cause of independent competing risks: other causes count as censored there."""
+    from tidewatch.operators.observations import observations
+
+    causes = [r[0] for r in df.select(cause).filter(F.col(cause).isNotNull()).distinct().orderBy(cause).collect()]  # a handful by nature
+    out = {}
+    for k in causes:
+        own = observations(df.withColumn("__c", F.when(F.col(cause) == k, 0).otherwise(1)), x=x, c="__c", n=n)
+        out[k] = fit_mle(own, family)
+    return out
+
+
+def survival_probability(rows: DataFrame, model, times: list[float], *arguments: str) -> DataFrame:
+    """The rows, once for each time t, with sf: a model's survival at t (model.sf takes a column)."""
+    grid = F.explode(F.array(*[F.lit(float(t)) for t in times]))
+    return rows.withColumn("t", grid).withColumn("sf", model.sf(F.col("t"), *map(F.col, arguments)))

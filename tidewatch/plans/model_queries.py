@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewatch.functions import models
+from tidewatch.functions import copulas, models
 from tidewatch.functions.intensities import Intensity
-from tidewatch.operators import curves, observations, recurrent
-from tidewatch.plans import cox, regression, schedules, tree
-from tidewatch.plans.queries import _CURVE, _EV, _OBS, _RISK, _causes, _curve, _obs, _query, _read, _rec, shipments
+from tidewatch.operators import curves, degradation, observations, recurrent
+from tidewatch.plans import cox, design, fit, regression, renewal, schedules, tree
+from tidewatch.plans.queries import _CURVE, _DEG, _EV, _OBS, _RISK, _causes, _curve, _obs, _paths, _query, _read, _rec, shipments
 
 _TIES = f"""{_OBS}, o AS (SELECT x, c, q, EXP(0.01 * q) AS w FROM obs),
 k AS (SELECT x, SUM(w) AS s0, SUM(w * q) AS s1, SUM(w * q * q) AS s2, COUNT(*) FILTER (WHERE c = 0) AS d, SUM(CASE WHEN c = 0 THEN w ELSE 0 END) AS t0, SUM(CASE WHEN c = 0 THEN w * q ELSE 0 END) AS t1,
@@ -227,3 +227,83 @@ def observation_types(spark, sf_dir):
     return out
 
 
+
+
+# --- degradation, copulas, designs: paths are made from known parameters where a fit must give these back ---------
+
+_KNOWN = "SELECT p_partkey, 1::DOUBLE + p_size AS a, 0.02::DOUBLE + (p_partkey % 7) / 100::DOUBLE AS b FROM part WHERE p_partkey <= 40"
+
+
+def _known_paths(spark, sf_dir, f):
+    own = _read(spark, sf_dir, "part").filter("p_partkey <= 40").select("p_partkey", (1.0 + F.col("p_size")).alias("a"), (0.02 + (F.col("p_partkey") % 7) / 100.0).alias("b"))
+    return own.withColumn("t", F.explode(F.expr("transform(sequence(1, 12), k -> cast(k as double))"))).withColumn("y", f(F.col("t"), F.col("a"), F.col("b")))
+
+
+@_query(f"SELECT p_partkey AS unit, ROUND(a, 4) AS exp_a, ROUND(b, 4) AS exp_b, ROUND(a, 3) AS mm_a, ROUND(100 * b, 3) AS mm_b FROM ({_KNOWN})")
+def curved_paths(spark, sf_dir):
+    one = degradation.fit_curved_paths(_known_paths(spark, sf_dir, lambda t, a, b: a * F.exp(b * t)), "p_partkey", "t", "y", "exponential")
+    two = degradation.fit_curved_paths(_known_paths(spark, sf_dir, lambda t, a, b: a * t / (100 * b + t)), "p_partkey", "t", "y", "michaelis-menten")
+    part = lambda df, a, b, d: df.select("unit", F.round(F.col("params")[0], d).alias(a), F.round(F.col("params")[1], d).alias(b))
+    return part(one, "exp_a", "exp_b", 4).join(part(two, "mm_a", "mm_b", 3), "unit")
+
+
+@_query(f"""WITH {_DEG}, f AS (SELECT i AS unit, MAX(x) AS now, REGR_INTERCEPT(y, x) AS a, REGR_SLOPE(y, x) AS b FROM y GROUP BY i HAVING COUNT(DISTINCT x) > 1)
+SELECT unit, ROUND(now, 4) AS now, ROUND(GREATEST(0, (5000 - a) / b - now), 1) AS remaining FROM f WHERE b <> 0""")
+def remaining_life(spark, sf_dir):
+    out = degradation.remaining_life(_paths(spark, sf_dir), "user_id", "x", "y", 5000.0).filter("x is not null")
+    return out.select("unit", F.round("now", 4).alias("now"), F.round("remaining", 1).alias("remaining"))
+
+
+@_query("""WITH p AS (SELECT LN(p_retailprice) AS v, SQRT(p_size) AS t FROM part), s AS (SELECT CAST(COUNT(*) AS DOUBLE) AS m, REGR_INTERCEPT(v, t) AS a, REGR_SLOPE(v, t) AS b, SUM(v) AS sv FROM p),
+r AS (SELECT SUM((v - a - b * t) * (v - a - b * t)) / MAX(m) AS q FROM p, s) SELECT ROUND(a, 6) AS intercept, ROUND(b, 6) AS slope, ROUND(SQRT(q), 6) AS sigma, ROUND(m * (LN(2 * PI() * q) + 1) + 2 * sv + 6 + 24 / (m - 4), 2) AS aic_c FROM s, r""")
+def destructive_degradation(spark, sf_dir):
+    out = degradation.destructive_fit(_read(spark, sf_dir, "part"), "p_size", "p_retailprice", "sqrt")
+    return out.select(F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"), F.round("sigma", 6).alias("sigma"), F.round("aic_c", 2).alias("aic_c"))
+
+
+_PATH_FIT = "y AS (SELECT i, x, SUM(value) OVER (PARTITION BY i ORDER BY x, value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM ev)"
+
+
+@_query(f"""WITH {_EV}, {_PATH_FIT}, m AS (SELECT i, 'linear' AS path, x AS z, v FROM y UNION ALL SELECT i, 'square-root', SQRT(x), v FROM y),
+f AS (SELECT path, i, REGR_INTERCEPT(v, z) AS a, REGR_SLOPE(v, z) AS b FROM m GROUP BY 1, 2), s AS (SELECT m.path, CAST(COUNT(*) AS DOUBLE) AS m, SUM(POW(v - a - COALESCE(b, 0) * z, 2)) AS s, 2 * COUNT(DISTINCT m.i) + 1 AS k FROM m JOIN f ON m.path = f.path AND m.i = f.i GROUP BY 1)
+SELECT path, m, ROUND(m * LN(s / m) + 2 * k + 2.0 * k * (k + 1) / GREATEST(m - k - 1, 1e-9), 2) AS aic_c FROM s""")
+def path_choice(spark, sf_dir):
+    return degradation.choose_path(_paths(spark, sf_dir), "user_id", "x", "y", ("linear", "square-root")).select("path", "m", F.round("aic_c", 2).alias("aic_c"))
+
+
+@_query("""WITH p AS (SELECT p_partkey, (p_size + 0.5) / 52.0::DOUBLE AS u, (p_partkey % 97 + 1) / 99.0::DOUBLE AS w FROM part)
+SELECT p_partkey, ROUND(POW(POW(u, -2) * (POW(w, -2.0 / 3) - 1) + 1, -0.5), 7) AS v FROM p""")
+def copula_sample(spark, sf_dir):
+    """Clayton, whose conditional probability has a closed inverse."""
+    own = _read(spark, sf_dir, "part").select("p_partkey", ((F.col("p_size") + 0.5) / 52.0).alias("u"), ((F.col("p_partkey") % 97 + 1) / 99.0).alias("w"))
+    return copulas.sample(own, "clayton", 2.0).select("p_partkey", F.round("v", 7).alias("v"))
+
+
+@_query(f"""WITH {_OBS} SELECT g, prio, ROUND(SUM(q), 3) AS q, CAST(SUM(CASE WHEN g = 'N' THEN 1 ELSE 0 END) AS DOUBLE) AS n, ROUND(SUM(CASE WHEN g = 'R' THEN q ELSE 0 END), 3) AS rq FROM obs GROUP BY g, prio""")
+def formula_design(spark, sf_dir):
+    own = shipments(spark, sf_dir)
+    made, names = design.design(own, "q + g + g:q").apply(own)
+    z = {n: f"z{k}" for k, n in enumerate(names)}
+    return made.groupBy("g", "prio").agg(F.round(F.sum(z["q"]), 3).alias("q"), F.sum(z["g[N]"]).alias("n"), F.round(F.sum(z["g[R]:q"]), 3).alias("rq"))
+
+
+@_query(f"""WITH {_OBS}, k AS (SELECT UNNEST(['1-URGENT', '5-LOW']) AS cause) SELECT cause, ROUND(SUM(CASE WHEN c = 0 AND prio = cause THEN 1 ELSE 0 END) / SUM(x), 9) AS rate FROM obs, k WHERE x > 0 GROUP BY cause""")
+def latent_causes(spark, sf_dir):
+    """Exponential lives of two of the causes: the maximum likelihood is events over time."""
+    own = _causes(spark, sf_dir).filter("x > 0").withColumn("cause", F.when(F.col("cause").isin("1-URGENT", "5-LOW"), F.col("cause")))
+    fits = fit.fit_latent(own, "x", "cause", "exponential")
+    return spark.createDataFrame([(k, round(m.params["rate"], 9)) for k, m in fits.items()], "cause string, rate double")
+
+
+@_query(f"""WITH {_EV}, s AS (SELECT SUM(t) AS t FROM (SELECT MAX(x) AS t FROM ev GROUP BY i)) SELECT e, ROUND(LN(COUNT(*) / ANY_VALUE(t)), 4) AS log_rate FROM ev, s WHERE x > 0 GROUP BY e""")
+def intensities_by_cause(spark, sf_dir):
+    """Homogeneous intensities of each mark: events over all items' time."""
+    fits = renewal.fit_intensity_by_cause(_rec(spark, sf_dir), "homogeneous")
+    return spark.createDataFrame([(k, round(m["p0"], 4)) for k, m in fits.items()], "e string, log_rate double")
+
+
+@_query("""WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, UNNEST([5.0::DOUBLE, 20.0::DOUBLE]) AS t FROM part) SELECT p_partkey, t, ROUND(EXP(-EXP(0.02 * (p_partkey % 50)) * POW(t / 20, 1.5)), 8) AS sf FROM p""")
+def survival_at_times(spark, sf_dir):
+    model = models.RegressionModel("ph", "weibull", [20.0, 1.5], ["z"], [0.02])
+    rows = _read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 50).alias("z"))
+    return fit.survival_probability(rows, model, [5.0, 20.0]).select("p_partkey", "t", F.round("sf", 8).alias("sf"))

@@ -92,3 +92,28 @@ def load_model(spark: SparkSession, path: str, name: str) -> tuple[str, dict]:
     if row.version > SCHEMA_VERSION:
         raise ValueError(f"model of version {row.version}; this engine reads up to {SCHEMA_VERSION}")
     return row.kind, json.loads(row.payload)
+
+
+def save_curve(curve: DataFrame, path: str) -> None:
+    """A curve with all its columns, as a table."""
+    curve.write.parquet(path)
+
+
+def load_curve(spark: SparkSession, path: str) -> DataFrame:
+    """A curve that save_curve wrote; ValueError if it isn't one."""
+    found = spark.read.parquet(path)
+    if not {"x", "r", "d"} <= set(found.columns) and not {"x", "km"} <= set(found.columns):
+        raise ValueError(f"no curve at {path}")
+    return found
+
+
+def save_life_model(spark: SparkSession, path: str, name: str, model) -> None:
+    """Add a model (functions.models) to the catalogue at `path`."""
+    save_model(spark, path, name, type(model).__name__, json.loads(model.to_json()))
+
+
+def load_life_model(spark: SparkSession, path: str, name: str):
+    """A model that save_life_model wrote, ready to use."""
+    from tidewatch.functions.models import from_json
+
+    return from_json(json.dumps(load_model(spark, path, name)[1]))
