@@ -122,6 +122,9 @@ class Scratch:
             files = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
             df = df.coalesce(files)
         df.write.parquet(path)
+        if self._n == 1:  # what isn't dropped before goes when the driver ends
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         self._held[path] = out

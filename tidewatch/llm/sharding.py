@@ -20,7 +20,7 @@ from tidewatch.llm.common import Scratch, text_or_empty
 KEY_BITS = 12
 #: Groups over 1/HEAVY of all bytes (fewer than HEAVY) are dealt one by one, largest first.
 HEAVY = 4096
-#: Parts in which the places inside a shard are numbered.
+#: Parts in which the places inside a shard are numbered, or as many as there are shuffle partitions.
 SLOT_PARTS = 256
 
 
@@ -51,7 +51,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, text: str = "text", doc_
     """Every document's shard of near equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size: UTF-8 bytes of the text plus 1 (null: 1). A null text has the checksum of the empty text and shares
-    its group. slot: gapless from 0 in each shard. Equal texts, in any number, share a shard, so one text with
+    its group. slot: gapless from 0 in each shard, in no order of ids. Equal texts, in any number, share a shard, so one text with
     over 1/n_shards of all bytes makes its shard as large as itself. Repeated rows count each for itself. An
     empty table gives an empty result. Other columns of the input are not read.
     """
@@ -64,6 +64,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, text: str = "text", doc_
         (F.octet_length(t) + 1).cast("long").alias("size"),
         crc.alias("text_crc32"),
         F.concat(F.lpad(F.lower(F.hex(crc)), 8, "0"), F.md5(F.encode(t, "utf-8"))).alias("key"),
+        F.monotonically_increasing_id().alias("row"),  # written, so that it stays
     ), "keys", shuffled=False)
     groups = keyed.groupBy("key").agg(F.sum("size").alias("bytes"))
     total = keyed.agg(F.sum("size")).first()[0] or 0
@@ -83,10 +84,11 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, text: str = "text", doc_
         out = keyed.join(F.broadcast(names), "key", "left").withColumn("shard", F.coalesce("heavy_shard", shard))
     else:
         out = keyed.withColumn("shard", shard)
-    out = out.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_PARTS)).cast("int"))
-    sizes = out.groupBy("shard", "part").agg(F.count("*").alias("n"))  # n_shards x SLOT_PARTS rows at most
+    parts = max(SLOT_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = out.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))  # even, whatever ids or texts repeat
+    sizes = out.groupBy("shard", "part").agg(F.count("*").alias("n"))  # n_shards x parts rows at most
     first = sizes.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("first"))
-    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "key"))
+    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row"))
     return out.join(F.broadcast(first), ["shard", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("first") + place - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
