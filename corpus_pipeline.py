@@ -18,7 +18,8 @@ from tidewatch.llm.common import Scratch, table
 
 #: Ids of dropped documents are told to all tasks up to this number (8 bytes each); beyond, by a join.
 BROADCAST_IDS = 1_000_000
-PII_KEY = "tidewatch-public-test-key"
+#: The setting that names the key of the pseudonyms, and the key of tests.
+PII_SETTING, PII_KEY = "spark.tidewatch.pii.key", "tidewatch-public-test-key"
 
 
 def _without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -68,7 +69,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data."""
-    return pii.pseudonymize(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return pii.pseudonymize(docs, spark.conf.get(PII_SETTING, PII_KEY)).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
