@@ -45,8 +45,11 @@ def fit_renewal(events: DataFrame, kind: str = "kijima-1", baseline: str = "expo
     size, H, h = BASELINES[baseline]
     w = Window.partitionBy(*by, "i").orderBy("x", "c")
     rows = interarrival(events, by).withColumn("k", (F.row_number().over(w) - 1).cast("double"))
-    rows = rows.withColumn("before", F.coalesce(F.collect_list("gap").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.array().cast("array<double>")) if kind == "kijima-2" else F.array().cast("array<double>"))
-    rows = rows.filter("gap > 0 or c = 1").select("gap", "previous", "k", "c", "before")
+    mean = rows.agg(F.avg("gap")).first()[0]
+    if kind == "kijima-2":  # a row per item: its history goes through the recurrence of ages once
+        rows = rows.groupBy(*by, "i").agg(F.array_sort(F.collect_list(F.struct("k", "gap", "c"))).alias("history")).select("history")
+    else:
+        rows = rows.filter("gap > 0 or c = 1").select("gap", "previous", "k", "c")
 
     def nll(*p: Column) -> Column:
         base, q = p[:size], p[size]
@@ -54,11 +57,19 @@ def fit_renewal(events: DataFrame, kind: str = "kijima-1", baseline: str = "expo
             ratio = F.pow(1 + q, F.col("k"))
             gap = F.col("gap") / ratio
             return H(gap, *base) - F.when(F.col("c") == 0, h(gap, *base) - F.ln(ratio)).otherwise(0.0)
-        age = q * F.col("previous") if kind == "kijima-1" else F.aggregate("before", F.lit(0.0), lambda v, g: q * (v + g))
-        age = F.greatest(age, F.lit(0.0))
-        return H(F.col("gap") + age, *base) - H(age, *base) - F.when(F.col("c") == 0, h(F.col("gap") + age, *base)).otherwise(0.0)
+        def loss(gap: Column, age: Column, c: Column) -> Column:
+            return H(gap + age, *base) - H(age, *base) - F.when(c == 0, h(gap + age, *base)).otherwise(0.0)
+
+        if kind == "kijima-1":
+            return loss(F.col("gap"), F.greatest(q * F.col("previous"), F.lit(0.0)), F.col("c"))
+
+        def step(s: Column, r: Column) -> Column:
+            age = F.greatest(s["age"], F.lit(0.0))
+            used = (r["gap"] > 0) | (r["c"] == 1)
+            return F.struct((q * (s["age"] + r["gap"])).alias("age"), (s["loss"] + F.when(used, loss(r["gap"], age, r["c"])).otherwise(0.0)).alias("loss"))
+
+        return F.aggregate("history", F.struct(F.lit(0.0).alias("age"), F.lit(0.0).alias("loss")), step)["loss"]
 
-    mean = rows.agg(F.avg("gap")).first()[0]
     best, value = _minimise(rows, nll, [np.log(mean)] + [0.0] * (size - 1) + [0.1])
     names = [f"log_{n}" for n in ("scale", "shape")[:size]] + ["q"]
     return dict(zip(names, map(float, best))) | {"neg_ll": value}
