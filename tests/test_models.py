@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import copulas, intensities, models
 from tidewatch.operators import competing, curves, degradation, metrics, observations, recurrent, risk
-from tidewatch.plans import cox, design, fit, regression, renewal, schedules, tree
+from tidewatch.plans import accelerated, cox, design, fit, regression, renewal, schedules, tree
 from tidewatch.sources import datasets
 
 
@@ -267,3 +267,20 @@ def test_fits_refuse_what_the_driver_cannot_hold(spark, monkeypatch):
     monkeypatch.setattr(fit, "LOCAL_ROWS", 10)
     with pytest.raises(ValueError, match="at most 10 distinct rows"):
         fit.fit_mixture(observations.observations(datasets.bearings(spark), x="x"))
+
+
+def test_accelerated_life(spark):
+    """Known parameters come back; hazards are derivatives."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(6000):
+        z, w = rng.choice([1.0, 2.0, 4.0]), rng.choice([300.0, 350.0])
+        t = 5 * z**-1.5 * math.exp(900 / w) * rng.weibullvariate(1, 2.5)
+        rows.append((min(t, 40.0), int(t > 40), w, z))
+    df = spark.createDataFrame(rows, "x double, c int, w double, z double")
+    m = accelerated.fit_accelerated(df, "x", "c", ["w", "z"], "power-exponential", "weibull")
+    assert m.params["a"] == pytest.approx(900, rel=0.06) and m.params["n"] == pytest.approx(-1.5, rel=0.03) and m.shape == pytest.approx(2.5, rel=0.05)
+    row = df.limit(1).select(m.hf(F.lit(3.0)).alias("h"), ((m.Hf(F.lit(3.0 + 1e-5)) - m.Hf(F.lit(3.0 - 1e-5))) / 2e-5).alias("d")).first()
+    assert row.h == pytest.approx(row.d, rel=1e-6) and (np.diag(m.covariance) > 0).all()
+    with pytest.raises(ValueError, match="takes 2 stresses"):
+        accelerated.fit_accelerated(df, "x", "c", ["w"], "dual-power")

@@ -251,3 +251,11 @@ def filliben_positions(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     n, edge = F.col("__n"), F.pow(F.lit(0.5), 1 / F.col("__n"))
     f = F.when(F.col("__last").isNull(), edge).when(F.col("__first").isNull(), 1 - edge).otherwise((F.col("rank") - 0.3175) / (n + 0.365))
     return own.withColumn("f", f).drop("__first", "__last", "__n")
+
+
+def mean_life(curve: DataFrame, sf: str = "km", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, mean): the area under a curve up to its last time."""
+    own = running(curve, by, "x", {"__next": latest(F.col("x"), before=True)}, descending=True)
+    own = running(own, by, "x", {"__before": latest(F.col("x"), before=True)})
+    area = F.when(F.col("__before").isNull(), F.col("x")).otherwise(0.0) + F.col(sf) * (F.coalesce("__next", F.col("x")) - F.col("x"))
+    return own.groupBy(*by).agg(F.sum(area).alias("mean"))

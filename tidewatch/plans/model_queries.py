@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from tidewatch.functions import copulas, models
 from tidewatch.functions.intensities import Intensity
 from tidewatch.operators import curves, degradation, observations, recurrent
-from tidewatch.plans import cox, design, fit, regression, renewal, schedules, tree
+from tidewatch.plans import accelerated, cox, design, fit, regression, renewal, schedules, tree
 from tidewatch.plans.queries import _CURVE, _DEG, _EV, _OBS, _RISK, _causes, _curve, _obs, _paths, _query, _read, _rec, shipments
 
 _TIES = f"""{_OBS}, o AS (SELECT x, c, q, EXP(0.01 * q) AS w FROM obs),
@@ -307,3 +309,65 @@ def survival_at_times(spark, sf_dir):
     model = models.RegressionModel("ph", "weibull", [20.0, 1.5], ["z"], [0.02])
     rows = _read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 50).alias("z"))
     return fit.survival_probability(rows, model, [5.0, 20.0]).select("p_partkey", "t", F.round("sf", 8).alias("sf"))
+
+
+@_query(f"""WITH {_OBS}, s AS (SELECT CASE WHEN q <= 25 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS z, SUM(x) / SUM(1 - c) AS life FROM obs WHERE x > 0 GROUP BY 1),
+p AS (SELECT MAX(life) FILTER (WHERE z = 1) AS l1, MAX(life) FILTER (WHERE z = 2) AS l2 FROM s)
+SELECT relation, ROUND(LN(l1), 4) AS life_1, ROUND(LN(l2), 4) AS life_2 FROM p, (SELECT UNNEST(['power', 'eyring']) AS relation)""")
+def accelerated_life(spark, sf_dir):
+    """With two stresses, any relation of two parameters fits both groups' lives: time over events."""
+    own = shipments(spark, sf_dir).withColumn("z", F.when(F.col("q") <= 25, 1.0).otherwise(2.0))
+    out = []
+    for k in ("power", "eyring"):
+        m = accelerated.fit_accelerated(own, "x", "c", ["z"], k, "exponential")
+        lives = spark.createDataFrame([(1.0,), (2.0,)], "z double").select(m.life().alias("l")).collect()
+        out.append((k, round(math.log(lives[0].l), 4), round(math.log(lives[1].l), 4)))
+    return spark.createDataFrame(out, "relation string, life_1 double, life_2 double")
+
+
+@_query(f"WITH {_CURVE}, s AS (SELECT g, x, km, LEAD(x, 1, x) OVER (PARTITION BY g ORDER BY x) AS nx, ROW_NUMBER() OVER (PARTITION BY g ORDER BY x) AS k FROM curve) SELECT g, ROUND(SUM(km * (nx - x)) + SUM(CASE WHEN k = 1 THEN x ELSE 0 END), 5) AS mean FROM s GROUP BY g")
+def mean_life(spark, sf_dir):
+    return curves.mean_life(_curve(spark, sf_dir), by=("g",)).select("g", F.round("mean", 5).alias("mean"))
+
+
+# --- fits whose Newton steps SQL can spell out --------------------------------------------------------------------
+
+def _newton(first: str, step: str, rounds: int, start: str = "0.0::DOUBLE") -> str:
+    """CTEs b0 .. bN of one row and column b: step is SQL for the next value, with {b} for the table of the last one."""
+    out = [first, f"b0 AS (SELECT {start} AS b)"]
+    for k in range(rounds):
+        out.append(f"b{k + 1} AS ({step.replace('{b}', f'b{k}')})")
+    return ", ".join(out)
+
+
+_COX_STEP = """SELECT ANY_VALUE(b) + SUM(dq - d * r1 / r0) / SUM(d * (r2 / r0 - r1 / r0 * r1 / r0)) AS b FROM (
+ SELECT b, d, dq, SUM(s0) OVER w AS r0, SUM(s1) OVER w AS r1, SUM(s2) OVER w AS r2 FROM (
+  SELECT g, x, b, SUM(1 - c) AS d, SUM((1 - c) * q) AS dq, SUM(EXP(b * q)) AS s0, SUM(q * EXP(b * q)) AS s1, SUM(q * q * EXP(b * q)) AS s2 FROM obs, {b} GROUP BY g, x, b)
+ WINDOW w AS (PARTITION BY g ORDER BY x DESC)) WHERE d > 0"""
+
+
+@_query(f"WITH {_newton(_OBS, _COX_STEP, 6)} SELECT ROUND(b, 7) AS beta FROM b6")
+def cox_coefficient(spark, sf_dir):
+    m = regression.fit_cox(shipments(spark, sf_dir), "x", "c", ["q"], strata=("g",))
+    return spark.createDataFrame([(round(float(m.beta[0]), 7),)], "beta double")
+
+
+_WEIBULL_STEP = """SELECT b - (1 / b + ld / d - s1 / s0) / (-1 / (b * b) - (s2 / s0 - s1 / s0 * s1 / s0)) AS b FROM (
+ SELECT ANY_VALUE(b) AS b, SUM(1 - c) AS d, SUM((1 - c) * LN(x)) AS ld, SUM(POW(x, b)) AS s0, SUM(POW(x, b) * LN(x)) AS s1, SUM(POW(x, b) * LN(x) * LN(x)) AS s2 FROM obs, {b} WHERE x > 0)"""
+
+
+@_query(f"WITH {_newton(_OBS, _WEIBULL_STEP, 12, '1.0::DOUBLE')} SELECT ROUND(b, 5) AS beta, ROUND(LN(POW(SUM(POW(x, b)) / SUM(1 - c), 1 / b)), 5) AS log_alpha FROM obs, b12 WHERE x > 0 GROUP BY b")
+def weibull_likelihood(spark, sf_dir):
+    m = fit.fit_mle(observations.observations(shipments(spark, sf_dir).filter("x > 0"), x="x", c="c"), "weibull")
+    return spark.createDataFrame([(round(m.params["beta"], 5), round(math.log(m.params["alpha"]), 5))], "beta double, log_alpha double")
+
+
+_PH_STEP = """SELECT b + (dq - d * s1 / s0) / (d * (s2 / s0 - s1 / s0 * s1 / s0)) AS b FROM (SELECT ANY_VALUE(b) AS b, SUM(1 - c) AS d, SUM((1 - c) * q / 50) AS dq, SUM(x * EXP(b * q / 50)) AS s0,
+ SUM(x * q / 50 * EXP(b * q / 50)) AS s1, SUM(x * q * q / 2500 * EXP(b * q / 50)) AS s2 FROM obs, {b} WHERE x > 0)"""
+
+
+@_query(f"WITH {_newton(_OBS, _PH_STEP, 6)} SELECT ROUND(b, 4) AS beta, ROUND(LN(SUM(x * EXP(b * q / 50)) / SUM(1 - c)), 4) AS log_scale FROM obs, b6 WHERE x > 0 GROUP BY b")
+def exponential_regression(spark, sf_dir):
+    own = shipments(spark, sf_dir).filter("x > 0").withColumn("z", F.col("q") / 50)
+    m = regression.fit_parametric(own, "x", "c", ["z"], "ph", "exponential")
+    return spark.createDataFrame([(round(m["z"], 4), round(m["log_scale"], 4))], "beta double, log_scale double")

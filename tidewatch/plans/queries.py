@@ -399,7 +399,14 @@ def distribution_quantiles(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", *[F.round(DISTRIBUTIONS[k].qf(p, *a), 6).alias(k) for k, a in args.items()])
 
 
-@_query()
+def _phi(z: str) -> str:
+    """SQL for the normal distribution function: Simpson's rule over its density."""
+    return f"(0.5 + ({z}) / 600 * list_sum(list_transform(range(0, 201), lambda i: (CASE WHEN i = 0 OR i = 200 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * EXP(-POW(({z}) * i / 200, 2) / 2) / SQRT(2 * PI()))))"
+
+
+@_query(f"""WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x FROM part)
+SELECT p_partkey, ROUND(1 - {_phi("(x - 20) / 5")}, 6) AS normal, ROUND(1 - {_phi("(LN(x) - 3) / 0.5")}, 6) AS lognormal, ROUND(EXP(-0.1 * x) * (1 + 0.1 * x), 6) AS gamma,
+ROUND(1 - x / 51 * x / 51 * (6 - 8 * x / 51 + 3 * x / 51 * x / 51), 6) AS beta FROM p""")
 def distribution_kernels(spark, sf_dir):
     x = F.col("p_size").cast("double")
     args = {"normal": (20.0, 5.0), "lognormal": (3.0, 0.5), "gamma": (2.0, 0.1)}
@@ -665,7 +672,11 @@ def integrated_brier_score(spark, sf_dir):
     return metrics.integrated_brier_score(metrics.brier_score(own, "x", "c", {30.0: "s30", 60.0: "s60", 90.0: "s90"})).select(F.round("ibs", 7).alias("ibs"))
 
 
-@_query()
+@_query("""WITH p AS (SELECT p_partkey, p_size AS k, CAST(p_size AS DOUBLE) AS x FROM part), s AS (SELECT p_partkey, x,
+ list_sum(list_transform(range(0, k + 1), lambda j: EXP(-20 + j * LN(20) - LGAMMA(j + 1)))) AS po, list_sum(list_transform(range(0, k + 1), lambda j: EXP(LGAMMA(61) - LGAMMA(j + 1) - LGAMMA(61 - j) + j * LN(0.4) + (60 - j) * LN(0.6)))) AS bi,
+ list_sum(list_transform(range(0, k), lambda j: EXP(LGAMMA(j + 3) - LGAMMA(j + 1) - LGAMMA(3) + 3 * LN(0.2) + j * LN(0.8)))) AS nb FROM p)
+SELECT p_partkey, ROUND(1 - po, 6) AS poisson, ROUND(1 - bi, 6) AS binomial, ROUND(1 - nb, 6) AS negative_binomial, ROUND(EXP(LGAMMA(5 + x) - LGAMMA(7 + x) - LGAMMA(5) + LGAMMA(7)), 6) AS beta_geometric,
+ROUND(1 - x / 60 * x / 60 * (6 - 8 * x / 60 + 3 * x / 60 * x / 60), 6) AS beta4 FROM s""")
 def count_distributions(spark, sf_dir):
     x = F.col("p_size").cast("double")
     args = {"poisson": (20.0,), "binomial": (60.0, 0.4), "negative_binomial": (3.0, 0.2), "beta_geometric": (2.0, 5.0), "beta4": (2.0, 3.0, 0.0, 60.0)}
