@@ -492,3 +492,13 @@ def _cross_tile_links(source: DataFrame, members: DataFrame, links: DataFrame, s
     found = scratch.keep(texts.groupBy("pair").applyInArrow(_cross_links, "u long, v long"), "cross-links")
     scratch.drop(own, placed, work)
     return found
+
+
+#: The same in SQL, by all pairs of texts that share a shingle.
+ORACLE_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+n AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE MIN(doc_id) OVER (PARTITION BY list_sort(s)) END AS class_id FROM s), e AS (SELECT doc_id, UNNEST(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)), u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.doc_id)
+SELECT doc_id, CAST(ANY_VALUE(n) AS BIGINT) AS n_shingles, MIN(root) AS component_id, ANY_VALUE(class_id) AS class_id FROM n JOIN r USING (doc_id) GROUP BY doc_id"""

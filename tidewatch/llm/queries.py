@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_derivatives": op10_warc_derivatives,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": jaccard.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}
