@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import comparison, curves, observations, recurrent, risk, running
 
+# Small samples (times, flags, counts, entries); expected values below come from the estimators' definitions.
 G1 = ([3, 5, 5, 8, 12, 12, 12, 20, 25, 30], [0] * 10, [2, 1, 3, 2, 1, 4, 2, 1, 5, 1], None)
 G2 = ([4, 7, 9, 13, 16, 21, 28, 33, 41, 50], [0, 0, 1, 0, 0, 1, 0, 1, 0, 0], [1, 2, 1, 3, 1, 2, 1, 1, 4, 1], None)
 G3 = ([6, 9, 14, 18, 22, 27, 33, 40, 48, 55], [0, 1, 0, 0, 1, 0, 0, 1, 0, 0], [1, 1, 2, 1, 1, 3, 1, 1, 2, 1], [0, 2, 5, 5, 10, 12, 0, 20, 25, 30])

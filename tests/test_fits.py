@@ -5,6 +5,7 @@ from tidewatch.functions import special
 from tidewatch.operators import observations
 from tidewatch.plans import fit, regression, turnbull
 
+# A fatigue sample with counts and a set of inspection intervals; expected numbers are published estimates.
 A = ([40.8, 42.075, 43.35, 44.625, 45.9, 47.175, 48.45, 49.725, 51, 52.275, 53.55, 54.825], [10, 23, 48, 80, 63, 65, 45, 33, 19, 10, 3, 1])
 LEFT = [.5, 1, 2, 2.5, 3, 4, 5, 6, 7.5, 9, 11, 13]
 RIGHT = [1.5, 2, 3, 4, 4.5, 6, 7, 8, 10, 12, 14, 18]
