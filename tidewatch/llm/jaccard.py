@@ -371,9 +371,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     same set. Shingles are five words, A-Z in lower case; fewer words are one shingle; without words or text a
     set is empty and links with nothing. doc_id must be an integer; rows without one link through their text
     and have a null component if no other row has that set. Repeated rows give equal rows, an empty table an
-    empty result. Different texts under one doc_id each have their own component; where one of them links by
-    near copies, the other rows of that doc_id may be compared as if they held its text, so ids should be
-    unique. Tasks hold texts of a tile (TILE texts, TILE_SHINGLES shingles, or a single text) whatever the
+    empty result. Different texts under one doc_id are one node: what any of them links to is the component of all,
+    so rows should be told apart by unique ids (as the corpus pipeline does). Tasks hold texts of a tile (TILE texts, TILE_SHINGLES shingles, or a single text) whatever the
     input's size. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
