@@ -79,6 +79,14 @@ def test_lines_go_first(spark):
     assert row.clean_text == "A plain sentence with enough words to stay as it is." and row.kept
 
 
+def test_furniture_in_four_languages(spark):
+    good = "Un texte simple avec assez de mots pour rester tel quel dans le corpus. "
+    lines = ["Accept cookies", "Weiterlesen", "Mentions légales", "Leer más", "Haz clic para ver"]
+    rows = [(k, good * 3 + "\n" + line) for k, line in enumerate(lines)] + [(9, good * 3 + "\n" + "Er las weiter und erfuhr mehr")]
+    out = {r.doc_id: r.clean_text for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("\n" not in out[k].strip() for k in range(len(lines))) and "Er las weiter" in out[9]
+
+
 def check_shards(rows, n):
     by_text = defaultdict(set)
     slots, loads = defaultdict(list), Counter()
@@ -387,6 +395,14 @@ def test_pseudonyms_are_permutations(spark):
     assert ssn.distinct().count() == 599 and ssn.filter(~F.col("s").rlike(pii.PATTERNS["ssn"])).count() == 0
 
 
+def test_hint_is_in_every_value(spark):
+    hint = re.compile(pii.HINT)
+    values = [*PRIVATE.values(), "a.b@c.de", "abcdef" * 6, "FEDCBA" * 6, "+1 234 567 8901", "(234) 567-8901", "1.2.3.4"]
+    assert all(hint.search(v) for v in values) and not hint.search("no value in this text, beef cafe")
+    (row,) = pii.pseudonymize(spark.createDataFrame([("only letters " + "abcdef" * 6 + " here",)], "text string"), "secret").collect()
+    assert row.n_pii == 1 and "abcdefabcdef" not in row.text
+
+
 def test_secrets_in_capitals(spark):
     tokens = ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "9233a8ECF7c5b09fe5949719B6b82bc439e9329b", "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"]
     texts = [(k, f"THE DOCUMENT IS IN CAPITALS. TOKEN = \"{v}\" AND {v}.") for k, v in enumerate(tokens)]

@@ -13,11 +13,15 @@ from tidewatch.llm.common import NOT_SPACE, SPACE_RUN, text_or_empty, words_of
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Phrases of site furniture; a short line that holds one of them fails.
+#: Phrases of site furniture in English, German, French and Spanish (a dot for an accented letter); a short
+#: line that holds one of them fails.
 BOILERPLATE = (
     "accept cookies|cookie policy|enable javascript|lorem ipsum|terms of use|terms of service"
     "|privacy policy|sign in|log in|sign up|subscribe now|click here|read more|share this"
     "|skip to content|back to top"
+    "|cookies akzeptieren|cookies ablehnen|mehr erfahren|mehr lesen|weiterlesen|jetzt abonnieren|jetzt anmelden|hier klicken|nach oben|zum inhalt springen"
+    "|accepter les cookies|refuser les cookies|en savoir plus|lire la suite|cliquez ici|se connecter|haut de page|aller au contenu|mentions l.gales"
+    "|aceptar cookies|rechazar cookies|leer m.s|haz clic|haga clic|suscr.bete ahora|volver arriba|saltar al contenido|aviso legal"
 )
 #: A line with such a phrase fails only if it has at most so many characters.
 BOILERPLATE_CHARS = 120
