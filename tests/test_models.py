@@ -284,3 +284,23 @@ def test_accelerated_life(spark):
     assert row.h == pytest.approx(row.d, rel=1e-6) and (np.diag(m.covariance) > 0).all()
     with pytest.raises(ValueError, match="takes 2 stresses"):
         accelerated.fit_accelerated(df, "x", "c", ["w"], "dual-power")
+
+
+def test_bands_and_first_passages(spark):
+    assert curves.band_width(0.001, 0.999) == pytest.approx(1.36, abs=0.04)  # fixed value: Kolmogorov's at 5 %
+    c = curves.band_width(0.1, 0.9, equal_precision=True)
+    density = math.exp(-c * c / 2) / math.sqrt(2 * math.pi)
+    assert 4 * density / c + density * (c - 1 / c) * math.log(81) == pytest.approx(0.05, abs=0.01)  # the tail of large values
+    obs = observations.observations(datasets.automotive(spark), x="x", c="c")
+    curve = curves.survival_curves(risk.risk_table(obs))
+    for method in ("hall-wellner", "nair"):
+        rows = curves.simultaneous_band(curve, 31.0, method=method, paths=1000).filter("lower is not null").collect()
+        assert rows and all(0 <= r.lower < r.km < r.upper <= 1 for r in rows)
+    with pytest.raises(ValueError, match="no time"):
+        curves.simultaneous_band(curve.filter("d = 0").limit(1), 31.0)
+    rng = np.random.default_rng(3)
+    steps = rng.normal(0.5 * 0.02, 0.8 * 0.02**0.5, (4000, 2500)).cumsum(axis=1)
+    hits = np.where((steps >= 4).any(axis=1), (steps >= 4).argmax(axis=1) * 0.02, 50.0)
+    row = degradation.wiener_remaining(spark.createDataFrame([(6.0,), (10.0,), (12.0,)], "y double"), "y", 10.0, 0.5, 0.8, (0.25, 0.5, 0.75)).collect()
+    assert [row[0]["q_0.25"], row[0]["q_0.5"], row[0]["q_0.75"]] == pytest.approx(list(np.quantile(hits, [0.25, 0.5, 0.75])), rel=0.06)
+    assert row[0].mean_remaining == 8 and row[1]["q_0.5"] == row[2]["q_0.5"] == 0

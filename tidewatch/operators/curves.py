@@ -184,24 +184,42 @@ def bootstrap_limits(obs: DataFrame, times: list[float], replicates: int = 200,
     return found.groupBy("t").agg(F.percentile("km", F.lit(alpha / 2)).alias("lower"), F.percentile("km", F.lit(1 - alpha / 2)).alias("upper"))
 
 
-def simultaneous_band(curve: DataFrame, n: float, alpha: float = 0.05, paths: int = 4000, steps: int = 500, seed: int = 1) -> DataFrame:
-    """The curve's rows with lower and upper of the Hall-Wellner band; the critical value is the quantile of the
-    supremum of simulated Brownian bridges over the curve's range."""
+def band_width(low: float, high: float, alpha: float = 0.05, equal_precision: bool = False, paths: int = 10_000, steps: int = 1000, seed: int = 1) -> float:
+    """The quantile of the largest value, on (low, high), of simulated Brownian bridges, or of these over their standard error."""
     import numpy as np
 
-    k = F.col("greenwood") * n / (1 + n * F.col("greenwood"))
-    own = curve.withColumn("__k", k)
-    top = own.filter("d > 0").agg(F.min("__k"), F.max("__k")).first()
     rng = np.random.default_rng(seed)
-    moves = rng.normal(0, (1 / steps) ** 0.5, (paths, steps)).cumsum(axis=1)
     grid = np.arange(1, steps + 1) / steps
-    bridge = np.abs(moves - grid * moves[:, -1:])
-    inside = (grid >= (top[0] or 0.0)) & (grid <= (top[1] or 1.0))
-    c = float(np.quantile(bridge[:, inside].max(axis=1), 1 - alpha)) if inside.any() else float("nan")
-    half = c / n**0.5 * (1 + n * F.col("greenwood"))
-    s, log_s = F.col("km"), F.ln(F.when((F.col("km") > 0) & (F.col("km") < 1), F.col("km")))
-    grow = F.exp(half / log_s)
-    return own.withColumns({"lower": F.coalesce(F.pow(s, 1 / grow), F.when(s == 1, 1.0), F.lit(0.0)), "upper": F.coalesce(F.pow(s, grow), F.when(s == 1, 1.0))}).drop("__k")
+    inside = (grid >= low) & (grid <= high) & (grid < 1)
+    if not inside.any():
+        inside = np.abs(grid - (low + high) / 2) == np.abs(grid - (low + high) / 2).min()
+    scale = np.sqrt(grid * (1 - grid))[inside] if equal_precision else 1.0
+    tops = []
+    for k in range(0, paths, 500):  # 4 MB of paths at a time
+        moves = rng.normal(0, (1 / steps) ** 0.5, (min(500, paths - k), steps)).cumsum(axis=1)
+        tops.append((np.abs(moves - grid * moves[:, -1:])[:, inside] / scale).max(axis=1))
+    return float(np.quantile(np.concatenate(tops), 1 - alpha))
+
+
+def simultaneous_band(curve: DataFrame, n: float, alpha: float = 0.05, paths: int = 10_000, steps: int = 1000, seed: int = 1, method: str = "hall-wellner", kind: str = "exp") -> DataFrame:
+    """The curve's rows with lower and upper of a band that holds the whole curve: Hall-Wellner, or equal-precision (nair).
+
+    n: rows of the sample. kind: on the log-log scale (exp) or plain (normal). Limits are null outside the times at
+    which the variance is positive and the survival between 0 and 1; ValueError where there are none.
+    """
+    if method not in ("hall-wellner", "nair") or kind not in ("exp", "normal"):
+        raise ValueError("method is hall-wellner or nair, kind exp or normal")
+    v, s = F.col("greenwood"), F.col("km")
+    usable = v.isNotNull() & (v > 0) & (s > 0) & (s < 1)
+    low, high = curve.filter(usable).agg(F.min(n * v / (1 + n * v)), F.max(n * v / (1 + n * v))).first()
+    if low is None:
+        raise ValueError("no time has a variance")
+    c = band_width(low, high, alpha, method == "nair", paths, steps, seed)
+    half = F.when(usable, c * F.sqrt(v) if method == "nair" else c * (1 + n * v) / n**0.5)
+    if kind == "normal":
+        return curve.withColumns({"lower": s - half, "upper": s + half})
+    theta, se = F.ln(-F.ln(F.when(usable, s))), half / F.abs(F.ln(F.when(usable, s)))
+    return curve.withColumns({"lower": F.exp(-F.exp(theta + se)), "upper": F.exp(-F.exp(theta - se))})
 
 
 def at_linear(curve: DataFrame, probes: DataFrame, values: list[str], by: tuple[str, ...] = ()) -> DataFrame:

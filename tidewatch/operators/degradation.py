@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 #: Path models that are straight lines after a transform of time and measurement: (time, measurement, solve time).
 PATHS = {
@@ -208,3 +210,38 @@ def destructive_failure(rows: DataFrame, t: str, intercept: float, slope: float,
     z = (level - intercept - slope * DESTRUCTIVE[transform](F.col(t).cast("double"))) / sigma
     above = DISTRIBUTIONS["normal"].sf(z, 0.0, 1.0)
     return rows.withColumn("ff", 1 - above if falling else above)
+
+
+def wiener_remaining(rows: DataFrame, y: str, threshold: float, drift: float, sigma: float, probabilities: tuple[float, ...] = (0.025, 0.5, 0.975)) -> DataFrame:
+    """The rows with mean_remaining and q_<p>: times until a Wiener process with positive drift first reaches the threshold from y.
+
+    First passages are inverse Gaussian; quantiles are found by bisection of their distribution, whole columns at a time.
+    A level at the threshold or past it has 0 left.
+    """
+    if drift <= 0:
+        raise ValueError("the drift must be positive")
+    from tidewatch.functions.special import norm_cdf
+
+    def below(t: np.ndarray, a: np.ndarray) -> np.ndarray:
+        root = sigma * np.sqrt(t)
+        with np.errstate(all="ignore"):
+            tail = norm_cdf(-(a + drift * t) / root)
+            echo = np.where(tail > 0, np.exp(np.minimum(2 * drift * a / sigma**2 + np.log(np.maximum(tail, 1e-300)), 0.0)), 0.0)
+        return norm_cdf((drift * t - a) / root) + echo
+
+    def quantile(p: float):
+        @pandas_udf("double")
+        def run(level: pd.Series) -> pd.Series:
+            a = np.maximum(threshold - level.to_numpy(float), 0.0)
+            lo, hi = np.zeros(len(a)), np.maximum(a, 1e-12) / drift + 1e-12
+            while (short := below(hi, a) < p).any():
+                hi = np.where(short, 2 * hi, hi)
+            for _ in range(80):
+                mid = (lo + hi) / 2
+                low = below(np.maximum(mid, 1e-300), a) < p
+                lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
+            return pd.Series(np.where(a > 0, (lo + hi) / 2, 0.0))
+        return run(F.col(y).cast("double"))
+
+    left = F.greatest(F.lit(0.0), threshold - F.col(y)) / drift
+    return rows.withColumns({"mean_remaining": left} | {f"q_{p:g}": quantile(p) for p in probabilities})
