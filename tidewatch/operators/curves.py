@@ -86,16 +86,24 @@ def quantiles(curve: DataFrame, probabilities: list[float], sf: str = "km", by:
     return found.select(*by, pairs.alias("s")).select(*by, "s.p", "s.q")
 
 
+def _areas(curve: DataFrame, tau: float | None, sf: str, by: tuple[str, ...]) -> DataFrame:
+    """The curve with area: what lies under it up to each time (or tau, if that is earlier)."""
+    own = running(curve, by, "x", {"__x": latest(F.col("x"), before=True), "__s": latest(F.col(sf), before=True)})
+    upto = (lambda c: F.least(F.lit(float(tau)), c)) if tau is not None else (lambda c: c)
+    step = F.coalesce("__s", F.lit(1.0)) * (upto(F.col("x")) - upto(F.coalesce("__x", F.lit(0.0))))
+    return running(own.select(*curve.columns, step.alias("__a")), by, "x", {"area": total(F.col("__a"))})
+
+
 def restricted_mean(curve: DataFrame, tau: float, sf: str = "km", by: tuple[str, ...] = ()) -> DataFrame:
     """(by, rmst, variance): area under the curve up to tau, and the sum of squared later areas by Greenwood terms."""
-    own = running(curve, by, "x", {"__next": latest(F.col("x"), before=True)}, descending=True)
-    own = running(own, by, "x", {"__before": latest(F.col("x"), before=True)})
-    t = F.least(F.lit(float(tau)), F.col("x"))
-    width = F.greatest(F.lit(0.0), F.least(F.lit(float(tau)), F.coalesce("__next", F.lit(float(tau)))) - F.col("x"))
-    own = own.withColumns({"__a": F.col(sf) * width, "__f": F.when(F.col("__before").isNull(), t).otherwise(0.0)})
+    own = _areas(curve, tau, sf, by)
     term = F.when((F.col("r") > F.col("d")) & (F.col("x") <= tau), F.col("d") / (F.col("r") * (F.col("r") - F.col("d")))).otherwise(0.0)
-    return running(own, by, "x", {"__later": total(F.col("__a"))}, descending=True).groupBy(*by).agg(
-        F.sum(F.col("__a") + F.col("__f")).alias("rmst"), F.sum(F.col("__later") * F.col("__later") * term).alias("variance"))
+    # the area after a time is the whole less the area up to it, so its square needs three sums
+    sums = own.groupBy(*by).agg(F.max("area").alias("a"), F.max("x").alias("last"), F.max_by(sf, "x").alias("s"), F.sum(term).alias("t0"),
+                                F.sum(term * F.col("area")).alias("t1"), F.sum(term * F.col("area") * F.col("area")).alias("t2"))
+    whole = F.col("a") + F.col("s") * F.greatest(F.lit(0.0), tau - F.col("last"))
+    own = sums.withColumn("rmst", whole)
+    return own.select(*by, "rmst", (F.col("rmst") * F.col("rmst") * F.col("t0") - 2 * F.col("rmst") * F.col("t1") + F.col("t2")).alias("variance"))
 
 
 def hazard_steps(probed: DataFrame, h: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -273,7 +281,4 @@ def filliben_positions(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def mean_life(curve: DataFrame, sf: str = "km", by: tuple[str, ...] = ()) -> DataFrame:
     """(by, mean): the area under a curve up to its last time."""
-    own = running(curve, by, "x", {"__next": latest(F.col("x"), before=True)}, descending=True)
-    own = running(own, by, "x", {"__before": latest(F.col("x"), before=True)})
-    area = F.when(F.col("__before").isNull(), F.col("x")).otherwise(0.0) + F.col(sf) * (F.coalesce("__next", F.col("x")) - F.col("x"))
-    return own.groupBy(*by).agg(F.sum(area).alias("mean"))
+    return _areas(curve, None, sf, by).groupBy(*by).agg(F.max("area").alias("mean"))
