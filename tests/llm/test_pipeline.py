@@ -57,3 +57,9 @@ def test_missing_and_shared_ids_lose_no_texts(spark):
     leak = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) > 9)
     docs = spark.createDataFrame([(None, leak), (None, text(1)), (7, leak), (7, text(2))], "doc_id long, text string")
     assert {tuple(r) for r in corpus_pipeline.decontamination(spark, docs, SF).collect()} == {(None, text(1)), (7, text(2))}
+
+
+def test_near_duplicates_where_parts_have_only_common_keys(spark):
+    rows = [(i, f"alpha beta gamma delta epsilon {'word' * (i % 9)}{i // 18}") for i in range(36)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), SF).collect()
+    assert sorted(r.doc_id for r in out) == [i for i, (_, root) in sorted(brute_components(rows).items()) if i == root]

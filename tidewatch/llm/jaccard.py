@@ -72,7 +72,7 @@ _COPY = np.uint64(0xA0761D6478BD642F)
 
 def _planes(values: np.ndarray) -> bytes:
     """Numbers with their first bytes together, then their second ones: equal high bytes then compress to nothing."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def _from_planes(data: bytes, kind) -> np.ndarray:
