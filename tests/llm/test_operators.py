@@ -182,6 +182,20 @@ def test_jaccard_join_with_a_passage_that_many_share(spark, monkeypatch, tile, w
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("flush, fan", [(400_000, 512), (4, 2)])
+def test_jaccard_join_where_parts_have_only_common_keys(spark, monkeypatch, flush, fan):
+    monkeypatch.setattr(jaccard, "FLUSH_KEYS", flush)
+    monkeypatch.setattr(jaccard, "FAN", fan)
+    rows = [(i, f"alpha beta gamma delta epsilon {'word' * (i % 9)}{i // 18}") for i in range(36)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_memberships_of_many_flushes_go_to_many_partitions():
+    flush = lambda k: jaccard._chunks(np.full(10, 7, np.uint64), np.arange(10 * k, 10 * k + 10), np.ones(10, np.int32), np.empty(0, np.uint64), None, 100, 0)
+    assert len({r["part"] for k in range(60) for r in flush(k).to_pylist() if r["members"]}) > 20
+
+
 def test_jaccard_awkward(awkward, empty):
     out = jaccard.jaccard_components(awkward).collect()
     assert len(out) == len(AWKWARD)

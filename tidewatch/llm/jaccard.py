@@ -126,7 +126,8 @@ def _chunks(keys: np.ndarray, docs: np.ndarray, sizes: np.ndarray, marks: np.nda
     spread, spread_docs = keys[common], docs[common]
     for k, a in enumerate(range(0, len(spread), MEMBERS)):
         pair = np.stack([spread_docs[a : a + MEMBERS].view(np.uint64), spread[a : a + MEMBERS]])
-        rows.append((int((salt * 31 + int(own[0]) * 7 + k * 13) % n_parts), salt, None, None, None, None, pair.tobytes()))
+        to = mix(pair[0, :1] + np.uint64(k))[0] % np.uint64(n_parts)  # not by salt and place: all flushes would meet in the same few
+        rows.append((int(to), salt, None, None, None, None, pair.tobytes()))
     names = [c.split()[0] for c in _CHUNK.split(", ")]
     kinds = [pa.int32()] * 2 + [pa.binary()] * 5
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
@@ -401,13 +402,11 @@ def _found_keys(reps: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFr
     """Rows of _FOUND: pairs of texts by light keys, and (text, key) of common keys."""
     n_keys = int(prefix_length(np.int64(classes.agg(F.sum("n")).first()[0] or 0)))
     parts, flushes = max(12, n_keys // PART_KEYS), max(1, 2 * n_keys // FLUSH_KEYS)
-    salts = 1
-    while flushes > salts * FAN:  # a key sends LIGHT rows a flush at most; groups of FAN flushes meet first
-        salts *= FAN
+    salts = -(-flushes // FAN)  # a key sends LIGHT rows a flush at most; groups of FAN flushes meet first
     chunks = reps.mapInArrow(_deal(parts, salts), _CHUNK)
-    while salts > 1:
-        chunks = scratch.keep(chunks.groupBy("part", "salt").applyInArrow(_merge_chunks(parts, FAN), _CHUNK), "chunks")
-        salts //= FAN
+    while salts > 1:  # not written to a table: Parquet's reader holds thousands of rows at once, and these are large
+        chunks = chunks.groupBy("part", "salt").applyInArrow(_merge_chunks(parts, FAN), _CHUNK)
+        salts = -(-salts // FAN)
     return scratch.keep(chunks.groupBy("part").applyInArrow(_pair_up, _FOUND), "found")
 
 
